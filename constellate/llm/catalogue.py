@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from constellate.llm import pairs, topn
+from constellate.llm import bpe, leakage, lookalike, pairs, topn
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,9 +19,25 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_neighbours(_table(spark, d, "crossover_neighbors"), n=10)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.odd_texts(_table(spark, d, "harvested_playlists"), _table(spark, d, "atlas_nodes"))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(_table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaks(_table(spark, d, "documents"), "doc_id", "text", _table(spark, d, "eval_items"), "item_id", "text", min_words=12)
+    return found.select("doc_id", "item_id")
+
+
 QUERIES = {
     "p2_found": p2_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
 }
 
 _INC = "SELECT DISTINCT id, t.artist_id AS a FROM (SELECT id, unnest(tracks) AS t FROM harvested_playlists) WHERE t.artist_id IS NOT NULL AND t.artist_id <> '' AND id IS NOT NULL"
