@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from constellate.llm import bpe, leakage, lookalike, pairs, topn
+from constellate.llm import bpe, leakage, lookalike, pairs, subjects, topn
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -32,12 +32,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(
+        _table(spark, d, "documents"), "doc_id", "text", _table(spark, d, "subject_examples"), _table(spark, d, "subject_areas"), share=0.25)
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p8_found": p8_found,
 }
 
 _INC = "SELECT DISTINCT id, t.artist_id AS a FROM (SELECT id, unnest(tracks) AS t FROM harvested_playlists) WHERE t.artist_id IS NOT NULL AND t.artist_id <> '' AND id IS NOT NULL"
