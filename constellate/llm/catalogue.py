@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from constellate.llm import bpe, leakage, lookalike, pairs, subjects, topn
+from constellate.llm import bpe, leakage, lookalike, names, pairs, subjects, topn
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_neighbours(_table(spark, d, "crossover_neighbors"), n=10)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_artists(_table(spark, d, "harvested_playlists"), _table(spark, d, "atlas_nodes"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.odd_texts(_table(spark, d, "harvested_playlists"), _table(spark, d, "atlas_nodes"))
 
@@ -39,6 +43,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_ids": p6_ids,

@@ -263,7 +263,8 @@ def choose(word: str, around: str, attested: list[tuple[str, int]]) -> str:
 # ---- distributed part ----------------------------------------------------------------------------------------------
 
 _STRICT_CLASS = "".join(STRICT)
-_LATIN_TWINS = "".join(sorted({v for k, v in STRICT.items() if k not in SELDOM}))
+#: Latin letters that a letter of another script can be read as.
+TWINS = _LATIN_TWINS = "".join(sorted({v for k, v in STRICT.items() if k not in SELDOM}))
 
 
 def _scripts_around(value: Column) -> Column:
