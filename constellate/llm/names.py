@@ -318,12 +318,15 @@ def match_spellings(forms: DataFrame, rare: int = 3, max_cost: float = 3.0) -> D
     """(form, known, cost): typed or known spellings and the other known spellings they can stand for.
 
     ``forms`` has distinct rows (form, known): a spelling (see :func:`spelling`) and whether it is a known entity's.
-    Words of a known spelling that at most ``rare`` known spellings share (or the rarest one has) are its telling words.
+    Words of a known spelling that at most ``rare`` known spellings share (or else its rarest) are its telling words.
     Spellings without a letter or digit match nothing.
     """
     words = materialize(_words_of(spread(forms)).join(forms, "form"), "words")
     tokens = words.where("known").select("form", F.explode(F.array_distinct("words")).alias("word"))
     df = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # Given names tell nobody apart, however few known spellings hold them.
+    given = F.col("word").isin(*SHORT_FORMS, *FULL_FORM)
+    df = df.withColumn("df", F.when(given, F.col("df") + 1_000_000).otherwise(F.col("df")))
     least = F.min("df").over(Window.partitionBy("form"))
     keys = materialize(
         tokens.join(df, "word").withColumn("least", least).where((F.col("df") <= rare) | (F.col("df") == F.col("least"))).select("form", "word"), "keys")
