@@ -242,28 +242,31 @@ def neighbours(trie: dict, q: str, most: int) -> set[str]:
     return out
 
 
-def trie_join(index: DataFrame, probes: DataFrame, shard_words: int = 20_000) -> DataFrame:
+def trie_join(index: DataFrame, probes: DataFrame, shard_words: int = 20_000, shard_probes: int = 4_000) -> DataFrame:
     """(probe, word) of all words of ``index`` within ``most`` edits of a probe of the same ``kind``.
 
     ``index`` has columns kind, word, most (0, 1 or 2 edits allowed against the word); ``probes`` has kind, probe.  No
     nulls, both distinct.  Exact: two edits leave the first letter or the last untouched, with at most one edit in the
     half on that side, or else they touch the first and the last letter and leave the middle whole.  Tries are sharded by
-    that letter and direction; shards of more than ``shard_words`` words are split by hash and probed in parts.
+    that letter and direction; shards of more than ``shard_words`` words are split by hash and probed in parts, and so
+    are the probes of a letter where they are more than ``shard_probes``.
     """
     spark = index.sparkSession
     ends = lambda c: F.explode(F.array(
         F.struct(F.lit("f").alias("way"), F.substring(c, 1, 1).alias("letter")),
         F.struct(F.lit("r").alias("way"), F.substring(c, -1, 1).alias("letter")))).alias("end")
     words = index.where(F.length("word") > 0).select("kind", "word", "most", ends("word")).select("kind", "word", "most", "end.way", "end.letter")
-    sizes = words.groupBy("kind", "way", "letter").agg(F.ceil(F.count(F.lit(1)) / shard_words).cast("int").alias("parts"))
-    words = words.join(sizes, ["kind", "way", "letter"]).withColumn("part", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"))
-    asked = (
-        probes.where(F.length("probe") > 0).select("kind", "probe", ends("probe")).select("kind", "probe", "end.way", "end.letter")
-        .join(sizes, ["kind", "way", "letter"])
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    )
-    both = words.select("kind", "way", "letter", "part", "word", "most", F.lit(None).cast("string").alias("probe")).unionByName(
-        asked.select("kind", "way", "letter", "part", F.lit(None).cast("string").alias("word"), F.lit(None).cast("int").alias("most"), "probe"))
+    asked = probes.where(F.length("probe") > 0).select("kind", "probe", ends("probe")).select("kind", "probe", "end.way", "end.letter")
+    shard = ["kind", "way", "letter"]
+    sizes = words.groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) / shard_words).cast("int").alias("word_parts")).join(
+        asked.groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) / shard_probes).cast("int").alias("probe_parts")), shard)
+    parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    words = words.join(sizes, shard).withColumn("wp", F.pmod(F.xxhash64("word"), F.col("word_parts")).cast("int")).withColumn("pp", parts("probe_parts"))
+    asked = asked.join(sizes, shard).withColumn("pp", F.pmod(F.xxhash64("probe"), F.col("probe_parts")).cast("int")).withColumn("wp", parts("word_parts"))
+    both = words.select(*shard, "wp", "pp", "word", "most", F.lit(None).cast("string").alias("probe")).unionByName(
+        asked.select(*shard, "wp", "pp", F.lit(None).cast("string").alias("word"), F.lit(None).cast("int").alias("most"), "probe"))
+    # Work does not follow bytes here: keep the shards apart rather than let small partitions be joined.
+    both = both.repartition(4 * spark.sparkContext.defaultParallelism, *shard, "wp", "pp")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf[pdf["word"].notna()]
@@ -276,7 +279,7 @@ def trie_join(index: DataFrame, probes: DataFrame, shard_words: int = 20_000) ->
                 pairs += [(q, w) for w in neighbours(trie, q[::-1] if back else q, most)]
         return pd.DataFrame({"probe": [p[0] for p in pairs], "word": [p[1][::-1] if back else p[1] for p in pairs]}, dtype=object)
 
-    grouped = both.groupBy("kind", "way", "letter", "part").applyInPandas(
+    grouped = both.groupBy(*shard, "wp", "pp").applyInPandas(
         lambda key, pdf: search(pdf).assign(kind=key[0])[["kind", "probe", "word"]], "kind string, probe string, word string")
     # Edits at the first and at the last letter: the middle of the word stands whole in the probe.
     middle = index.where((F.col("most") == 2) & (F.length("word") >= 7)).select("kind", "word", F.expr("substring(word, 3, length(word) - 4)").alias("middle"))
@@ -391,8 +394,8 @@ def same_artists(playlists: DataFrame, nodes: DataFrame, twin_cost: float = 3.0)
     """
     credit = playlists.select(F.explode("tracks").alias("t")).select(F.col("t.artist_id").alias("id"), F.col("t.artist_name").alias("name"))
     named = F.col("name").isNotNull() & (F.trim("name") != "") & F.col("id").isNotNull()
-    typed = credit.where(F.col("id").startswith("name_") & named).groupBy("id").agg(F.min("name").alias("name"))
-    official = credit.where(F.col("id").startswith("yt_") & named).groupBy("name").agg(F.min("id").alias("id"))
+    typed = credit.where(F.col("id").startswith("name_") & named).distinct().groupBy("id").agg(F.min("name").alias("name"))
+    official = credit.where(F.col("id").startswith("yt_") & named).select("name").distinct().select(F.lit(None).cast("string").alias("id"), "name")
     labels = nodes.select("id", F.col("label").alias("name")).where(named).distinct()
     every = typed.select(F.lit("typed").alias("role"), "id", "name").unionByName(official.select(F.lit("official").alias("role"), "id", "name")).unionByName(
         labels.select(F.lit("node").alias("role"), "id", "name"))
