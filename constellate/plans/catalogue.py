@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from constellate.plans import problems
+from constellate.plans import graph_queries, problems, text_queries
 
-FLAGSHIP = "p1_counts"
-_MODULES = [problems]
+FLAGSHIP = "cosine_edges"
+_MODULES = [problems, graph_queries, text_queries]
 
 
 def queries() -> dict:
