@@ -401,31 +401,26 @@ def same_artists(playlists: DataFrame, nodes: DataFrame, twin_cost: float = 3.0)
         labels.select(F.lit("node").alias("role"), "id", "name"))
     form_of = F.pandas_udf(lambda s: s.map(spelling), "string")
     every = materialize(every.withColumn("form", form_of("name")).where("form != ''").drop("name"), "names")
-    forms = every.where("role != 'official'").groupBy("form").agg(F.max(F.col("role") == "node").alias("known"))
-    hits = materialize(match_spellings(forms), "hits")
-    official_forms = every.where("role = 'official'").select("form").distinct()
-    known_forms = forms.where("known").select("form")
-    marked = official_forms.withColumn("own", F.lit(True))
-    twins = (
-        hits.where(F.col("cost") <= twin_cost).join(known_forms, "form")
-        .join(marked, "form", "left").join(marked.toDF("known", "other_own"), "known", "left")
-        .where(F.col("own").isNull() | F.col("other_own").isNull())
+    role = lambda r: F.max(F.col("role") == r).alias(r)
+    forms = materialize(every.groupBy("form").agg(role("node"), role("typed"), role("official")), "forms")
+    hits = match_spellings(forms.where("node or typed").select("form", F.col("node").alias("known")))
+    flags = forms.select("form", F.col("node").alias("form_known"), F.col("official").alias("form_own"))
+    hits = materialize(hits.join(flags, "form").join(forms.select(F.col("form").alias("known"), F.col("official").alias("known_own")), "known"), "hits")
+    # Two names under which channels of their own are credited are two artists.  One direction suffices: an abbreviation
+    # stands for its full form, not the other way round.
+    twin = _least(hits.where(F.col("form_known") & (F.col("cost") <= twin_cost) & ~(F.col("form_own") & F.col("known_own"))))
+    twin_pairs = materialize(twin.select("form", "known").unionByName(twin.select(F.col("known").alias("form"), F.col("form").alias("known"))).distinct(), "twins")
+    best = materialize(_least(hits.where("not form_known")), "best")
+    first = best.groupBy("form").agg(F.min("known").alias("first"), F.count(F.lit(1)).alias("n"))
+    # A tie is none if the tied spellings are twins of one another.
+    apart = (
+        best.join(first.where("n > 1"), "form").where("known != first")
+        .join(twin_pairs.toDF("first", "known"), ["first", "known"], "left_anti").select("form").distinct()
     )
-    # One direction suffices: an abbreviation stands for its full form, not the other way round.
-    twin_best = _least(twins.select("form", "known", "cost"))
-    twin_pairs = materialize(twin_best.select("form", "known").unionByName(twin_best.select(F.col("known").alias("form"), F.col("form").alias("known"))).distinct(), "twins")
+    stands = best.join(apart, "form", "left_anti").select("form", "known").unionByName(forms.where("node").select("form", F.col("form").alias("known")))
+    artist = stands.unionByName(stands.join(twin_pairs.toDF("known", "twin"), "known").select("form", F.col("twin").alias("known"))).distinct()
     node = every.where("role = 'node'").select(F.col("id").alias("node"), "form").distinct()
     credits_ = every.where("role = 'typed'").select(F.col("id").alias("credit"), "form")
-    best = _least(hits.join(known_forms, "form", "left_anti"))
-    own = best.groupBy("form").agg(F.min("known").alias("known"), F.count(F.lit(1)).alias("n"))
-    single = own.where("n = 1").select("form", "known")
-    tied = best.join(own.where("n > 1").select("form"), "form")
-    # A tie is none if the tied spellings are twins of one another.
-    first = tied.groupBy("form").agg(F.min("known").alias("first"))
-    apart = tied.join(first, "form").where("known != first").join(twin_pairs.toDF("first", "known"), ["first", "known"], "left_anti").select("form").distinct()
-    stands = single.unionByName(tied.join(apart, "form", "left_anti").select("form", "known"))
-    stands = stands.unionByName(known_forms.select("form", F.col("form").alias("known")))
-    artist = stands.unionByName(stands.join(twin_pairs.toDF("known", "twin"), "known").select("form", F.col("twin").alias("known"))).distinct()
     credit_pairs = (
         credits_.join(artist, "form").where(F.col("form") != F.col("known"))
         .join(node.toDF("node", "known"), "known").select(F.col("node").alias("a"), F.col("credit").alias("b"))
@@ -438,5 +433,5 @@ def same_artists(playlists: DataFrame, nodes: DataFrame, twin_cost: float = 3.0)
 
 def _least(hits: DataFrame) -> DataFrame:
     """The rows of least cost of each form (equal within rounding)."""
-    low = hits.groupBy("form").agg(F.min("cost").alias("low"))
-    return hits.join(low, "form").where(F.col("cost") <= F.col("low") + 1e-9).select("form", "known", "cost")
+    low = hits.select("form", "cost").groupBy("form").agg(F.min("cost").alias("low"))
+    return hits.select("form", "known", "cost").join(low, "form").where(F.col("cost") <= F.col("low") + 1e-9).select("form", "known", "cost")
