@@ -49,8 +49,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, i: str = "i", j
 def component_sizes(membership: DataFrame) -> DataFrame:
     """(component, size, giant): sizes, and whether it is the largest (of equals the one named least)."""
     sizes = membership.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    first = sizes.agg(F.min_by("component", F.struct(-F.col("size"), "component")).alias("g"))
-    return sizes.join(F.broadcast(first)).select("component", "size", (F.col("component") == F.col("g")).alias("giant"))
+    first = sizes.agg(F.min_by("component", F.struct(-F.col("size"), "component")).alias("g")).scalar()
+    return sizes.select("component", "size", (F.col("component") == first).alias("giant"))
 
 
 def bridges(edges: DataFrame, scored: DataFrame, smallest: int = 3, k: int = 3) -> DataFrame:
@@ -157,14 +157,11 @@ def fill_within_bounds(candidates: DataFrame, protected: DataFrame, bounds: Data
         room = bounds.select(F.col("member").alias("node"), "bound").join(degree, "node", "left").select(
             "node", (F.col("bound") - F.coalesce("d", F.lit(0))).alias("room")).where("room > 0")
         open_ = left.join(room.toDF("i", "room_i"), "i").join(room.toDF("j", "room_j"), "j")
-        w = lambda c: Window.partitionBy(c).orderBy(F.desc("similarity"), "i", "j")
-        ranked = open_.withColumn("rank_i", F.row_number().over(w("i"))).withColumn("rank_j", F.row_number().over(w("j")))
         # A pair's rank at a node counts all pairs there, in which it may stand first or second.
         both = both_sides(open_.select("i", "j", "similarity")).withColumn("a", F.least("node", "other")).withColumn("b", F.greatest("node", "other"))
         rank = both.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("similarity"), "a", "b")))
         ok = rank.join(room, "node").where("rank <= room").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
         accepted = materialize(ok.select(F.col("a").alias("i"), F.col("b").alias("j")), "fill")
-        del ranked
         if not accepted.limit(1).count():
             return taken
         left = materialize(open_.select("i", "j", "similarity").join(accepted, ["i", "j"], "left_anti"), "fill")

@@ -102,10 +102,9 @@ def overlap(source_percent: Column, target_percent: Column) -> Column:
 
 def normalised_weight(edges: DataFrame, similarity: str = "similarity") -> DataFrame:
     """``edges`` with ``weight``: similarity scaled to 0.06 ... 1 between the least and the greatest."""
-    ends = edges.agg(F.min(similarity).alias("lo"), F.max(similarity).alias("hi"))
-    span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
-    return edges.join(F.broadcast(ends)).withColumn(
-        "weight", F.round(0.06 + 0.94 * (F.col(similarity) - F.col("lo")) / span, 4)).drop("lo", "hi")
+    ends = edges.agg(F.struct(F.min(similarity).alias("lo"), F.max(similarity).alias("hi")).alias("e")).scalar()
+    span = F.when(ends["hi"] > ends["lo"], ends["hi"] - ends["lo"]).otherwise(F.lit(1.0))
+    return edges.withColumn("weight", F.round(0.06 + 0.94 * (F.col(similarity) - ends["lo"]) / span, 4))
 
 
 def both_sides(edges: DataFrame, i: str = "i", j: str = "j", rest: list[str] | None = None) -> DataFrame:

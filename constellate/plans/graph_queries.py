@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from constellate.operators import graph as G
 from constellate.operators import project as P
+from constellate.session import materialize
 from constellate.plans.bindings import ATLAS_EDGES, BASKETS, NODES, SESSIONS, atlas_edges, baskets, nodes, sessions
 
 R = 6  # decimals at which sums of doubles are compared
@@ -76,7 +77,7 @@ def degree_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalized_weight(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark, d).withColumn("similarity", F.round("similarity", R))
+    e = materialize(_edges(spark, d).select("i", "j", F.round("similarity", R).alias("similarity")), "edges")  # read twice
     return P.normalised_weight(e).select("i", "j", "weight")
 
 

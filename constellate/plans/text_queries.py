@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from constellate.functions import scalars as S
@@ -67,12 +67,9 @@ def reach_formats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_sizes(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy()
     n = nodes(spark, d).select("id", S.reach_floor(F.col("subscribers")).alias("reach"))
-    ends = n.agg(F.min("reach").alias("lo"), F.max("reach").alias("hi"))
-    del w
-    return n.join(F.broadcast(ends)).select(
-        "id", S.node_size(F.col("reach"), F.col("lo"), F.col("hi")).alias("size"), F.round(S.node_radius(F.col("reach"), F.col("lo"), F.col("hi")), 4).alias("radius"))
+    ends = n.agg(F.struct(F.min("reach").alias("lo"), F.max("reach").alias("hi")).alias("e")).scalar()
+    return n.select("id", S.node_size(F.col("reach"), ends["lo"], ends["hi"]).alias("size"), F.round(S.node_radius(F.col("reach"), ends["lo"], ends["hi"]), 4).alias("radius"))
 
 
 def edge_scalars(spark: SparkSession, d: str) -> DataFrame:
