@@ -75,7 +75,7 @@ def pair_association(
         support = support.where(F.col("support") * F.lit(float(min_lift)) <= F.lit(float(baskets_in_all)))
     items = materialize(support.withColumn("code", F.monotonically_increasing_id()), "items")
     total = int(items.agg(F.sum("support")).first()[0] or 0)
-    coded = hot_split_join(incidence, items, "item", "support", total).select("basket", "code")
+    coded = materialize(hot_split_join(incidence, items, "item", "support", total).select("basket", "code"), "coded")  # read three times
     blocks = _blocks(coded, "basket", ordinary, chunk)
     inner = blocks.where(F.col("ys").isNull()).select(
         F.posexplode("xs").alias("pos", "a"), "xs"
