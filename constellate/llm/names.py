@@ -159,7 +159,6 @@ def name_cost(a: Name, b: Name, telling: frozenset[str], edits: int = 2) -> floa
     if a.numbers != b.numbers:
         return None
     best = None
-    told = sum(w in telling for w in b.words)
     d = distance(a.joined, b.joined, 2)
     if d <= 1 and len(b.joined) >= 8 or d == 2 and len(b.joined) >= 12:
         best = (0.0 if a.words == b.words else 0.45) + d
@@ -183,8 +182,8 @@ def name_cost(a: Name, b: Name, telling: frozenset[str], edits: int = 2) -> floa
                 go(k + 1, used | 1 << i, cost + c[0], spent + c[1], spelt + (c[0] == c[1]))
         if k < b.lead and len(b.words) - b.lead >= 2:
             go(k + 1, used, cost + 1.0, spent, spelt)
-        elif k == len(b.words) - 1 and k >= 2 and told >= 2 and b.words[k] not in telling:
-            go(k + 1, used, cost + 1.0, spent, spelt)
+        elif k == len(b.words) - 1 and k >= 2 and not b.lead and spelt == k and b.words[k] not in telling:
+            go(k + 1, used, cost + 1.0, spent, spelt)  # the kind of act left out: "A B" for "A B Collective"
 
     if len(a.words) <= 8 and len(b.words) <= 8:
         go(0, 0, start, 0, 0)
