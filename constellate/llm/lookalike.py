@@ -106,6 +106,11 @@ def _has_twin(ch: str) -> bool:
     return ch in _TO_LATIN or ch in _FROM_LATIN["CYRILLIC"] or ch in _FROM_LATIN["GREEK"]
 
 
+def _exact_twin(ch: str, target: str) -> bool:
+    latin = ch if script(ch) == "LATIN" else STRICT.get(ch)
+    return latin is not None and (target == "LATIN" or any(v == latin and script(k) == target for k, v in STRICT.items()))
+
+
 def into(word: str, target: str) -> str | None:
     """``word`` with every letter of another European script replaced by its look-alike in ``target``; None if one has none."""
     out = []
@@ -134,7 +139,9 @@ def one_script(word: str) -> str:
     if len(kinds) < 2:
         return word
     strong = {s: sum(1 for ch in word if script(ch) == s and not _has_twin(ch)) for s in kinds}
-    for s in sorted(kinds, key=lambda s: (-strong[s], -found.count(s), _EUROPEAN.index(s))):
+    # Letters that are only roughly alike speak against a script that would need them.
+    rough = {s: sum(1 for ch in word if script(ch) in _EUROPEAN and script(ch) != s and not _exact_twin(ch, s)) for s in kinds}
+    for s in sorted(kinds, key=lambda s: (-strong[s], rough[s], -found.count(s), _EUROPEAN.index(s))):
         out = into(word, s)
         if out is not None:
             return out

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from constellate.llm.bpe import spread
-from constellate.llm.lookalike import STRICT, TWINS, plain_form, script
+from constellate.llm.lookalike import STRICT, TWINS, into, plain_form, script
 from constellate.session import materialize
 
 # Everyday short forms of given names.
@@ -49,7 +49,8 @@ _LEET = str.maketrans("013457", "oieast")
 def spelling(name: str) -> str:
     """What counts as the spelling of a name: character forms, case and blanks at the ends and in rows aside.
 
-    In a name with plainly Latin letters and no plainly Greek or Cyrillic ones, look-alikes are Latin letters.
+    In a name with plainly Latin letters and no plainly Greek or Cyrillic ones, look-alikes are Latin letters; in one with
+    plainly Cyrillic and no plainly Latin ones they are Cyrillic.
     """
     form = plain_form(name)
     if not form.isascii():
@@ -57,6 +58,8 @@ def spelling(name: str) -> str:
         if alike != form and all(script(c) not in ("GREEK", "CYRILLIC") for c in alike):
             if any(script(c) == "LATIN" and c not in TWINS for c in form):
                 form = alike
+        elif any(script(c) == "CYRILLIC" and c not in STRICT for c in form) and all(script(c) != "LATIN" or c in TWINS for c in form):
+            form = into(form, "CYRILLIC") or form
     return re.sub(r"\s+", " ", form).strip().casefold()
 
 
