@@ -9,6 +9,8 @@ from constellate.functions import text as X
 from constellate.operators import identity as I
 from constellate.operators import project as P
 from constellate.operators import quality as Q
+from constellate.operators import releases as E
+from constellate.operators import report as T
 from constellate.operators import votes as V
 from constellate.plans.bindings import ATLAS_EDGES, NODES, PLAYLISTS, atlas_edges, nodes, playlists, table
 from constellate.session import materialize
@@ -260,8 +262,66 @@ def round_robin_anchors(spark: SparkSession, d: str) -> DataFrame:
     return V.round_robin(c.join(size, "container"), "label", "unit", [F.desc("size"), F.asc("container")], 10).select("label", "container", "place")
 
 
+def related_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Each label's own lists that clearly belong to it when judged without themselves, the strongest first."""
+    s, m = _search(spark, d), _members(spark, d)
+    own = V.ranked_votes(V.votes(m.join(s.select("container"), "container", "left_semi"), evidence(spark, d), s), m)
+    b = own.where(V.clear()).join(s, ["container", "label"], "left_semi").withColumn("score", F.round(F.col("votes") / F.col("size"), R))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "container"))
+    return b.withColumn("rank", rank).where("rank <= 10").select("label", "container", "score", "rank")
+
+
+def community_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Communities named by the three labels that cover them best for their coverage in all."""
+    from constellate.functions.scalars import title_score
+
+    n = nodes(spark, d).where("continentId is not null").select("id", F.col("continentId").alias("community"), F.col("topSubgenres").alias("tags"))
+    tags = T.member_tags(n)
+    every = n.agg(F.count(F.lit(1)).alias("n")).scalar()
+    overall = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("all"))
+    size = n.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    c = tags.join(n.select("id", "community"), "id").groupBy("community", "tag").agg(F.count(F.lit(1)).alias("n")).join(overall, "tag").join(size, "community")
+    c = c.withColumn("score", F.round(title_score(F.col("n") / F.col("size"), F.col("all") / every), 9))
+    rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("score"), F.desc("n"), "tag"))
+    top = c.withColumn("rank", rank).where("rank <= 3").groupBy("community").agg(F.array_sort(F.collect_list(F.struct("rank", "tag"))).alias("t"))
+    return top.select("community", F.array_join(F.transform("t", lambda x: X.display_name(x["tag"])), " / ").alias("title"))
+
+
+def _official(spark: SparkSession, d: str) -> DataFrame:
+    t = _tracks(spark, d).where("channel_id is not null and channel_id != '' and artist_name is not null and title is not null")
+    return t.select(F.lower("artist_name").alias("name"), X.song_key(F.col("title")).alias("song")).distinct()
+
+
+def frequent_titles(spark: SparkSession, d: str) -> DataFrame:
+    t = _tracks(spark, d).where("artist_id like 'name_%'")
+    return E.frequent_titles(t, "artist_id").select("artist_id", "title", "n", "rank")
+
+
+def song_votes(spark: SparkSession, d: str) -> DataFrame:
+    titles = frequent_titles(spark, d).groupBy(F.col("artist_id").alias("name"), X.song_key(F.col("title")).alias("song")).agg(F.min("rank").alias("rank"))
+    return E.song_votes(titles, _official(spark, d).withColumnRenamed("name", "artist"))
+
+
+def credit_by_title(spark: SparkSession, d: str) -> DataFrame:
+    t = _tracks(spark, d).where("(channel_id is null or channel_id = '') and artist_name is not null and artist_name != ''").where(F.contains("title", F.lit(" - ")))
+    return E.credit_by_title(t, _official(spark, d))
+
+
+def shared_word_match(spark: SparkSession, d: str) -> DataFrame:
+    words = lambda t, key: t.groupBy(key.alias("k"), F.lower(F.trim("artist_name")).alias("name")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(X.content_words(F.col("title")))))).alias("words"))
+    t = _tracks(spark, d).where("artist_name is not null and artist_name != '' and title is not null")
+    targets = words(t.where("artist_id like 'name_%'"), F.col("artist_id")).withColumnRenamed("k", "target")
+    known = words(t.where("artist_id like 'yt_%'"), F.col("artist_id")).withColumnRenamed("k", "candidate").withColumn("fans", F.size("words"))
+    return E.by_shared_words(targets, known)
+
+
+def competitors(spark: SparkSession, d: str) -> DataFrame:
+    n = nodes(spark, d).select("id", X.match_form(F.col("label")).alias("form"), F.coalesce("subscribers", F.lit(0)).alias("fans"))
+    return E.competitors(n.where("form != '' and instr(form, ' ') = 0").select(F.col("id").alias("target"), "form"), n.withColumnRenamed("id", "candidate"))
+
+
 QUERIES = {f.__name__: f for f in (
-    system_lists, no_tracks, size_guard, dominant_member_guard, curator_cap, uploader_channels, consensus_members, copy_classes, copy_links, sequential_accept,
+    related_anchors, community_titles, frequent_titles, song_votes, credit_by_title, shared_word_match, competitors, system_lists, no_tracks, size_guard, dominant_member_guard, curator_cap, uploader_channels, consensus_members, copy_classes, copy_links, sequential_accept,
     survivors, provenance, budgeted_expansion, known_ids, credit_keys, credit_resolution, joint_credits, tiered_name_match, shared_names, display_case, merged_entities,
     vocabulary_match, names_of_items, evidence, core_labels, label_votes, label_votes_leave_one_out, judged_labels, seed_label, lift_table, lift_ranking, tag_tiers,
     neighbour_check, anchors, round_robin_anchors)}
@@ -345,7 +405,29 @@ _PHRASE = lambda x: f"' ' || trim(regexp_replace(strip_accents(lower({compat(f'c
 _NAMED = f"(SELECT container, label, CAST(contains({_PHRASE('title')}, {_PHRASE('label')}) AS INT) AS named FROM {_C} WHERE source = 'search' AND label <> '')"
 _SYS_T = "lower(trim(coalesce(title, '')))"
 
+_OFF = f"""(SELECT DISTINCT lower(artist_name) AS name, lower(trim({compat("regexp_split_to_array(title, '(?i)\\s*[\\(\\[【]|\\s+(?:ft\\.?|feat\\.?)\\s+')[1]")})) AS song
+    FROM {_TR} WHERE channel_id <> '' AND artist_name IS NOT NULL AND title IS NOT NULL)"""
+_FREQ = f"""(SELECT artist_id, title, n, CAST(row_number() OVER (PARTITION BY artist_id ORDER BY n DESC, title) AS INT) AS rank FROM (SELECT artist_id, title, count(*) AS n FROM {_TR} WHERE starts_with(artist_id, 'name_') AND title IS NOT NULL GROUP BY 1, 2))"""
+_TITLE_SONG = f"""lower(trim({compat("regexp_split_to_array(title, '(?i)\\s*[\\(\\[【]|\\s+(?:ft\\.?|feat\\.?)\\s+')[1]")}))"""
+_TAGS = f'(SELECT DISTINCT id, community, unnest(tags) AS tag FROM (SELECT id, "continentId" AS community, "topSubgenres" AS tags FROM {NODES} WHERE "continentId" IS NOT NULL))'
+_SHOWN = f"""array_to_string(list_transform(list_filter(regexp_split_to_array(trim(tag), '\\s+'), lambda w: w <> ''), lambda w: coalesce(
+    MAP {{{{{', '.join(f'{q(k)}: {q(v)}' for k, v in X.ACRONYMS.items())}}}}}[lower(w)], array_to_string(list_transform(regexp_extract_all(w, '\\p{{{{L}}}}+|\\P{{{{L}}}}+'), lambda r: upper(left(r, 1)) || lower(substr(r, 2))), ''))), ' ')""".replace("{{", "{").replace("}}", "}")
+
 ORACLES = {
+    "related_anchors": f"""SELECT label, container, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, container) AS rank FROM (
+        SELECT label, container, round(votes / size, {R}) AS score FROM {_ranked(_votes(f'(SELECT * FROM {_M} SEMI JOIN {_S} USING (container))', _EV, _S), _SIZE)} SEMI JOIN {_S} USING (container, label) WHERE {_CLEAR})) WHERE rank <= 10""",
+    "community_titles": f"""WITH t AS (SELECT * FROM {_TAGS}), n AS (SELECT id, "continentId" AS community FROM {NODES} WHERE "continentId" IS NOT NULL),
+        c AS (SELECT community, tag, n, round(pow(n / size, 0.8) * ln(1 + (n / size) / ("all" / (SELECT count(*) FROM n) + 0.02)), 9) AS score FROM (SELECT community, tag, count(*) AS n FROM t GROUP BY 1, 2)
+          JOIN (SELECT tag, count(*) AS "all" FROM t GROUP BY 1) USING (tag) JOIN (SELECT community, count(*) AS size FROM n GROUP BY 1) USING (community))
+        SELECT community, string_agg({_SHOWN}, ' / ' ORDER BY rank) AS title FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY score DESC, n DESC, tag) AS rank FROM c) WHERE rank <= 3 GROUP BY community""",
+    "frequent_titles": f"SELECT artist_id, title, n, rank FROM {_FREQ} WHERE rank <= 5",
+    "song_votes": f"""WITH s AS (SELECT artist_id AS name, {_TITLE_SONG} AS song, min(rank) AS rank FROM {_FREQ} WHERE rank <= 5 GROUP BY 1, 2),
+        v AS (SELECT s.name, o.name AS artist, count(DISTINCT song) AS votes FROM s JOIN {_OFF} o USING (song) GROUP BY 1, 2), b AS (SELECT *, max(votes) OVER (PARTITION BY name) AS best FROM v),
+        w AS (SELECT *, count(*) OVER (PARTITION BY name) AS ties FROM b WHERE votes = best)
+        SELECT name, artist, votes FROM w JOIN (SELECT name, count(*) AS songs FROM s GROUP BY 1) USING (name) WHERE ties = 1 AND votes >= least(2, songs)""",
+    "competitors": f"""WITH n AS (SELECT id, coalesce({_match_sql('label')}, '') AS form, coalesce(subscribers, 0) AS fans FROM {NODES}),
+        w AS (SELECT DISTINCT id, form AS whole, fans, unnest(regexp_split_to_array(form, '\\s+')) AS word FROM n WHERE fans > 0)
+        SELECT target, candidate FROM (SELECT t.id AS target, w.id AS candidate, row_number() OVER (PARTITION BY t.id ORDER BY w.fans DESC, w.id) AS r FROM n t JOIN w ON w.word = t.form WHERE t.form <> '' AND NOT contains(t.form, ' ') AND whole <> t.form) WHERE r <= 5""",
     "system_lists": f"""SELECT id, contains(lower(id), 'rdclak') OR lower(trim(coalesce(author, ''))) IN {in_list(X.SYSTEM_AUTHORS)}
         OR {' OR '.join(f"contains(lower(id), {q(t)}) OR contains({_SYS_T}, {q(t)})" for t in X.SYSTEM_TOKENS)}
         OR {' OR '.join(f"regexp_matches({_SYS_T}, {q(t)})" for t in X.SYSTEM_TITLES)} AS system FROM {PLAYLISTS}""",
