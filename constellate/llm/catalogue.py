@@ -53,7 +53,21 @@ QUERIES = {
 
 _INC = "SELECT DISTINCT id, t.artist_id AS a FROM (SELECT id, unnest(tracks) AS t FROM harvested_playlists) WHERE t.artist_id IS NOT NULL AND t.artist_id <> '' AND id IS NOT NULL"
 
+# Words of a text, as far as SQL can fold character forms: full-width signs, odd blanks, unseen characters.
+_FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u00a0\u2007\u2009\u202f\u3000"
+_HALF = "".join(chr(c) for c in range(0x21, 0x7F)) + " " * 5
+_WORDS = (
+    "regexp_extract_all(lower(translate(regexp_replace(text, '[\\x{200b}-\\x{200f}\\x{ad}\\x{2060}\\x{feff}\\x{fe00}-\\x{fe0f}]', '', 'g'), "
+    f"'{_FULL}', '{_HALF.replace(chr(39), chr(39) * 2)}')), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+)
+
+
+def _runs(table: str, key: str, n: int = 12) -> str:
+    return f"(SELECT DISTINCT {key}, array_to_string(ws[i:i + {n - 1}], ' ') AS run FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM (SELECT {key}, {_WORDS} AS ws FROM {table} WHERE text IS NOT NULL)))"
+
+
 ORACLES = {
+    "p7_found": f"SELECT DISTINCT doc_id, item_id FROM {_runs('documents', 'doc_id')} JOIN {_runs('eval_items', 'item_id')} USING (run)",
     "p2_found": f"""
         WITH inc AS ({_INC}), sup AS (SELECT a, count(*) AS n FROM inc GROUP BY a),
         pairs AS (SELECT x.a AS id_a, y.a AS id_b, count(*) AS n FROM inc x JOIN inc y ON x.id = y.id AND x.a < y.a GROUP BY 1, 2 HAVING count(*) >= 5)
