@@ -28,6 +28,16 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitio
     return spread.join(F.broadcast(starts), "__range").withColumn(name, rank.cast("bigint")).drop("__range", "__first")
 
 
+def rank_within(df: DataFrame, group: str, order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with the rank from 0 of each row within its group, for few groups that may each be huge.
+
+    One total rank by group and order, less the first rank of the group; no group has to fit one task.  Null is a group.
+    """
+    ranked = global_rank(df, [F.col(group).asc_nulls_first(), *order], "__rank")
+    first = ranked.groupBy(F.col(group).alias("__group")).agg(F.min("__rank").alias("__first"))
+    return ranked.join(first, F.col(group).eqNullSafe(F.col("__group"))).withColumn(name, F.col("__rank") - F.col("__first")).drop("__rank", "__first", "__group")
+
+
 def paginate(df: DataFrame, order: list[Column], size: int = 250) -> DataFrame:
     """``df`` with ``rank`` (from 0) and ``page`` (from 0) of ``size`` rows."""
     return global_rank(df, order).withColumn("page", F.floor(F.col("rank") / size).cast("bigint"))

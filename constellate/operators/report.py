@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from constellate.operators.ranking import rank_within
+
 
 def member_tags(nodes: DataFrame) -> DataFrame:
     """(id, tag) of every distinct tag of a node."""
@@ -88,14 +90,12 @@ def density(points: DataFrame, cell: float = 6.0, levels: int = 5) -> DataFrame:
 def letter_pages(nodes: DataFrame, letter: Column, size: int = 250) -> DataFrame:
     """(letter, page, n, first, last): index pages of each letter, labels in order."""
     n = nodes.select(letter.alias("letter"), "label", "id")
-    rank = F.row_number().over(Window.partitionBy("letter").orderBy("label", "id")) - 1
-    p = n.withColumn("page", F.floor(rank / size).cast("bigint"))
+    p = rank_within(n, "letter", [F.col("label"), F.col("id")]).withColumn("page", F.floor(F.col("rank") / size).cast("bigint"))
     return p.groupBy("letter", "page").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first"), F.max("label").alias("last"))
 
 
 def sitemap_files(paths: DataFrame, site: str, lastmod: Column, most: int = 50_000) -> DataFrame:
     """(family, file, urls, bytes) of sitemap files: paths (family, path) in order, ``most`` a file."""
-    rank = F.row_number().over(Window.partitionBy("family").orderBy("path")) - 1
-    f = paths.withColumn("file", F.floor(rank / most).cast("bigint"))
+    f = rank_within(paths, "family", [F.col("path")]).withColumn("file", F.floor(F.col("rank") / most).cast("bigint"))
     entry = F.concat(F.lit("  <url><loc>" + site), "path", F.lit("</loc><lastmod>"), lastmod, F.lit("</lastmod></url>"))
     return f.groupBy("family", "file").agg(F.count(F.lit(1)).alias("urls"), F.sum(F.length(entry) + 1).alias("bytes"))

@@ -27,6 +27,8 @@ def test_global_rank_and_pages(spark):
     rows = [(k, rng.randint(0, 9)) for k in range(400)]
     got = {r.id: r.rank for r in K.global_rank(spark.createDataFrame(rows, "id int, v int"), [F.desc("v"), F.asc("id")], partitions=5).collect()}
     assert got == {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    within = {r.id: r.r for r in K.rank_within(spark.createDataFrame(rows, "id int, v int"), "v", [F.desc("id")], "r").collect()}
+    assert within == {i: sum(1 for j, w in rows if w == v and j > i) for i, v in rows}
     assert K.page_numbers(26, 5) == [0, None, 3, 4, 5, 6, 7, None, 25] and K.page_numbers(1, 0) == [0]
 
 
