@@ -159,11 +159,11 @@ class Lexicon:
                     at = i
             yield ws[at:]
 
-    def shares(self, text: str | None) -> tuple[dict[int, float], float]:
-        """Sentences (or, where stops are missing, as many usual ones as its words make) by subject, and in all."""
+    def shares(self, ss: list[list[str]]) -> tuple[dict[int, float], float]:
+        """Sentences (or, where stops are missing, as many usual ones as their words make) by subject, and in all."""
         by: dict[int, float] = defaultdict(float)
         n = 0.0
-        for ws in self.split(sentences(text)) if text else ():
+        for ws in self.split(ss):
             if len(ws) > RUN_ON:
                 n += len(ws) / USUAL
                 line_at = np.cumsum([0, *(len(w) + 1 for w in ws)])
@@ -207,26 +207,42 @@ def _seed(subjects: list[str], rows: Iterable[tuple[str | None, str | None]], pu
     return out
 
 
-def _openers(documents: DataFrame, text: str, least: int = 8, mostly: float = 0.85) -> frozenset[str]:
+def tokenised(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, sentences): the words of each sentence, blank-delimited; parsed and written once for all passes."""
+    schema = T.StructType([T.StructField(key, documents.schema[key].dataType), T.StructField("sentences", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [[" ".join(ws) for ws in sentences(t)] if t else [] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.string()))], names=[key, "sentences"])
+
+    return materialize(spread(documents.select(key, text)).mapInArrow(run, schema), "sentences")
+
+
+def _split(column: pa.Array) -> Iterator[list[list[str]]]:
+    for ss in column.to_pylist():
+        yield [s.split(" ") for s in ss]
+
+
+def _openers(parsed: DataFrame, least: int = 8, mostly: float = 0.85) -> frozenset[str]:
     """Words and pairs of words that mostly stand at the beginning of a sentence, over all texts with stops."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opens: Counter = Counter()
         within: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                ss = sentences(t) if t else []
+            for ss in _split(b.column(0)):
                 if any(len(ws) > RUN_ON for ws in ss):
                     continue
                 for ws in ss:
                     opens.update({ws[0], " ".join(ws[:2])})
                     within.update(ws)
-                    within.update(f"{x} {y}" for x, y in zip(ws, ws[1:]))
+                    within.update(map(" ".join, zip(ws, ws[1:])))
             if len(within) > 200_000:
                 yield _counted(opens, within)
         yield _counted(opens, within)
 
-    sums = documents.select(text).mapInArrow(run, "term string, opens bigint, n bigint").groupBy("term").agg(F.sum("opens").alias("opens"), F.sum("n").alias("n"))
+    sums = parsed.select("sentences").mapInArrow(run, "term string, opens bigint, n bigint").groupBy("term").agg(F.sum("opens").alias("opens"), F.sum("n").alias("n"))
     kept = sums.where((F.col("opens") >= least) & (F.col("opens") >= F.col("n") * mostly)).orderBy(F.col("opens").desc(), "term").limit(20_000)
     return frozenset(r["term"] for r in kept.select("term").collect())
 
@@ -240,10 +256,10 @@ def _counted(opens: Counter, within: Counter) -> pa.RecordBatch:
     return out
 
 
-def _round(documents: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
+def _round(parsed: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(term, n, by): over all documents with two or more sentences of known subject, documents holding the term, and the
     sum of those documents' subject shares."""
-    model = documents.sparkSession.sparkContext.broadcast(lexicon)
+    model = parsed.sparkSession.sparkContext.broadcast(lexicon)
     k = len(lexicon.subjects)
     schema = "term string, n bigint, " + ", ".join(f"s{i} double" for i in range(k))
     flush_at = 200_000
@@ -259,10 +275,7 @@ def _round(documents: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
             return pa.RecordBatch.from_arrays(cols, names=["term", "n", *(f"s{i}" for i in range(k))])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if not t:
-                    continue
-                ss = sentences(t)
+            for ss in _split(b.column(0)):
                 row = np.zeros(k + 1)
                 for ws in ss:
                     s, v = lex.score(ws)
@@ -285,7 +298,7 @@ def _round(documents: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
             yield flush()
 
     return (
-        documents.select(text).mapInArrow(run, schema)
+        parsed.select("sentences").mapInArrow(run, schema)
         .groupBy("term").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
     )
 
@@ -305,69 +318,70 @@ def _curate(stats: DataFrame, subjects: list[str], purity: float, sure: float, l
     return out
 
 
-def _valley(documents: DataFrame, text: str, lexicon: Lexicon, lo: float, hi: float, bins: int = 60) -> float:
+def _valley(parsed: DataFrame, lexicon: Lexicon, lo: float, hi: float, bins: int = 60) -> float:
     """The emptiest place of the histogram of sentence scores between ``lo`` and ``hi``, over all sentences."""
-    model = documents.sparkSession.sparkContext.broadcast(lexicon)
+    model = parsed.sparkSession.sparkContext.broadcast(lexicon)
     width = (hi - lo) / bins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = model.value
         for b in batches:
             counts: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                for ws in sentences(t) if t else ():
+            for ss in _split(b.column(0)):
+                for ws in ss:
                     v = lex.score(ws)[1]
                     if lo <= v < hi:
                         counts[int((v - lo) / width)] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["bin", "n"])
 
-    found = {r["bin"]: r["n"] for r in documents.select(text).mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    found = {r["bin"]: r["n"] for r in parsed.select("sentences").mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     smooth = [sum(found.get(i + j, 0) for j in range(-3, 4)) for i in range(bins)]
     return lo + width * (smooth.index(min(smooth)) + 0.5) if found else lo
 
 
 def learn(
-    documents: DataFrame, text: str, examples: DataFrame, subject: str, example_text: str, areas: list[str],
+    parsed: DataFrame, examples: DataFrame, subject: str, example_text: str, areas: list[str],
     rounds: int = 4, purity: float = 0.4, sure: float = 1.5, least: int = 8, max_examples: int = 100_000, max_terms: int = 200_000,
 ) -> Lexicon:
     """The lexicon of ``areas``: from at most ``max_examples`` labelled rows, then ``rounds`` passes over all documents.
 
-    A term is kept if at least ``least`` documents hold it and its share of one subject in them exceeds ``purity`` by
-    ``sure`` standard errors.  ``max_terms`` bounds the model (the best attested terms stay), whatever the corpus.
+    ``parsed`` is the corpus by :func:`tokenised`.  A term is kept if at least ``least`` documents hold it and its share of
+    one subject in them exceeds ``purity`` by ``sure`` standard errors.  ``max_terms`` bounds the model (the best attested
+    terms stay), whatever the corpus.
     """
     rows = [(r[0], r[1]) for r in examples.select(subject, example_text).where(F.col(subject).isNotNull() & F.col(example_text).isNotNull()).limit(max_examples).collect()]
     seed = _seed(areas, rows)
-    openers = _openers(documents, text)
+    openers = _openers(parsed)
     lexicon = Lexicon(areas, seed, 0.4, openers)
     for _ in range(rounds):
-        found = _curate(_round(documents, text, lexicon), areas, purity, sure, least, max_terms)
+        found = _curate(_round(parsed, lexicon), areas, purity, sure, least, max_terms)
         if not found:  # a corpus too small to curate on
             return Lexicon(areas, seed, 0.4, openers)
         lexicon = Lexicon(areas, found, 0.1, openers)
-    return Lexicon(areas, lexicon.entries, _valley(documents, text, lexicon, 0.05, 0.4), openers)
+    return Lexicon(areas, lexicon.entries, _valley(parsed, lexicon, 0.05, 0.4), openers)
 
 
-def subject_shares(documents: DataFrame, key: str, text: str, lexicon: Lexicon) -> DataFrame:
+def subject_shares(parsed: DataFrame, key: str, lexicon: Lexicon) -> DataFrame:
     """(key, subject, share) of every subject that a sentence of the document deals with.
 
     Null, empty and blank texts have no row; repeated rows and null keys are kept as they are.
     """
-    model = documents.sparkSession.sparkContext.broadcast(lexicon)
-    schema = T.StructType([T.StructField(key, documents.schema[key].dataType), T.StructField("subject", T.StringType()), T.StructField("share", T.DoubleType())])
+    model = parsed.sparkSession.sparkContext.broadcast(lexicon)
+    schema = T.StructType([T.StructField(key, parsed.schema[key].dataType), T.StructField("subject", T.StringType()), T.StructField("share", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = model.value
         for b in batches:
             at, names, shares = [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                by, n = lex.shares(t)
+            for i, ss in enumerate(_split(b.column(1))):
+                by, n = lex.shares(ss)
                 for s, c in by.items():
                     at.append(i)
                     names.append(lex.subjects[s])
                     shares.append(min(1.0, c / n))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=[key, "subject", "share"])
 
-    return spread(documents.select(key, text)).mapInArrow(run, schema)
+    return parsed.select(key, "sentences").mapInArrow(run, schema)
 
 
 def document_subjects(
@@ -375,8 +389,6 @@ def document_subjects(
 ) -> DataFrame:
     """(key, subject): every subject of ``areas`` that at least ``share`` of the document's sentences deal with."""
     names = sorted(r[0] for r in areas.select("subject").where("subject is not null").distinct().collect())
-    texts = spread(documents.select(key, text))
-    if texts.rdd.getNumPartitions() != documents.rdd.getNumPartitions():
-        texts = materialize(texts, "texts")  # spread once for all rounds
-    lexicon = learn(texts, text, examples, "subject", "text", names, **learning)
-    return subject_shares(texts, key, text, lexicon).where(F.col("share") >= share).select(key, "subject")
+    parsed = tokenised(documents, key, text)
+    lexicon = learn(parsed, examples, "subject", "text", names, **learning)
+    return subject_shares(parsed, key, lexicon).where(F.col("share") >= share).select(key, "subject")

@@ -59,9 +59,9 @@ def test_held_out_examples(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     e = spark.createDataFrame([(i, s, t) for i, s, t, _ in train], "example_id bigint, subject string, text string")
     areas = sorted({s for _, s, _, _ in rows})
-    lexicon = S.learn(docs, "text", e, "subject", "text", areas)
+    lexicon = S.learn(S.tokenised(docs, "doc_id", "text"), e, "subject", "text", areas)
     right = 0
     for _, s, t, _ in held:
-        by, n = lexicon.shares(t)
+        by, n = lexicon.shares(S.sentences(t))
         right += bool(by) and lexicon.subjects[max(by, key=by.get)] == s
     assert right / len(held) > 0.85  # some labels of the examples are wrong
