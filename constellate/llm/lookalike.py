@@ -246,8 +246,8 @@ def choose(word: str, around: str, attested: list[tuple[str, int]]) -> str:
     ``around`` names the scripts of the letters in the same text that look like no other script's (C, G, L).  A word
     that the table already changes takes the table's form, unless that form's letters could all be of another script
     in which alone it is attested.  A word whose letters could all be of two scripts keeps its own where the text around
-    it is in that script; where that text is in another one, an attested spelling in it wins; where there is none, the
-    better attested spelling does, its own on equal terms.
+    it is in that script; else the better attested spelling wins.  Text in the other script around it lets that spelling
+    win with an eighth of the support; without any text around, equal support keeps the word.
     """
     by_table = plain_form(word)
     letters = [c for c in by_table if script(c) in _EUROPEAN]
@@ -259,11 +259,15 @@ def choose(word: str, around: str, attested: list[tuple[str, int]]) -> str:
     support = {plain_form(w): 0 for w, _ in attested}
     for w, n in attested:
         support[plain_form(w)] += n
-    best, mine = by_table, 0 if around and own not in around else support.get(by_table, 0)
+    mine = support.get(by_table, 0)
+    best, most = by_table, 0
     for w, n in sorted(support.items()):
         s = next((script(c)[0] for c in w if script(c) in _EUROPEAN), "")
-        if w != by_table and n > mine and s != own and (not around or s in around):
-            best, mine = w, n
+        if w == by_table or s == own or (around and s not in around):
+            continue
+        # Text in the other script around it speaks for that script, but not against a word that is common in its own.
+        if n > most and (n > mine or around and n * 8 >= mine):
+            best, most = w, n
     return best
 
 

@@ -34,6 +34,8 @@ def test_words_of_two_readings():
     assert la.choose("Хор", "C", [("Хор", 3), ("Xop", 9)]) == "Хор"
     assert la.choose("СОРЕ", "L", [("СОРЕ", 1), ("COPE", 2)]) == "COPE"
     assert la.choose("СОРЕ", "", [("СОРЕ", 1)]) == "СОРЕ"
+    assert la.choose("Topic", "C", [("Topic", 900), ("Торіс", 5)]) == "Topic"
+    assert la.choose("Торіс", "C", [("Topic", 900), ("Торіс", 5)]) == "Торіс"
     assert la.choose("Xop", "C", [("Xop", 1), ("Хор", 5)]) == "Хор"
 
 
