@@ -38,8 +38,9 @@ def get_session(app: str = "constellate", cores: int | str = "*", **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for durable intermediates: ``spark.checkpoint.dir`` of the session, else one made for this process."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for durable intermediates: ``spark.checkpoint.dir`` of the session, else the context's checkpoint folder,
+    else one made for this process."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_dir:
         return set_dir.rstrip("/")
     app = spark.sparkContext.applicationId
