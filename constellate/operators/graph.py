@@ -73,6 +73,32 @@ def bridges(edges: DataFrame, scored: DataFrame, smallest: int = 3, k: int = 3)
     return across.withColumn("rank", rank).where(F.col("rank") <= k).select("component", "i", "j", "similarity")
 
 
+def bridge_satellites(edges: DataFrame, scored: DataFrame, smallest: int = 3, k: int = 3, floor: float = 0.12) -> DataFrame:
+    """(component, i, j, similarity): bridges of all satellites, where satellites joined before become targets, too.
+
+    Satellites of ``smallest`` nodes or more are joined from the smallest on (equals by name), each by its ``k`` strongest
+    scored pairs to the giant component or to satellites joined before it; similarities are raised to ``floor``.  Which
+    satellites join is a search from the giant component over the table of components, a round for each link of the
+    longest chain.  Satellites that nothing links stay apart.
+    """
+    m = components(edges.select("i", "j"))
+    t = m.join(component_sizes(m), "component").where(F.col("giant") | (F.col("size") >= smallest))
+    side = lambda end: t.select(F.col("node").alias(end), F.struct((~F.col("giant")).alias("satellite"), "size", "component").alias(f"o{end}"))
+    pairs = scored.select("i", "j", "similarity").join(side("i"), "i").join(side("j"), "j").where(F.col("oi.component") != F.col("oj.component"))
+    # The later of the two in the order (giant first, then by size and name) is the one that is joined.
+    rows = materialize(pairs.select(
+        F.greatest("oi", "oj")["component"].alias("component"), F.least("oi", "oj")["component"].alias("target"), "i", "j", "similarity"), "bridges")
+    joined = materialize(t.where("giant").select(F.col("component").alias("target")).distinct(), "bridges")
+    while True:
+        new = materialize(rows.join(joined, "target").select(F.col("component").alias("target")).distinct().join(joined, "target", "left_anti"), "bridges")
+        if not new.limit(1).count():
+            break
+        joined = joined.unionByName(new)
+    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("similarity"), "i", "j"))
+    return rows.join(joined, "target").withColumn("rank", rank).where(F.col("rank") <= k).select(
+        "component", "i", "j", F.greatest(F.col("similarity"), F.lit(floor)).alias("similarity"))
+
+
 def neighbourhood(edges: DataFrame, node, i: str = "source", j: str = "target") -> DataFrame:
     """The links of one node."""
     return edges.where((F.col(i) == node) | (F.col(j) == node))

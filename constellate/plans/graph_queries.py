@@ -129,6 +129,11 @@ def bridges_round1(spark: SparkSession, d: str) -> DataFrame:
     return G.bridges(e.where("similarity >= 0.25 AND NOT isBridge"), e)
 
 
+def bridges_all(spark: SparkSession, d: str) -> DataFrame:
+    e = atlas_edges(spark, d).select(F.col("source").alias("i"), F.col("target").alias("j"), F.col("weight").alias("similarity"), "isBridge")
+    return G.bridge_satellites(e.where("similarity >= 0.25 AND NOT isBridge"), e, smallest=2)
+
+
 def shortest_strongest_path(spark: SparkSession, d: str) -> DataFrame:
     e = atlas_edges(spark, d)
     ends = nodes(spark, d).agg(F.min("id"), F.max("id")).first()
@@ -206,7 +211,7 @@ def subclass_closure(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     cosine_edges, session_edges, projection, projection_units, marginals, degree_bounds, normalized_weight, drawn_top6, rank_protected_top4,
-    strongest_k, supported_nodes, degree_bounded_graph, components, bridges_round1, shortest_strongest_path, neighbourhood, induced_subgraph,
+    strongest_k, supported_nodes, degree_bounded_graph, components, bridges_round1, bridges_all, shortest_strongest_path, neighbourhood, induced_subgraph,
     valid_edges, adjacency, community_links, community_affinity, top_affinities, modularity, louvain, split_oversize, merge_communities, subclass_closure)}
 
 _BOTH = f"(SELECT source AS node, target AS other, weight FROM {ATLAS_EDGES} UNION ALL SELECT target, source, weight FROM {ATLAS_EDGES})"
@@ -252,6 +257,13 @@ ORACLES = {
           FROM {ATLAS_EDGES} JOIN linked x ON x.node = source JOIN linked y ON y.node = target, giant WHERE (x.component = g) <> (y.component = g))
         SELECT component, i, j, similarity FROM (SELECT a.*, row_number() OVER (PARTITION BY a.component ORDER BY similarity DESC, i, j) AS rn
           FROM across a JOIN size USING (component) WHERE n >= 3) WHERE rn <= 3""",
+    "bridges_all": f"""WITH RECURSIVE {_COMP}, linked AS (SELECT * FROM comp WHERE node IN (SELECT source FROM {_STRONG_E} UNION SELECT target FROM {_STRONG_E})),
+        size AS (SELECT component, count(*) AS n FROM linked GROUP BY component), place AS (SELECT component, row_number() OVER (ORDER BY giant DESC, n, component) AS p FROM (
+          SELECT *, component = (SELECT component FROM size ORDER BY n DESC, component LIMIT 1) AS giant FROM size) WHERE n >= 2),
+        across AS (SELECT CASE WHEN a.p > b.p THEN a.component ELSE b.component END AS component, CASE WHEN a.p > b.p THEN b.component ELSE a.component END AS target, source AS i, e.target AS j, weight AS similarity
+          FROM {ATLAS_EDGES} e JOIN linked x ON x.node = source JOIN linked y ON y.node = e.target JOIN place a ON a.component = x.component JOIN place b ON b.component = y.component WHERE a.p <> b.p),
+        joined(c) AS (SELECT component FROM place WHERE p = 1 UNION SELECT a.component FROM joined JOIN across a ON a.target = c)
+        SELECT component, i, j, greatest(similarity, 0.12) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY similarity DESC, i, j) AS rn FROM across WHERE target IN (SELECT c FROM joined)) WHERE rn <= 3""",
     "neighbourhood": f"""WITH hub AS (SELECT node FROM {_BOTH} GROUP BY node ORDER BY count(*) DESC, node DESC LIMIT 1)
         SELECT source, target, weight FROM {ATLAS_EDGES}, hub WHERE source = node OR target = node""",
     "induced_subgraph": f'WITH m AS (SELECT id FROM {NODES} WHERE "continentId" = 1) SELECT source, target, weight FROM {ATLAS_EDGES} WHERE source IN (SELECT id FROM m) AND target IN (SELECT id FROM m)',

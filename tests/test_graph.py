@@ -110,3 +110,25 @@ def test_agglomerate_reaches_its_bounds():
     into = G.agglomerate(sizes, links, 6, 25, 350)
     kept = {k: sum(sizes[c] for c in sizes if into[c] == k) for k in set(into.values())}
     assert len(kept) <= 6 and min(kept.values()) >= 25 and sum(kept.values()) == sum(sizes.values())
+
+
+def test_bridging_equals_one_satellite_after_the_other(spark):
+    rng = random.Random(9)
+    for _ in range(3):
+        groups, at = [], 0
+        for n in (8, 2, 3, 4, 3, 5, 3):
+            groups.append(list(range(at, at + n)))
+            at += n
+        edges = [(g[k], g[k + 1], 0.9) for g in groups for k in range(len(g) - 1)]
+        scored = sorted({(*sorted(rng.sample(range(at), 2)), round(rng.random() * 0.3, 2)) for _ in range(14)})
+        home = {v: g[0] for g in groups for v in g}
+        size = {g[0]: len(g) for g in groups}
+        inside, want = {0}, set()
+        for c in sorted((c for c in size if c and size[c] >= 3), key=lambda c: (size[c], c)):
+            links = sorted(((-s, i, j) for i, j, s in scored if {home[i], home[j]} & {c} and (({home[i], home[j]} - {c}) & inside)))[:3]
+            if links:
+                inside.add(c)
+                want |= {(c, i, j, max(0.12, -s)) for s, i, j in links}
+        df = lambda rows: frame(spark, rows, "i int, j int, similarity double")
+        got = G.bridge_satellites(df(edges), df(scored))
+        assert {tuple(r) for r in got.collect()} == want
