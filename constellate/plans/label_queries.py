@@ -230,7 +230,7 @@ def tag_tiers(spark: SparkSession, d: str) -> DataFrame:
     consensus = on(c.select("container", "unit").join(judged.withColumnRenamed("judged", "label"), "container"))
     fallback = on(c.select("container", "unit", "label"))
     carrying = c.where("label != ''").select("container", "label").join(m, "container").groupBy("member", "label").agg(F.count(F.lit(1)).alias("n"))
-    stated = nodes(spark, d).where("continentId <= 6").select(F.col("id").alias("member"), F.explode("topSubgenres").alias("label"))
+    stated = nodes(spark, d).select(F.col("id").alias("member"), F.explode("topSubgenres").alias("label"))
     ranks = table(spark, d, "genres").select(F.col("genre").alias("label"), F.col("rank").alias("place"))
     t = V.tag_tiers(stated, carrying, consensus, fallback, ranks)
     return t.select("member", F.array_join("tags", "|").alias("tags"), "source")
