@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import pandas as pd
@@ -261,54 +262,171 @@ def local_louvain(adjacency: dict, gamma: float = 1.0, passes: int = 20) -> dict
     return {x: min(group) for group in members.values() for x in group}
 
 
-def communities(edges: DataFrame, gamma: float = 1.0, nodes: DataFrame | None = None, rounds: int = 8, small: int = 200_000) -> DataFrame:
-    """(node, community): communities by modularity, named by their least node.
+def _quality(inside: int, squares: int, total: int, gamma: float) -> float:
+    """Modularity from whole numbers, so that every way of summing gives the same."""
+    return 2 * inside / total - gamma * squares / (total * total)
+
+
+#: A sweep or level counts as growth if modularity gains more than this.
+_GROWTH = 1e-7
+
+
+def _settle(links: pd.DataFrame, total: int, gamma: float, patience: int) -> dict:
+    """{node: community}: the sweeps and levels of :func:`communities` on one graph held in memory.
 
-    Distributed part: nodes propose to join the neighbouring community of greatest modularity gain; only nodes of one
-    hashed half move in a round, so that neighbours do not swap for ever; each round is a join and two aggregations.  The
-    graph of communities, much smaller, is then finished by Louvain in one task, as long as it has at most ``small``
-    edges; a larger one keeps the distributed result.  Isolated ``nodes`` are communities of their own.
+    ``links`` is (a, b, w, ha, hb) with whole weights and the hashes of both ends; a = b is weight inside a node.
     """
-    e = materialize(edges.select("i", "j", F.col("weight").alias("w")).where("i is not null and j is not null and i != j"), "communities")
-    both = materialize(both_sides(e), "communities")
-    total = both.agg(F.sum("w")).first()[0] or 1.0
-    strength = materialize(both.groupBy("node").agg(F.sum("w").alias("s")), "communities")
-    if e.count() <= small:
-        label = strength.select("node", F.col("node").alias("community"))
-    else:
-        label = strength.select("node", F.col("node").alias("community"))
-        for r in range(rounds):
-            mass = label.join(strength, "node").groupBy("community").agg(F.sum("s").alias("mass"))
-            to = both.join(label.toDF("other", "community"), "other").groupBy("node", "community").agg(F.sum("w").alias("w"))
-            gain = (
-                to.join(mass, "community").join(strength, "node").join(label.toDF("node", "own"), "node")
-                .withColumn("rest", F.col("mass") - F.when(F.col("own") == F.col("community"), F.col("s")).otherwise(0.0))
-                .withColumn("gain", F.col("w") - gamma * F.col("rest") * F.col("s") / total)
-            )
-            best = gain.groupBy("node").agg(F.max_by("community", F.struct("gain", (F.col("own") == F.col("community")).alias("o"), "community")).alias("best"), F.max("own").alias("own"))
-            turn = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
-            label = materialize(best.select("node", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("community")), "communities")
-    folded = (
-        e.join(label.toDF("i", "a"), "i").join(label.toDF("j", "b"), "j")
-        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w"))
-    )
-    folded = materialize(folded, "communities")
-    if folded.count() <= small:
-        kind = e.schema["i"].dataType.simpleString()
-
-        def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-            adj: dict = defaultdict(dict)
-            for a, b, w in zip(pdf["a"], pdf["b"], pdf["w"]):
-                if a == b:
-                    adj[a][a] = adj[a].get(a, 0.0) + 2 * w
+    adj: dict = defaultdict(lambda: defaultdict(int))
+    strength: dict = defaultdict(int)
+    turn: dict = {}
+    inner = 0
+    for a, b, w, ha, hb in links[["a", "b", "w", "ha", "hb"]].itertuples(index=False):
+        w, turn[a], turn[b] = int(w), int(ha), int(hb)
+        strength[a] += w
+        strength[b] += w
+        if a == b:
+            inner += w
+        else:
+            adj[a][b] += w
+            adj[b][a] += w
+    into = {v: v for v in strength}
+
+    def state(com: dict) -> tuple[dict, dict]:
+        mass: dict = defaultdict(int)
+        count: dict = defaultdict(int)
+        for v, c in com.items():
+            mass[c] += strength[v]
+            count[c] += 1
+        return mass, count
+
+    def quality(com: dict) -> float:
+        inside = inner + sum(w for v, to in adj.items() for o, w in to.items() if com[v] == com[o]) // 2
+        return _quality(inside, sum(m * m for m in state(com)[0].values()), total, gamma)
+
+    while True:
+        com = {v: v for v in strength}
+        most, best, stale, k = quality(com), None, 0, 0
+        while stale < patience:
+            moved = 0
+            for half in (0, 1):
+                mass, count = state(com)
+                new = {}
+                for v, own in com.items():
+                    if (turn[v] >> (k % 60)) & 1 != half:
+                        continue
+                    to = {own: 0}
+                    for o, w in adj[v].items():
+                        to[com[o]] = to.get(com[o], 0) + w
+                    s, top = strength[v], None
+                    for c, w in to.items():
+                        if c == own or count[own] > 1 or count[c] > 1 or c > own:
+                            place = (w - gamma * (mass[c] - (s if c == own else 0)) * s / total, c == own, c)
+                            top = place if top is None or place > top else top
+                    if top[2] != own:
+                        new[v] = top[2]
+                com |= new
+                moved += len(new)
+            k += 1
+            if not moved:
+                break
+            now = quality(com)
+            if now > most + _GROWTH:
+                most, best, stale = now, dict(com), 0
+            else:
+                stale += 1
+        if best is None:
+            return into
+        into = {v: best[c] for v, c in into.items()}
+        folded: dict = defaultdict(lambda: defaultdict(int))
+        for v, to in adj.items():
+            for o, w in to.items():
+                if best[v] == best[o]:
+                    inner += w if v < o else 0
                 else:
-                    adj[a][b] = adj[a].get(b, 0.0) + w
-                    adj[b][a] = adj[b].get(a, 0.0) + w
-            out = local_louvain(adj, gamma)
-            return pd.DataFrame({"community": list(out), "final": list(out.values())})
+                    folded[best[v]][best[o]] += w
+        joined: dict = defaultdict(int)
+        for v, s in strength.items():
+            joined[best[v]] += s
+        adj, strength = folded, joined
+
+
+def _level(g: DataFrame, total: int, gamma: float, patience: int) -> DataFrame | None:
+    """(node, community) after the sweeps of one level over the graph (a, b, w), or None where modularity does not grow."""
+    both = materialize(both_sides(g.where("a != b"), "a", "b"), "communities")
+    inner = g.where("a = b").agg(F.sum("w")).first()[0] or 0
+    ends = g.select(F.col("a").alias("node"), "w").unionByName(g.select(F.col("b").alias("node"), "w"))
+    label = materialize(ends.groupBy("node").agg(F.sum("w").alias("s")).select(
+        "node", "s", F.xxhash64("node").alias("h"), F.col("node").alias("community"), F.lit(False).alias("moved")), "communities")
+
+    def quality() -> float:
+        a, b = label.select("node", F.col("community").alias("ca")), label.select(F.col("node").alias("other"), F.col("community").alias("cb"))
+        inside = both.join(a, "node").join(b, "other").where("ca = cb").agg(F.sum("w")).first()[0] or 0
+        mass = label.groupBy("community").agg(F.sum("s").cast("decimal(19,0)").alias("m"))
+        return _quality(inner + inside // 2, int(mass.agg(F.sum(F.col("m") * F.col("m"))).first()[0]), total, gamma)
+
+    most, best, stale, k = quality(), None, 0, 0
+    while stale < patience:
+        moved = 0
+        for half in (0, 1):
+            com = label.groupBy("community").agg(F.sum("s").alias("mass"), F.count(F.lit(1)).alias("n"))
+            turn = label.where(F.shiftright("h", k % 60).bitwiseAND(F.lit(1)) == half)
+            to = (
+                both.join(turn.select("node"), "node").join(label.select(F.col("node").alias("other"), "community"), "other").select("node", "community", "w")
+                .unionByName(turn.select("node", "community", F.lit(0).cast("bigint").alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
+            )
+            own = turn.join(com, "community").select("node", "s", F.col("community").alias("own"), F.col("n").alias("beside"))
+            rest = F.col("mass") - F.when(F.col("own") == F.col("community"), F.col("s")).otherwise(0)
+            places = to.join(com, "community").join(own, "node").where("community = own or beside > 1 or n > 1 or community > own").withColumn(
+                "gain", F.col("w") - gamma * rest * F.col("s") / F.lit(float(total)))
+            top = places.groupBy("node").agg(F.max_by("community", F.struct("gain", (F.col("own") == F.col("community")).alias("o"), "community")).alias("top"))
+            goal = F.coalesce("top", "community")
+            label = materialize(label.join(top, "node", "left").select("node", "s", "h", goal.alias("community"), (goal != F.col("community")).alias("moved")), "communities")
+            moved += label.where("moved").count()
+        k += 1
+        if not moved:
+            break
+        now = quality()
+        if now > most + _GROWTH:
+            most, best, stale = now, label, 0
+        else:
+            stale += 1
+    return best
 
-        final = folded.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(finish, f"community {kind}, final {kind}")
-        label = label.join(final, "community").select("node", F.col("final").alias("community"))
+
+def communities(edges: DataFrame, gamma: float = 1.0, nodes: DataFrame | None = None, rounds: int = 8, small: int = 200_000) -> DataFrame:
+    """(node, community): communities by modularity, named by their least node.
+
+    Louvain by sweeps: the nodes of one hashed half, then those of the other, join the neighbouring community of greatest
+    modularity gain, all at once; of two lone nodes only the lesser joins the other, so that they do not swap.  A level
+    ends when a sweep moves no node or ``rounds`` half sweeps bring no growth; its best communities become the nodes of
+    the next level, until a level brings none.  Graphs of at most ``small`` edges take the same sweeps in one task: weights
+    are whole multiples of 2^-30 of the greatest, so sums are exact and the result does not depend on ``small``.
+    Isolated ``nodes`` are communities of their own.
+    """
+    gamma, patience = float(gamma), max(1, rounds // 2)
+    e = edges.where("i is not null and j is not null and i != j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.col("weight").alias("w"))
+    unit = 2.0 ** (30 - math.frexp(e.agg(F.max("w")).first()[0] or 1.0)[1])
+    g = materialize(e.groupBy("a", "b").agg(F.sum(F.coalesce(F.round(F.col("w") * unit).cast("bigint"), F.lit(0))).alias("w")), "communities")
+    total = 2 * (g.agg(F.sum("w")).first()[0] or 0) or 1
+    kind = g.schema["a"].dataType.simpleString()
+    label = g.select(F.col("a").alias("node")).unionByName(g.select(F.col("b").alias("node"))).distinct().withColumn("community", F.col("node"))
+    while True:
+        if g.count() <= small:
+            def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+                out = _settle(pdf, total, gamma, patience)
+                return pd.DataFrame({"community": list(out), "next": list(out.values())})
+
+            hashed = g.select("a", "b", "w", F.xxhash64("a").alias("ha"), F.xxhash64("b").alias("hb"), F.lit(1).alias("one"))
+            step = hashed.groupBy("one").applyInPandas(finish, f"community {kind}, next {kind}")
+        elif (found := _level(g, total, gamma, patience)) is not None:
+            step = found.select(F.col("node").alias("community"), F.col("community").alias("next"))
+        else:
+            break
+        label = materialize(label.join(step, "community").select("node", F.col("next").alias("community")), "communities")
+        if g.count() <= small:
+            break
+        a, b = step.toDF("a", "x"), step.toDF("b", "y")
+        g = materialize(g.join(a, "a").join(b, "b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")), "communities")
     least = label.groupBy("community").agg(F.min("node").alias("name"))
     out = label.join(least, "community").select("node", F.col("name").alias("community"))
     if nodes is not None:

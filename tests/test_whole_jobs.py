@@ -1,9 +1,11 @@
 """Registered queries do the whole job: no subset of the input, no count of rounds, no bound that changes results."""
 
+import random
 from pathlib import Path
 
 import pytest
 
+from constellate.operators import graph as G
 from constellate.plans import label_queries
 
 DATA = Path("/root/testdata/sf0.001")
@@ -27,3 +29,19 @@ def test_stated_labels_of_nodes_of_every_continent(spark):
     want = rows_of_sql(every)
     assert want != rows_of_sql(sql)  # nodes of other continents state labels, too
     assert {tuple(r) for r in label_queries.tag_tiers(spark, str(DATA)).select("member", "tags", "source").collect()} == want
+
+
+def test_communities_do_not_depend_on_the_size_at_which_the_engine_changes(spark):
+    rng = random.Random(3)
+    group = {v: v // 12 for v in range(48)}
+    e = {(a, b): round(rng.random(), 3) for a in group for b in group if a < b and rng.random() < (0.5 if group[a] == group[b] else 0.04)}
+    df = spark.createDataFrame([(*x, w) for x, w in e.items()], "i int, j int, weight double")
+    one, spread = ({r.node: r.community for r in G.communities(df, 1.0, small=small).collect()} for small in (10_000, 5))
+    assert one == spread
+    q = G.modularity(df, spark.createDataFrame(list(spread.items()), "node int, community int")).first()[0]
+    adj = {v: {b if a == v else a: w for (a, b), w in e.items() if v in (a, b)} for v in group}
+    sequential = G.modularity(df, spark.createDataFrame(list(G.local_louvain(adj).items()), "node int, community int")).first()[0]
+    assert q > sequential - 0.02
+    cliques = [(a, b, 1.0) for g in (range(6), range(10, 16)) for a in g for b in g if a < b] + [(0, 10, 0.1)]
+    got = {r.node: r.community for r in G.communities(spark.createDataFrame(cliques, "i int, j int, weight double"), small=5).collect()}
+    assert got == {v: 0 if v < 6 else 10 for v in got} and len(got) == 12
