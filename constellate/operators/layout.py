@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from constellate.session import materialize
+from constellate.session import materialize, release
 
 
 def macro_layout(communities: list, affinities: dict, bound: float = 3200.0, seed: int = 42, rounds: int = 400) -> dict:
@@ -83,10 +83,14 @@ def spring_step(state: DataFrame, edges: DataFrame, share: float = 0.0) -> DataF
 
 
 def springs(state: DataFrame, edges: DataFrame, steps: int = 30) -> DataFrame:
-    """``steps`` steps, each a join and an aggregation.  A step reads its state three times, so every state is written out."""
+    """``steps`` steps, each a join and an aggregation.  A step reads its state three times, so every state is written
+    out, and the one before it deleted."""
     e = materialize(edges.select("source", "target", "weight"), "springs")
     for k in range(steps):
-        state = materialize(spring_step(state, e, k / steps), "springs")
+        moved = materialize(spring_step(state, e, k / steps), "springs")
+        if k:
+            release(state)
+        state = moved
     return state
 
 

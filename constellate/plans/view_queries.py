@@ -218,7 +218,7 @@ def spring_step(spark: SparkSession, d: str) -> DataFrame:
 
 def springs(spark: SparkSession, d: str) -> DataFrame:
     start = L.jitter(_centre_rows(spark, d)).join(_state(spark, d).drop("x", "y"), "id")
-    return L.springs(start.select("id", "x", "y", "vx", "vy", "cx", "cy", "community"), atlas_edges(spark, d), 10).select("id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+    return L.springs(start.select("id", "x", "y", "vx", "vy", "cx", "cy", "community"), atlas_edges(spark, d), 300).select("id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
 def normalised_layout(spark: SparkSession, d: str) -> DataFrame:
@@ -231,7 +231,7 @@ def radius_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def clear_overlaps(spark: SparkSession, d: str) -> DataFrame:
     n = _nodes(spark, d).where("x is not null and y is not null").select("id", "x", "y", F.col("size").alias("radius"))
-    return L.clear_overlaps(n, 5).select("id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+    return L.clear_overlaps(n, 25).select("id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
 QUERIES = {f.__name__: f for f in (

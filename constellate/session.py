@@ -75,3 +75,9 @@ def materialize(df: DataFrame, name: str = "part", partition_by: list[str] | Non
     w.parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a result of :func:`materialize` that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/constellate-" in f}:
+        _delete(df.sparkSession, folder)

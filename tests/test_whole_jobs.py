@@ -6,7 +6,8 @@ from pathlib import Path
 import pytest
 
 from constellate.operators import graph as G
-from constellate.plans import label_queries
+from constellate.operators import layout as L
+from constellate.plans import label_queries, view_queries
 
 DATA = Path("/root/testdata/sf0.001")
 needs_data = pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
@@ -45,3 +46,20 @@ def test_communities_do_not_depend_on_the_size_at_which_the_engine_changes(spark
     cliques = [(a, b, 1.0) for g in (range(6), range(10, 16)) for a in g for b in g if a < b] + [(0, 10, 0.1)]
     got = {r.node: r.community for r in G.communities(spark.createDataFrame(cliques, "i int, j int, weight double"), small=5).collect()}
     assert got == {v: 0 if v < 6 else 10 for v in got} and len(got) == 12
+
+
+@needs_data
+def test_layout_queries_run_the_steps_and_rounds_of_the_reference(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(L, "springs", lambda state, edges, steps=30: asked.update(steps=steps) or state)
+    monkeypatch.setattr(L, "clear_overlaps", lambda places, rounds=25, gap=2.0: asked.update(rounds=rounds) or places)
+    view_queries.springs(spark, str(DATA))
+    view_queries.clear_overlaps(spark, str(DATA))
+    assert asked == {"steps": 300, "rounds": 25}
+
+
+def test_springs_read_no_state_that_was_deleted(spark):
+    state = spark.createDataFrame([(k, 100.0 * k, 0.0, 0.0, 0.0, 0.0, 0.0, 1) for k in (1, 2)], "id int, x double, y double, vx double, vy double, cx double, cy double, community int")
+    edges = spark.createDataFrame([(1, 2, 0.5)], "source int, target int, weight double")
+    few = L.springs(state, edges, 6)
+    assert [r.id for r in few.orderBy("id").collect()] == [1, 2]
