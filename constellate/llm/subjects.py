@@ -2,9 +2,10 @@
 
 The lexicon starts from examples labelled by hand and is then curated on the whole corpus: a one- or two-word term
 belongs to a subject if the documents that hold it deal with that subject much more than with all others.  A few rounds
-carry the lexicon to words that no example uses.  A term's weight grows with how pure it is and how rare.  A sentence
-deals with the subject of the greatest weight per square root of its length, if that exceeds a threshold found at the
-valley of the corpus histogram; a document has every subject that at least ``share`` of its sentences deal with.
+carry the lexicon to words that no example uses.  A term's weight grows with how pure it is and, as the logarithm of the
+documents to one that holds it, how rare.  A sentence deals with every subject whose weight per square root of its length
+exceeds that subject's threshold, found at the valley of its own corpus histogram; a document has every subject that at
+least ``share`` of its sentences deal with.
 """
 
 from __future__ import annotations
@@ -100,8 +101,9 @@ def terms(ws: list[str]) -> set[str]:
 class Lexicon:
     """Subject terms with weights; compiled once per worker into an Aho-Corasick automaton."""
 
-    def __init__(self, subjects: list[str], entries: dict[str, tuple[int, float]], threshold: float, openers: frozenset[str] = frozenset()) -> None:
-        self.subjects, self.entries, self.threshold, self.openers = subjects, entries, threshold, openers
+    def __init__(self, subjects: list[str], entries: dict[str, tuple[int, float]], threshold: float | list[float], openers: frozenset[str] = frozenset()) -> None:
+        self.subjects, self.entries, self.openers = subjects, entries, openers
+        self.thresholds = threshold if isinstance(threshold, list) else [threshold] * len(subjects)
         self._automaton = None
 
     def __getstate__(self) -> dict:
@@ -136,15 +138,17 @@ class Lexicon:
                 out.append((end, s, w))
         return out
 
-    def score(self, ws: list[str]) -> tuple[int, float]:
-        """Best subject of a sentence and its weight, normalised by length; (-1, 0) without any term."""
+    def scores(self, ws: list[str]) -> dict[int, float]:
+        """Weight of every subject that has a term in a sentence, normalised by length."""
         total: dict[int, float] = defaultdict(float)
         for _, s, w in self.hits(ws):
             total[s] += w
-        if not total:
-            return -1, 0.0
-        s = max(total, key=lambda k: (total[k], -k))
-        return s, total[s] / math.sqrt(max(len(ws), 4))
+        length = math.sqrt(max(len(ws), 4))
+        return {s: w / length for s, w in total.items()}
+
+    def dealt(self, ws: list[str]) -> list[int]:
+        """Every subject of a sentence whose weight reaches its threshold."""
+        return [s for s, v in self.scores(ws).items() if v >= self.thresholds[s]]
 
     def split(self, ss: list[list[str]]) -> Iterator[list[str]]:
         """Sentences; where stops are missing, cut before the words that elsewhere mostly open a sentence."""
@@ -171,7 +175,7 @@ class Lexicon:
                 label = np.full(len(ws), -1)
                 line = f" {' '.join(ws)} "
                 for end, (k, s, w) in self.automaton().iter(line) if self.entries else ():
-                    if w < self.threshold:
+                    if w < self.thresholds[s]:
                         continue
                     at = int(np.searchsorted(line_at, end - 1, "left")) - 1
                     lo, hi = max(0, at - REACH), min(len(ws), at + REACH + 1)
@@ -183,18 +187,26 @@ class Lexicon:
                     by[s] += c / USUAL
                 continue
             n += 1
-            s, v = self.score(ws)
-            if s >= 0 and v >= self.threshold:
+            for s in self.dealt(ws):
                 by[s] += 1
         return by, n
 
 
+def _rare(held: dict[str, int], documents: int) -> dict[str, float]:
+    """Rarity of terms held by so many of ``documents``: the logarithm of documents to one that holds it, 1 on average of holders."""
+    raw = {t: math.log(1 + documents / n) for t, n in held.items()}
+    mean = sum(raw[t] * n for t, n in held.items()) / max(1, sum(held.values()))
+    return {t: x / mean for t, x in raw.items()}
+
+
 def _seed(subjects: list[str], rows: Iterable[tuple[str | None, str | None]], pure: float = 0.7) -> dict[str, tuple[int, float]]:
     """Terms of the labelled examples that occur at least twice and nearly only under one subject."""
     index = {s: i for i, s in enumerate(subjects)}
     seen: dict[str, Counter] = defaultdict(Counter)
+    count = 0
     for subject, text in rows:
         if subject in index and text:
+            count += 1
             for t in set().union(*map(terms, sentences(text))) if text else ():
                 seen[t][index[subject]] += 1
     out = {}
@@ -204,7 +216,8 @@ def _seed(subjects: list[str], rows: Iterable[tuple[str | None, str | None]], pu
         p = (k + 0.1) / (n + 0.9)
         if n >= 2 and p >= pure:
             out[t] = (s, p)
-    return out
+    rare = _rare({t: sum(seen[t].values()) for t in out}, count)
+    return {t: (s, p * rare[t]) for t, (s, p) in out.items()}
 
 
 def tokenised(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -277,14 +290,15 @@ def _round(parsed: DataFrame, lexicon: Lexicon) -> DataFrame:
         for b in batches:
             for ss in _split(b.column(0)):
                 row = np.zeros(k + 1)
+                known = 0
                 for ws in ss:
-                    s, v = lex.score(ws)
-                    if s >= 0 and v >= lex.threshold:
+                    dealt = lex.dealt(ws)
+                    known += bool(dealt)
+                    for s in dealt:
                         row[s] += 1
-                total = row.sum()
-                if total < 2:
+                if known < 2:
                     continue
-                row /= total
+                row /= row.sum()
                 row[k] = 1
                 for term in set().union(*map(terms, ss)):
                     at = sums.get(term)
@@ -303,7 +317,7 @@ def _round(parsed: DataFrame, lexicon: Lexicon) -> DataFrame:
     )
 
 
-def _curate(stats: DataFrame, subjects: list[str], purity: float, sure: float, least: int, max_terms: int) -> dict[str, tuple[int, float]]:
+def _curate(stats: DataFrame, subjects: list[str], purity: float, sure: float, least: int, max_terms: int, documents: int) -> dict[str, tuple[int, float]]:
     k = len(subjects)
     best = F.greatest(*[F.col(f"s{i}") for i in range(k)]) / F.col("n") if k > 1 else F.col("s0") / F.col("n")
     low = F.col("p") - sure * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
@@ -311,15 +325,17 @@ def _curate(stats: DataFrame, subjects: list[str], purity: float, sure: float, l
         stats.where(F.col("n") >= least).withColumn("p", best).where(low >= purity)
         .orderBy(F.col("n").desc(), F.col("term")).limit(max_terms)
     )
+    found = kept.collect()
+    rare = _rare({r["term"]: r["n"] for r in found}, documents)
     out = {}
-    for r in kept.collect():
+    for r in found:
         s = max(range(k), key=lambda i: (r[f"s{i}"], -i))
-        out[r["term"]] = (s, r["p"] - purity + 0.1)
+        out[r["term"]] = (s, (r["p"] - purity + 0.1) * rare[r["term"]])
     return out
 
 
-def _valley(parsed: DataFrame, lexicon: Lexicon, lo: float, hi: float, bins: int = 60) -> float:
-    """The emptiest place of the histogram of sentence scores between ``lo`` and ``hi``, over all sentences."""
+def _valley(parsed: DataFrame, lexicon: Lexicon, lo: float, hi: float, bins: int = 60) -> list[float]:
+    """Of each subject the emptiest place of the histogram of its sentence scores between ``lo`` and ``hi``, over all sentences."""
     model = parsed.sparkSession.sparkContext.broadcast(lexicon)
     width = (hi - lo) / bins
 
@@ -329,14 +345,18 @@ def _valley(parsed: DataFrame, lexicon: Lexicon, lo: float, hi: float, bins: int
             counts: Counter = Counter()
             for ss in _split(b.column(0)):
                 for ws in ss:
-                    v = lex.score(ws)[1]
-                    if lo <= v < hi:
-                        counts[int((v - lo) / width)] += 1
+                    for s, v in lex.scores(ws).items():
+                        if lo <= v < hi:
+                            counts[s * bins + int((v - lo) / width)] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["bin", "n"])
 
     found = {r["bin"]: r["n"] for r in parsed.select("sentences").mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
-    smooth = [sum(found.get(i + j, 0) for j in range(-3, 4)) for i in range(bins)]
-    return lo + width * (smooth.index(min(smooth)) + 0.5) if found else lo
+    out = []
+    for s in range(len(lexicon.subjects)):
+        own = [found.get(s * bins + i, 0) for i in range(bins)]
+        smooth = [sum(own[max(0, i - 3) : i + 4]) for i in range(bins)]
+        out.append(lo + width * (smooth.index(min(smooth)) + 0.5) if any(own) else lo)
+    return out
 
 
 def learn(
@@ -352,9 +372,9 @@ def learn(
     rows = [(r[0], r[1]) for r in examples.select(subject, example_text).where(F.col(subject).isNotNull() & F.col(example_text).isNotNull()).limit(max_examples).collect()]
     seed = _seed(areas, rows)
     openers = _openers(parsed)
-    lexicon = Lexicon(areas, seed, 0.4, openers)
+    lexicon, documents = Lexicon(areas, seed, 0.4, openers), parsed.count()
     for _ in range(rounds):
-        found = _curate(_round(parsed, lexicon), areas, purity, sure, least, max_terms)
+        found = _curate(_round(parsed, lexicon), areas, purity, sure, least, max_terms, documents)
         if not found:  # a corpus too small to curate on
             return Lexicon(areas, seed, 0.4, openers)
         lexicon = Lexicon(areas, found, 0.1, openers)

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from constellate.llm import subjects as S
 from constellate.operators import graph as G
 from constellate.operators import layout as L
 from constellate.plans import label_queries, view_queries
@@ -63,3 +64,11 @@ def test_springs_read_no_state_that_was_deleted(spark):
     edges = spark.createDataFrame([(1, 2, 0.5)], "source int, target int, weight double")
     few = L.springs(state, edges, 6)
     assert [r.id for r in few.orderBy("id").collect()] == [1, 2]
+
+
+def test_a_sentence_has_every_subject_that_reaches_its_own_threshold():
+    lexicon = S.Lexicon(["art", "law", "sport"], {"brush": (0, 0.9), "judge": (1, 0.8), "goal": (2, 0.8)}, [0.3, 0.3, 0.5])
+    by, n = lexicon.shares([["the", "judge", "took", "a", "brush", "goal"]] * 4)
+    assert n == 4 and dict(by) == {0: 4, 1: 4}
+    seed = S._seed(["art", "law"], [("art", "easel brush")] * 8 + [("art", "easel")] * 40 + [("law", "judge")] * 40)
+    assert seed["brush"][1] > 1.3 * seed["easel"][1]  # as pure, but rarer
