@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from constellate.functions import text as X
 
 
-def frequent_titles(tracks: DataFrame, key: str = "name", title: str = "title", k: int = 5) -> DataFrame:
-    """(key, title, n, rank): each key's ``k`` most frequent titles; ties by title."""
+def frequent_titles(tracks: DataFrame, key: str = "name", title: str = "title", k: int | None = 5) -> DataFrame:
+    """(key, title, n, rank): each key's ``k`` most frequent titles, or with None all; ties by title."""
     n = tracks.where(F.col(title).isNotNull()).groupBy(key, title).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), title))).where(F.col("rank") <= k)
+    ranked = n.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), title)))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def song_votes(titles: DataFrame, released: DataFrame, most: int = 5, least: int = 2) -> DataFrame:

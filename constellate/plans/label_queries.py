@@ -298,7 +298,9 @@ def frequent_titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def song_votes(spark: SparkSession, d: str) -> DataFrame:
-    titles = frequent_titles(spark, d).groupBy(F.col("artist_id").alias("name"), X.song_key(F.col("title")).alias("song")).agg(F.min("rank").alias("rank"))
+    """Votes of each name's first five songs, in the order of their most frequent titles."""
+    t = _tracks(spark, d).where("artist_id like 'name_%'")
+    titles = E.frequent_titles(t, "artist_id", k=None).groupBy(F.col("artist_id").alias("name"), X.song_key(F.col("title")).alias("song")).agg(F.min("rank").alias("rank"))
     return E.song_votes(titles, _official(spark, d).withColumnRenamed("name", "artist"))
 
 

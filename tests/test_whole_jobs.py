@@ -72,3 +72,11 @@ def test_a_sentence_has_every_subject_that_reaches_its_own_threshold():
     assert n == 4 and dict(by) == {0: 4, 1: 4}
     seed = S._seed(["art", "law"], [("art", "easel brush")] * 8 + [("art", "easel")] * 40 + [("law", "judge")] * 40)
     assert seed["brush"][1] > 1.3 * seed["easel"][1]  # as pure, but rarer
+
+
+def test_five_songs_are_counted_after_titles_are_folded(spark, monkeypatch):
+    rows = [("name_x", "X", None, f"Sun (Live {k})") for k in range(6) for _ in range(2)] + [("name_x", "X", None, "Rain")]
+    rows += [("yt_a", "Ann", "UC1", "Sun"), ("yt_a", "Ann", "UC1", "Rain"), ("yt_b", "Bob", "UC2", "Sun")]
+    tracks = spark.createDataFrame(rows, "artist_id string, artist_name string, channel_id string, title string")
+    monkeypatch.setattr(label_queries, "_tracks", lambda spark, d: tracks)
+    assert [tuple(r) for r in label_queries.song_votes(spark, "").select("name", "artist", "votes").collect()] == [("name_x", "ann", 2)]
