@@ -118,11 +118,11 @@ def community_links(edges: DataFrame, membership: DataFrame, i: str = "source",
     return edges.select(i, j).join(a, i).join(b, j).select(F.explode(F.array_distinct(F.array("ca", "cb"))).alias("community"), i, j)
 
 
-def strongest_shortest_path(edges: DataFrame, start, goal, weight: str = "weight", i: str = "source", j: str = "target", limit: int = 64) -> DataFrame:
+def strongest_shortest_path(edges: DataFrame, start, goal, weight: str = "weight", i: str = "source", j: str = "target") -> DataFrame:
     """(hop, node, score): the path of fewest hops from ``start`` to ``goal``; of several the greatest product of weights.
 
     Breadth-first by levels; a node's best product (as a sum of logarithms) is final once its level is complete.  Ties
-    go to the least parent.  No rows where there is no path within ``limit`` hops; one row where both ends are equal.
+    go to the least parent.  No rows where there is no path; one row where both ends are equal.
     """
     spark = edges.sparkSession
     kind = edges.schema[i].dataType.simpleString()
@@ -131,18 +131,19 @@ def strongest_shortest_path(edges: DataFrame, start, goal, weight: str = "weight
         return spark.createDataFrame([(0, start, 0.0)], schema)
     both = materialize(both_sides(edges.select(i, j, F.log(F.col(weight)).alias("w")).where(F.col("w").isNotNull()), i, j), "adjacency")
     seen = spark.createDataFrame([(start, None, 0, 0.0)], f"node {kind}, parent {kind}, hop int, score double")
-    level, hop, reached = seen, 0, False
-    while hop < limit:
+    levels, hop, reached = [seen], 0, False
+    while True:
         hop += 1
         step = (
-            level.select(F.col("node").alias("p"), "score").join(both, F.col("p") == both["node"])
+            levels[-1].select(F.col("node").alias("p"), "score").join(both, F.col("p") == both["node"])
             .select(F.col("other").alias("node"), F.col("p").alias("parent"), (F.col("score") + F.col("w")).alias("score"))
             .join(seen.select("node"), "node", "left_anti")
             .groupBy("node").agg(F.min_by(F.struct("parent", "score"), F.struct(-F.col("score"), "parent")).alias("b"))
             .select("node", F.col("b.parent").alias("parent"), F.lit(hop).alias("hop"), F.col("b.score").alias("score"))
         )
         level = materialize(step, "level")
-        seen = seen.unionByName(level)
+        seen = levels[-1].unionByName(level)  # neighbours of a level lie in it or in one beside it
+        levels.append(level)
         found = level.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("node") == F.lit(goal)).alias("goal")).first()
         reached = bool(found["goal"])
         if reached or not found["n"]:
@@ -151,7 +152,7 @@ def strongest_shortest_path(edges: DataFrame, start, goal, weight: str = "weight
         return spark.createDataFrame([], schema)
     rows, at = [], goal
     for h in range(hop, -1, -1):  # one row a level: the path itself
-        r = seen.where((F.col("hop") == h) & (F.col("node") == F.lit(at))).first()
+        r = levels[h].where(F.col("node") == F.lit(at)).first()
         rows.append((h, r["node"], r["score"]))
         at = r["parent"]
     return spark.createDataFrame(rows[::-1], schema)

@@ -80,3 +80,8 @@ def test_five_songs_are_counted_after_titles_are_folded(spark, monkeypatch):
     tracks = spark.createDataFrame(rows, "artist_id string, artist_name string, channel_id string, title string")
     monkeypatch.setattr(label_queries, "_tracks", lambda spark, d: tracks)
     assert [tuple(r) for r in label_queries.song_votes(spark, "").select("name", "artist", "votes").collect()] == [("name_x", "ann", 2)]
+
+
+def test_a_path_of_more_than_64_links_is_found(spark):
+    chain = spark.createDataFrame([(k, k + 1, 1.0) for k in range(66)], "source int, target int, weight double")
+    assert [r.node for r in G.strongest_shortest_path(chain, 0, 66).collect()] == list(range(67))
