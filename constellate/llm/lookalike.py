@@ -1,10 +1,11 @@
 """Visually identical text with different characters: one consistent form of every text.
 
-Words that hold anything but printable ASCII are looked up in tries of the corpus vocabulary, sharded by their skeleton
-(every letter replaced by the Latin letter it looks like, ignorable characters left out).  A weighted edit automaton
-walks the trie: look-alikes, compatibility forms and ignorables cost nothing, everything else is forbidden, so that
-exactly the spellings that look the same are reached.  Among them the canonical spelling is chosen by script of the
-surrounding text and by support; words without a match are normalised by table.
+Words that hold anything but printable ASCII are looked up in tries of the plain spellings of the corpus, sharded by
+their skeleton (every letter replaced by the Latin letter it looks like, ignorable characters left out).  A weighted edit
+automaton walks the trie: compatibility forms, ignorables and exact look-alikes cost nothing, rough look-alikes one each up
+to a budget, everything else is forbidden, so that exactly the spellings that read the same are reached.  Among them the
+canonical one is chosen by cost, by script of the surrounding text and by support; only words without a match are
+normalised by table.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from constellate.operators.skew import hot_split_join
 from constellate.session import materialize
 
 # Letters of other scripts that cannot be told from a Latin letter, and that Latin letter.
@@ -177,98 +179,115 @@ def plain_form(text: str) -> str:
 
 
 def skeleton(text: str) -> str:
-    """What ``text`` looks like: its plain form with every look-alike letter as the Latin one."""
-    text = plain_form(text)
-    return text if text.isascii() else "".join(STRICT.get(c, c) for c in text)
+    """What ``text`` looks like: ordinary characters, taken apart, nothing unseen, every look-alike letter as the Latin one."""
+    if text.isascii():
+        return text
+    seen = ud.normalize("NFD", "".join(ordinary(c) for c in text if not unseen(c)))
+    return "".join(_TO_LATIN.get(c, c) for c in seen)
 
 
 class LookAlikeTrie:
-    """Vocabulary trie walked by an edit automaton whose only free steps are look-alikes and ignorables."""
+    """Vocabulary trie walked by a weighted edit automaton.
+
+    The trie holds the attested spellings that are plain already, under their decomposed form, so that composed and
+    decomposed accents and syllables are one.  Compatibility forms, ignorable characters and exact look-alikes cost
+    nothing, a rough look-alike (see ``LOOSE_AS_LATIN``) costs one, any other edit is forbidden.
+    """
 
     def __init__(self) -> None:
         self.root: dict = {}
 
-    def add(self, word: str, support: int) -> None:
+    def add(self, spelling: str, support: int) -> None:
         node = self.root
-        for ch in word:
+        for ch in ud.normalize("NFD", spelling):
             node = node.setdefault(ch, {})
-        node[""] = node.get("", 0) + support
-
-    def matches(self, word: str, budget: int = 0) -> list[tuple[str, int]]:
-        """(spelling, support) of every vocabulary word that reads like ``word``; each other edit costs 1 of ``budget``."""
-        seen: dict[tuple[int, int], int] = {}
-        found: dict[str, int] = {}
-        steps = [self._steps(ch) for ch in word]
-        stack = [(0, self.root, "", budget)]
+        held = node.setdefault("", {})
+        held[spelling] = held.get(spelling, 0) + support
+
+    def matches(self, word: str, budget: int = 0) -> list[tuple[str, int, int]]:
+        """(spelling, cost, support) of every spelling that reads like ``word`` at a cost of at most ``budget``."""
+        left_at: dict[tuple[int, int], int] = {}
+        found: dict[str, tuple[int, int]] = {}
+        steps = [self._steps(ch) for ch in ud.normalize("NFD", word)]
+        stack = [(0, self.root, budget)]
         while stack:
-            i, node, path, left = stack.pop()
-            if seen.get((i, id(node)), -1) >= left:
+            i, node, left = stack.pop()
+            if left_at.get((i, id(node)), -1) >= left:
                 continue
-            seen[i, id(node)] = left
-            if i == len(word):
-                if "" in node:
-                    found[path] = node[""]
+            left_at[i, id(node)] = left
+            if i == len(steps):
+                for spelling, support in node.get("", {}).items():
+                    if budget - left < found.get(spelling, (budget + 1, 0))[0]:
+                        found[spelling] = (budget - left, support)
             else:
-                for out in steps[i]:
-                    nxt = node
-                    for ch in out:
+                for cost, out in steps[i]:
+                    nxt = node if cost <= left else None
+                    for ch in out if nxt is not None else ():
                         nxt = nxt.get(ch)
                         if nxt is None:
                             break
                     if nxt is not None:
-                        stack.append((i + 1, nxt, path + out, left))
-                if left:
-                    stack.append((i + 1, node, path, left - 1))
+                        stack.append((i + 1, nxt, left - cost))
             for ch, nxt in node.items():
                 if ch and unseen(ch):
-                    stack.append((i, nxt, path + ch, left))
-                elif ch and left:
-                    stack.append((i, nxt, path + ch, left - 1))
-                    if i < len(word):
-                        stack.append((i + 1, nxt, path + ch, left - 1))
-        return list(found.items())
+                    stack.append((i, nxt, left))
+        return [(w, cost, n) for w, (cost, n) in found.items()]
 
     @staticmethod
     @lru_cache(maxsize=65536)
-    def _steps(ch: str) -> tuple[str, ...]:
+    def _steps(ch: str) -> tuple[tuple[int, str], ...]:
+        """(cost, what the trie may hold for it) of a character of the word."""
         if unseen(ch):
-            return ("",)
-        same = ordinary(ch)
+            return ((0, ""), (0, ch))
+        same = ud.normalize("NFD", ordinary(ch))
         if len(same) != 1:
-            return (ch, same)
-        latin = STRICT.get(same, same)
-        return tuple(dict.fromkeys([ch, same, latin, *(k for k, v in STRICT.items() if v == latin)]))
+            return tuple(dict.fromkeys([(0, ch), (0, same)]))
+        exact, rough = STRICT.get(same, same), _TO_LATIN.get(same, same)
+        out = dict.fromkeys([ch, same, exact, *(k for k, v in STRICT.items() if v == exact and k not in SELDOM)], 0)
+        for other in (rough, *(k for k, v in _TO_LATIN.items() if v == rough and k not in SELDOM)):
+            out.setdefault(other, 1)
+        return tuple((cost, to) for to, cost in out.items())
+
 
+def kinds(word: str) -> list[str]:
+    """The European scripts of a word's letters, in order of appearance."""
+    return list(dict.fromkeys(s for s in map(script, ud.normalize("NFD", "".join(map(ordinary, word)))) if s in _EUROPEAN))
 
-def choose(word: str, around: str, attested: list[tuple[str, int]]) -> str:
-    """The canonical spelling of ``word``.
 
-    ``around`` names the scripts of the letters in the same text that look like no other script's (C, G, L).  A word
-    that the table already changes takes the table's form, unless that form's letters could all be of another script
-    in which alone it is attested.  A word whose letters could all be of two scripts keeps its own where the text around
-    it is in that script; else the better attested spelling wins.  Text in the other script around it lets that spelling
-    win with an eighth of the support; without any text around, equal support keeps the word.
+def choose(word: str, around: str, attested: list[tuple[str, int, int]]) -> tuple[str, bool]:
+    """The canonical spelling of ``word``, and whether an attested spelling gives it.
+
+    ``attested`` are the spellings that read like it (see :meth:`LookAlikeTrie.matches`); ``around`` names the scripts of
+    the letters in the same text that look like no other script's (C, G, L).  A word in one script takes the spelling in
+    that script, itself if that is attested; a word in two takes the cheapest, then one in the script around it, then
+    the best attested.  A word in one script all of whose letters could be of another one keeps its own where the text
+    around it is in that script; else the better attested spelling wins.  Text in the other script around it lets that
+    spelling win with an eighth of the support; without any text around, equal support keeps the word.  Where nothing is
+    attested, the table decides (:func:`plain_form`).
     """
-    by_table = plain_form(word)
-    letters = [c for c in by_table if script(c) in _EUROPEAN]
-    if not letters or not all(c in STRICT or c in _LATIN_TWINS for c in letters):
-        return by_table
-    own = script(letters[0])[0]
-    if own in around and (own != "L" or len(around) == 1):
-        return by_table
-    support = {plain_form(w): 0 for w, _ in attested}
-    for w, n in attested:
-        support[plain_form(w)] += n
-    mine = support.get(by_table, 0)
-    best, most = by_table, 0
-    for w, n in sorted(support.items()):
-        s = next((script(c)[0] for c in w if script(c) in _EUROPEAN), "")
-        if w == by_table or s == own or (around and s not in around):
+    if not attested:
+        return plain_form(word), False
+    own = kinds(word)
+    of = {w: "".join(s[0] for s in kinds(w)) for w, _, _ in attested}
+    if len(own) > 1:
+        w, _, _ = min(attested, key=lambda m: (m[0] != word, m[1], not set(of[m[0]]) & set(around), sum(map(unseen, m[0])), -m[2], m[0]))
+        return w, True
+    mine = [m for m in attested if not own or of[m[0]] in ("", own[0][0])]
+    kept, support = word, 0
+    if mine:
+        kept, _, support = min(mine, key=lambda m: (m[0] != word, sum(map(unseen, m[0])), -m[2], m[0]))
+    else:
+        kept = plain_form(word)
+    if not own or (own[0][0] in around and (own[0] != "LATIN" or len(around) == 1)):
+        return kept, bool(mine)
+    best, most = kept, 0
+    for w, cost, n in sorted(attested):
+        if cost or of[w] in ("", own[0][0]) or (around and of[w] not in around):
             continue
         # Text in the other script around it speaks for that script, but not against a word that is common in its own.
-        if n > most and (n > mine or around and n * 8 >= mine):
+        if n > most and (n > support or around and n * 8 >= support):
             best, most = w, n
-    return best
+    return best, bool(mine) or best != kept
 
 
 # ---- distributed part ----------------------------------------------------------------------------------------------
@@ -291,40 +310,45 @@ def _tokens(value: Column) -> Column:
     return F.split(F.regexp_replace(value, ODD_BLANK, " "), " +")
 
 
-def canonical_tokens(texts: DataFrame, shard_rows: int = 20000) -> DataFrame:
-    """(token, around, canonical): canonical spelling of every blank-delimited token that is not plain ASCII, and of
-    every ASCII token whose letters a rival spelling in another script could have.
+def canonical_tokens(values: DataFrame, shard_rows: int = 20000, budget: int = 3) -> DataFrame:
+    """(token, around, held, canonical, attested): canonical spelling of every blank-delimited token that is not plain
+    ASCII, and of every ASCII token whose letters a rival spelling in another script could have.
 
-    ``texts`` has a column ``value``.  One trie holds about ``shard_rows`` tokens, whatever the size of the corpus.
+    ``values`` has distinct texts ``value`` and how often each occurs, ``n``; ``held`` is the number of texts that hold
+    the token, ``attested`` tells tokens decided by the vocabulary from those left to the table.  Tries are sharded by
+    skeleton, which all spellings that read alike share; one holds about ``shard_rows`` tokens, whatever the size of the
+    corpus.  A word of mixed scripts may have up to ``budget`` roughly alike letters replaced.
     """
-    token = F.explode(_tokens(F.col("value"))).alias("token")
     counted = (
-        texts.select(token, _scripts_around(F.col("value")).alias("around"))
-        .groupBy("token", "around").agg(F.count(F.lit(1)).alias("n")).where(F.col("token") != "")
+        values.select(F.explode(F.array_distinct(_tokens(F.col("value")))).alias("token"), _scripts_around(F.col("value")).alias("around"), "n")
+        .where("token != ''").groupBy("token", "around").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("held"))
     )
     odd = F.col("token").rlike("[^\\x21-\\x7e]")
     twin = F.col("token").rlike(rf"^[^\p{{L}}]*[{_LATIN_TWINS}][{_LATIN_TWINS}\P{{L}}]*$")
     skeleton_of = F.pandas_udf(lambda s: s.map(skeleton), "string")
-    counted = materialize(counted.where(odd | F.col("token").rlike("^[\\x21-\\x7e]+$")), "tokens")
-    odd_tokens = counted.where(odd).withColumn("skeleton", skeleton_of("token"))
+    counted = materialize(counted, "tokens")
+    odd_tokens = materialize(counted.where(odd).withColumn("skeleton", skeleton_of("token")), "odd")
     rivals = odd_tokens.select("skeleton").distinct()
     ascii_tokens = counted.where(~odd).withColumn("skeleton", F.col("token")).join(rivals, "skeleton", "left_semi")
     # An ASCII token needs a verdict only where all its letters have twins; else it only attests a spelling.
     work = odd_tokens.withColumn("ask", F.lit(True)).unionByName(ascii_tokens.withColumn("ask", twin))
-    work = materialize(work, "odd")
-    shards = max(1, -(-work.count() // shard_rows), min(64, texts.sparkSession.sparkContext.defaultParallelism))
+    work = materialize(work, "work")
+    # Work does not follow bytes here: as many shards as there are cores at least, kept apart.
+    shards = max(-(-work.count() // shard_rows), 2 * values.sparkSession.sparkContext.defaultParallelism)
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         trie = LookAlikeTrie()
         for t, n in pdf.groupby("token")["n"].sum().items():
-            trie.add(t, int(n))
+            if plain_form(t) == t:
+                trie.add(t, int(n))
         asked = pdf[pdf["ask"]]
-        out = [choose(t, a, trie.matches(t)) for t, a in zip(asked["token"], asked["around"])]
-        return pd.DataFrame({"token": asked["token"].to_numpy(), "around": asked["around"].to_numpy(), "canonical": out})
+        found = {t: trie.matches(t, budget if len(kinds(t)) > 1 else 0) for t in asked["token"].unique()}
+        out = [choose(t, a, found[t]) for t, a in zip(asked["token"], asked["around"])]
+        return asked[["token", "around", "held"]].assign(canonical=[c for c, _ in out], attested=[by for _, by in out])
 
     return (
-        work.withColumn("shard", F.pmod(F.xxhash64("skeleton"), F.lit(shards)).cast("int"))
-        .groupBy("shard").applyInPandas(judge, "token string, around string, canonical string")
+        work.withColumn("shard", F.pmod(F.xxhash64("skeleton"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+        .groupBy("shard").applyInPandas(judge, "token string, around string, held bigint, canonical string, attested boolean")
     )
 
 
@@ -338,35 +362,37 @@ def _identity_texts(playlists: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def canonical_texts(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, value, canonical) of every distinct row whose ``value`` differs from its consistent form.
-
-    Null and empty values have no row; repeated rows count once; an empty table gives an empty result.  Texts of any
-    length are taken whole.  The blanks of the canonical text are ordinary ones, as many as the text has odd ones.
-    """
-    tokens = materialize(canonical_tokens(texts).where(F.col("canonical") != F.col("token")), "changed")
-    candidates = materialize(
-        texts.where(F.col("value").rlike("[^\\x20-\\x7e]") | F.col("value").rlike(rf"(?<!\p{{L}})[{_LATIN_TWINS}]+(?!\p{{L}})"))
-        .select(*keys, "value", _scripts_around(F.col("value")).alias("around")).distinct(),
-        "candidates",
-    )
+def canonical_values(values: DataFrame) -> DataFrame:
+    """(value, n, canonical) of every distinct text that differs from its consistent form; ``values`` is (value, n)."""
+    tokens = materialize(canonical_tokens(values).where(F.col("canonical") != F.col("token")), "changed")
+    candidates = values.where(F.col("value").rlike("[^\\x20-\\x7e]") | F.col("value").rlike(rf"(?<!\p{{L}})[{_LATIN_TWINS}]+(?!\p{{L}})"))
+    key = F.struct("token", "around").alias("key")
+    held = candidates.select("value", "n", F.explode(F.array_distinct(_tokens(F.col("value")))).alias("token"), _scripts_around(F.col("value")).alias("around"))
+    total = int(tokens.agg(F.sum("held")).first()[0] or 0)
     hits = (
-        candidates.select(*keys, "value", "around", F.explode(F.array_distinct(_tokens(F.col("value")))).alias("token"))
-        .join(tokens, ["token", "around"])
-        .groupBy(*keys, "value")
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", "canonical"))).alias("changed"))
+        hot_split_join(held.select("value", "n", "token", key), tokens.select(key, "held", "canonical"), "key", "held", total)
+        .groupBy("value", "n").agg(F.map_from_entries(F.collect_list(F.struct("token", "canonical"))).alias("changed"))
     )
-    blanks = candidates.where(F.col("value").rlike(ODD_BLANK)).select(*keys, "value")
-    by = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    other = hits.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("value").alias("__value"), "changed")
-    cond = F.col("value") == F.col("__value")
-    for b in by:
-        cond = cond & b
-    both = blanks.join(other, cond, "full").select(
-        *[F.coalesce(F.col(k), F.col(f"__{k}")).alias(k) for k in keys], F.coalesce("value", "__value").alias("value"), "changed")
     spaced = F.regexp_replace("value", ODD_BLANK, " ")
+    blanks = candidates.where(F.col("value").rlike(ODD_BLANK)).select("value", "n", F.lit(None).cast("map<string,string>").alias("changed"))
+    both = hits.unionByName(blanks).groupBy("value", "n").agg(F.first("changed", ignorenulls=True).alias("changed"))
     rebuilt = F.array_join(F.transform(F.split(spaced, " "), lambda t: F.coalesce(F.col("changed")[t], t)), " ")
-    return both.select(*keys, "value", F.when(F.col("changed").isNull(), spaced).otherwise(rebuilt).alias("canonical"))
+    return both.select("value", "n", F.when(F.col("changed").isNull(), spaced).otherwise(rebuilt).alias("canonical"))
+
+
+def canonical_texts(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, canonical) of every distinct row whose ``value`` differs from its consistent form.
+
+    Every spelling is judged once, however many rows hold it, and the verdicts are joined back to the rows, those of very
+    frequent spellings by broadcast.  Null and empty values have no row; repeated rows count once; an empty table gives
+    an empty result.  Texts of any length are taken whole.  The blanks of the canonical text are ordinary ones, as many
+    as the text has odd ones.
+    """
+    texts = texts.select(*keys, "value").where(F.col("value").isNotNull() & (F.col("value") != ""))
+    values = materialize(texts.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "values")
+    made = materialize(canonical_values(values), "canonical")
+    total = int(made.agg(F.sum("n")).first()[0] or 0)
+    return hot_split_join(texts, made, "value", "n", total).select(*keys, "value", "canonical").distinct()
 
 
 def odd_texts(playlists: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -21,22 +21,41 @@ def test_plain_already(text):
 
 
 def test_trie_reaches_exactly_the_spellings_that_look_alike():
-    words = ["Хор", "Xop", "Xор", "pope", "silver", "si‍lver", "sliver"]
+    words = ["Хор", "Xop", "pope", "silver", "sliver", "кот", "é", "夏！"]
     trie = la.LookAlikeTrie()
     for w in words:
         trie.add(w, 1)
-    for w in [*words, "Хоp", "silvеr"]:
-        assert {m for m, _ in trie.matches(w)} == {v for v in words if la.skeleton(v) == la.skeleton(w)}
-    assert {m for m, _ in trie.matches("silvr", 1)} == {"silver", "si\u200dlver"}
+    for w in [*words, "Хоp", "silvеr", "sil\u200dver", "ｐｏｐｅ", "e\u0301"]:
+        assert {m for m, _, _ in trie.matches(w)} == {v for v in words if la.skeleton(v) == la.skeleton(w)}
+    assert trie.matches("kоt") == [] and trie.matches("kоt", 3) == [("кот", 2, 1)]  # two letters are only roughly alike
+
+
+def _given(word, around, *attested):
+    return la.choose(word, around, [(w, 0, n) for w, n in attested])[0]
 
 
 def test_words_of_two_readings():
-    assert la.choose("Хор", "C", [("Хор", 3), ("Xop", 9)]) == "Хор"
-    assert la.choose("СОРЕ", "L", [("СОРЕ", 1), ("COPE", 2)]) == "COPE"
-    assert la.choose("СОРЕ", "", [("СОРЕ", 1)]) == "СОРЕ"
-    assert la.choose("Topic", "C", [("Topic", 900), ("Торіс", 5)]) == "Topic"
-    assert la.choose("Торіс", "C", [("Topic", 900), ("Торіс", 5)]) == "Торіс"
-    assert la.choose("Xop", "C", [("Xop", 1), ("Хор", 5)]) == "Хор"
+    assert _given("Хор", "C", ("Хор", 3), ("Xop", 9)) == "Хор"
+    assert _given("СОРЕ", "L", ("СОРЕ", 1), ("COPE", 2)) == "COPE"
+    assert _given("СОРЕ", "", ("СОРЕ", 1)) == "СОРЕ"
+    assert _given("Topic", "C", ("Topic", 900), ("Торіс", 5)) == "Topic"
+    assert _given("Торіс", "C", ("Topic", 900), ("Торіс", 5)) == "Торіс"
+    assert _given("Xop", "C", ("Xop", 1), ("Хор", 5)) == "Хор"
+
+
+def test_attested_spellings_decide_and_the_table_only_without_any():
+    assert la.choose("Рорe", "", []) == (la.plain_form("Рорe"), False) == ("Роре", False)
+    assert la.choose("Рорe", "", [("Pope", 0, 2), ("Роре", 0, 1)]) == ("Pope", True)
+    assert la.choose("Рорe", "C", [("Pope", 0, 2), ("Роре", 0, 1)]) == ("Роре", True)
+    assert la.choose("kоt", "", [("kot", 0, 1), ("кот", 2, 9)]) == ("kot", True)  # the cheaper one
+
+
+def test_vocabulary_finds_what_the_table_cannot(spark):
+    values = spark.createDataFrame([("the COPE song", 3), ("COPE", 5), ("СОРЕ live", 1), ("Рорe", 1), ("Ｚａ", 1)], "value string, n bigint")
+    got = {r.token: (r.canonical, r.attested) for r in la.canonical_tokens(values).where("token != canonical").collect()}
+    assert la.plain_form("СОРЕ") == "СОРЕ"
+    assert got == {"СОРЕ": ("COPE", True), "Рорe": ("Роре", False), "Ｚａ": ("Za", False)}
+    assert {r.value: r.canonical for r in la.canonical_values(values).collect()}["СОРЕ live"] == "COPE live"
 
 
 def test_found_texts(spark):
