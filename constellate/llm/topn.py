@@ -32,43 +32,49 @@ def top_n(
     n: int,
     bands: int = 4,
     relative_error: float = 0.01,
+    cuts_from: DataFrame | None = None,
+    hot_keys: int = 2000,
 ) -> DataFrame:
     """The first ``n`` rows of each group by ``score`` descending, then by ``ties``.
 
-    The score range is cut into ``bands`` at quantiles of a distributed sketch, the top band being the narrowest.  Bands
-    are processed from the top: rows of groups already filled are dropped by an anti-join on the (small) table of
-    filled groups, a group that a band does not yet fill keeps the whole band, and in the band that fills it only the
-    boundary rows are ranked, exactly, up to what is missing.  Ranking limits itself inside the map tasks first, so a
-    group of millions of rows sends at most ``n`` rows per task.  ``relative_error`` only moves the cuts; results are exact.
+    The score range is cut into ``bands`` at quantiles of a distributed sketch, the top band being the narrowest, and the
+    rows are written once, partitioned by band, so that each band is read alone.  Bands are processed from the top: groups
+    already filled are anti-joined away (those with more than one in ``hot_keys`` rows before anything else, by a
+    broadcast that the pigeonhole principle bounds; the many small ones when they are ranked), a group that a band does
+    not yet fill keeps the whole band, and in the band that fills it the boundary rows are ranked, exactly, up to what is
+    missing.  Ranking limits itself inside the map tasks first, so a group of millions of rows sends at most ``n`` rows
+    per task.  ``relative_error`` and ``cuts_from``, a table with the same column to cut by, only move the cuts; results
+    are exact.
 
     Rows with a null score are left out, a null group is a group, repeated rows fill a place each, and an empty input gives
     an empty result.  ``ties`` must tell all rows of a group apart if the result is to be repeatable.
     """
-    spark = df.sparkSession
     scored = df.where(F.col(score).isNotNull())
     shares = [1.0 - 0.5 ** (bands - i) for i in range(bands - 1)]  # 15/16, 7/8, 3/4 for four bands
-    cuts = sorted({float(c) for c in scored.approxQuantile(score, shares, relative_error)}, reverse=True) if bands > 1 else []
-    edges = [None, *cuts, None]
+    from_ = scored if cuts_from is None else cuts_from.where(F.col(score).isNotNull())
+    cuts = sorted({float(c) for c in from_.approxQuantile(score, shares, relative_error)}, reverse=True) if bands > 1 else []
+    at = F.lit(0)
+    for c in cuts:
+        at = at + (F.col(score) < c).cast("int")
+    banded = materialize(scored.withColumn("__band", at), "bands", partition_by=["__band"])
+    sizes = materialize(banded.groupBy(group).agg(F.count(F.lit(1)).alias("__size")), "sizes")
+    total = sizes.agg(F.sum("__size")).first()[0] or 0
+    hot = sizes.where(F.col("__size") * hot_keys > total).select(F.col(group).alias("__g"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col(score).desc(), *ties))
     kept: DataFrame | None = None
     have: DataFrame | None = None  # rows that each group has so far
-    for high, low in zip(edges[:-1], edges[1:]):
-        band = scored
-        if high is not None:
-            band = band.where(F.col(score) < high)
-        if low is not None:
-            band = band.where(F.col(score) >= low)
-        missing: Column = F.lit(n)
+    for k in range(len(cuts) + 1):
+        band = banded.where(F.col("__band") == k).drop("__band")
         if have is not None:
-            full = have.where(F.col("__have") >= n).select(F.col(group).alias("__g"))
-            band = band.join(full, F.col(group).eqNullSafe(F.col("__g")), "left_anti")
-            part = have.where(F.col("__have") < n).select(F.col(group).alias("__g"), "__have")
-            band = band.join(part, F.col(group).eqNullSafe(F.col("__g")), "left").drop("__g")
-            missing = F.lit(n) - F.coalesce("__have", F.lit(0))
-        rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col(score).desc(), *ties))
-        ranked = band.withColumn("__rank", rank).where(F.col("__rank") <= n).where(F.col("__rank") <= missing)
+            full = have.where(F.col("__have") >= n).join(F.broadcast(hot), "__g", "left_semi")
+            band = band.join(F.broadcast(full.select("__g")), F.col(group) == F.col("__g"), "left_anti")
+        ranked = band.withColumn("__rank", rank).where(F.col("__rank") <= n)
+        if have is not None:
+            ranked = ranked.join(have, F.col(group).eqNullSafe(F.col("__g")), "left").where(F.col("__rank") <= F.lit(n) - F.coalesce("__have", F.lit(0)))
         taken = materialize(ranked.select(*df.columns), "band")
         kept = taken if kept is None else kept.unionByName(taken)
-        have = kept.groupBy(group).agg(F.count(F.lit(1)).alias("__have"))
+        if k < len(cuts):
+            have = materialize(kept.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__have")), "have")
     return kept
 
 
@@ -81,6 +87,5 @@ def top_neighbours(neighbours: DataFrame, n: int = 10) -> DataFrame:
     known = neighbours.select("id", "neighborId", "overlapPercent", "sharedPlaylists", "exported_at").where(
         F.col("id").isNotNull() & F.col("neighborId").isNotNull())
     latest = latest_rows(known, ["id", "neighborId"], "exported_at", [F.col("overlapPercent"), F.col("sharedPlaylists")])
-    latest = materialize(latest.select("id", "neighborId", "overlapPercent", "sharedPlaylists"), "latest")
     ties = [F.col("sharedPlaylists").desc_nulls_last(), F.col("neighborId").asc()]
-    return top_n(latest, "id", "overlapPercent", ties, n).select("id", "neighborId")
+    return top_n(latest.drop("exported_at"), "id", "overlapPercent", ties, n, cuts_from=known).select("id", "neighborId")
