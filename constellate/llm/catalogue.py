@@ -36,6 +36,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with leaked passages: their leaked words, and whether the whole document is dropped."""
+    out = leakage.without_leaks(_table(spark, d, "documents"), "doc_id", "text", _table(spark, d, "eval_items"), "item_id", "text", min_words=12, max_coverage=0.5)
+    return out.where("leaked_words > 0").select("doc_id", "leaked_words", "dropped")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.document_subjects(
         _table(spark, d, "documents"), "doc_id", "text", _table(spark, d, "subject_examples"), _table(spark, d, "subject_areas"), share=0.25)
@@ -48,6 +54,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p7_clean": p7_clean,
     "p8_found": p8_found,
 }
 
@@ -66,7 +73,13 @@ def _runs(table: str, key: str, n: int = 12) -> str:
     return f"(SELECT DISTINCT {key}, array_to_string(ws[i:i + {n - 1}], ' ') AS run FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM (SELECT {key}, {_WORDS} AS ws FROM {table} WHERE text IS NOT NULL)))"
 
 
+# Windows of twelve words that also occur in an item, by document and place; the words they cover are the leaked ones.
+_COVERED = f"""(SELECT DISTINCT doc_id, n, unnest(range(i, i + 12)) AS at FROM (
+    SELECT doc_id, len(ws) AS n, i, array_to_string(ws[i:i + 11], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL)))
+    WHERE run IN (SELECT run FROM {_runs('eval_items', 'item_id')}))"""
+
 ORACLES = {
+    "p7_clean": f"SELECT doc_id, CAST(count(*) AS INTEGER) AS leaked_words, count(*) > 0.5 * max(n) AS dropped FROM {_COVERED} GROUP BY doc_id",
     "p7_found": f"SELECT DISTINCT doc_id, item_id FROM {_runs('documents', 'doc_id')} JOIN {_runs('eval_items', 'item_id')} USING (run)",
     "p2_found": f"""
         WITH inc AS ({_INC}), sup AS (SELECT a, count(*) AS n FROM inc GROUP BY a),

@@ -66,6 +66,14 @@ def unseen(ch: str) -> bool:
     return ud.category(ch) == "Cf" or ch in UNSEEN_MARKS or 0xFE00 <= ord(ch) <= 0xFE0F or 0xE0100 <= ord(ch) <= 0xE01EF
 
 
+_UNSEEN = regex.compile(rf"[[\p{{Cf}}{UNSEEN_MARKS}\uFE00-\uFE0F\U000E0100-\U000E01EF]--[{SHOWN_FORMATS}]]", regex.V1)
+
+
+def without_unseen(text: str) -> str:
+    """``text`` without the characters that :func:`unseen` names."""
+    return _UNSEEN.sub("", text)
+
+
 @lru_cache(maxsize=65536)
 def ordinary(ch: str) -> str:
     """The ordinary form of a compatibility letter, digit or sign; any other character as it is."""

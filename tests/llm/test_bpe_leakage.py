@@ -67,6 +67,15 @@ def test_automaton_against_brute_force_on_a_tiny_alphabet(spark):
     for r in got:  # the longest run is right, too
         assert (r.doc_id, r.item_id) in brute([x for x in docs if x[0] == r.doc_id], [x for x in items if x[0] == r.item_id], r.words)
         assert not brute([x for x in docs if x[0] == r.doc_id], [x for x in items if x[0] == r.item_id], r.words + 1)
+    assert leakage.leaks(d.limit(0), "doc_id", "text", e, "item_id", "text", 4).count() == 0
+    assert leakage.leaks(d, "doc_id", "text", e.limit(0), "item_id", "text", 4).count() == 0
+    # Three blocks, one at a time: the same rows and the same texts.
+    size = sum(len(t or "") for _, t in items)
+    many = {"block_bytes": -(-size // 3)}
+    assert leakage.blocks(e, "item_id", "text", **many)[1] == 3
+    assert sorted(leakage.leaks(d, "doc_id", "text", e, "item_id", "text", 4, **many).collect()) == sorted(got)
+    clean = lambda **k: sorted(leakage.without_leaks(d, "doc_id", "text", e, "item_id", "text", 4, 0.8, **k).collect(), key=repr)
+    assert clean(**many) == clean() and any(r.dropped for r in clean()) and any(r.leaked_words and not r.dropped for r in clean())
 
 
 def test_character_forms_make_no_difference_and_spans_are_removed(spark):
