@@ -11,38 +11,39 @@ least ``share`` of its sentences deal with.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata as ud
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from constellate.llm.bpe import spread
-from constellate.llm.lookalike import one_script, unseen
+from constellate.llm.lookalike import one_script, without_unseen
 from constellate.session import materialize
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_ASCII_WORD = re.compile("[a-z]+")
 _FENCE = regex.compile(r"```.*?(?:```|\Z)", regex.S)
 _URL = regex.compile(r"\b(?:https?://|www\.)\S+")
 _ENTITY = regex.compile(r"&(?:amp;)*#?\w{1,8};|<[^<>\n]{0,40}>")
-_LINE = regex.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
-_END = regex.compile(r"(?<=[.!…])[\"'»”’)*_]*\s+")
-_QUESTION = regex.compile(r"(?<=\?)[\"'»”’)*_]*\s+")
+_LINE = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
+_END = re.compile(r"(?<=[.!…])[\"'»”’)*_]*\s+")
+_QUESTION = re.compile(r"(?<=\?)[\"'»”’)*_]*\s+")
 _STOPPED = regex.compile(r"[.!?…:;][\"'»”’)*_\s]*$|[.!?…][^\p{L}\p{N}]*$")
-#: A run of words longer than this without any stop is text whose stops are missing.
-RUN_ON = 40
-#: Words that a subject term accounts for on either side where stops are missing, and words of a usual sentence.
-REACH, USUAL = 6, 11
+#: No sentence is longer: a longer run of words is text whose stops are missing, cut into pieces of a usual length.
+LONGEST, USUAL = 40, 11
 
 
 def _clean(text: str) -> str:
     if not text.isascii():
-        text = ud.normalize("NFKC", "".join(c for c in text if c.isascii() or not unseen(c)))
+        text = ud.normalize("NFKC", without_unseen(text))
     text = _FENCE.sub("\n", text) if "```" in text else text
     text = _URL.sub(" ", text) if "http" in text or "www." in text else text
     return _ENTITY.sub(" ", text) if "&" in text or "<" in text else text
@@ -50,7 +51,7 @@ def _clean(text: str) -> str:
 
 def words(sentence: str) -> list[str]:
     if sentence.isascii():
-        return [w.lower() for w in _WORD.findall(sentence)]
+        return _ASCII_WORD.findall(sentence.lower())
     return [one_script(w).casefold() for w in _WORD.findall(sentence)]
 
 
@@ -76,7 +77,7 @@ def sentences(text: str) -> list[list[str]]:
         parts: list[list[str]] = []
         for part in _END.split(line):
             answer = False
-            for piece in _QUESTION.split(part):
+            for piece in _QUESTION.split(part) if "?" in part else (part,):
                 ws = words(piece)
                 if not ws:
                     continue
@@ -87,7 +88,7 @@ def sentences(text: str) -> list[list[str]]:
                 answer = True
         if not full and skip_open and parts and len(parts[-1]) <= 8 and len(parts) == 1:
             continue
-        if not full and len(parts) == 1 and len(parts[0]) > RUN_ON // 2 and "  " in line.strip():
+        if not full and len(parts) == 1 and len(parts[0]) > LONGEST // 2 and "  " in line.strip():
             parts = [ws for ws in map(words, line.split("  ")) if ws]
         out += parts
     return out
@@ -98,98 +99,89 @@ def terms(ws: list[str]) -> set[str]:
     return {*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:]))}
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 class Lexicon:
     """Subject terms with weights; compiled once per worker into an Aho-Corasick automaton."""
 
     def __init__(self, subjects: list[str], entries: dict[str, tuple[int, float]], threshold: float | list[float], openers: frozenset[str] = frozenset()) -> None:
         self.subjects, self.entries, self.openers = subjects, entries, openers
         self.thresholds = threshold if isinstance(threshold, list) else [threshold] * len(subjects)
-        self._automaton = None
+        self._compiled = None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_automaton"}
+        return {k: v for k, v in self.__dict__.items() if k != "_compiled"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._automaton = None
+        self._compiled = None
 
-    def automaton(self):
-        if self._automaton is None:
+    def compiled(self):
+        """The automaton over the terms, and subject and weight of each."""
+        if self._compiled is None:
             import ahocorasick
 
-            a = ahocorasick.Automaton()
-            for term, value in self.entries.items():
-                a.add_word(f" {term} ", (len(term), *value))
-            if self.entries:
-                a.make_automaton()
-            self._automaton = a
-        return self._automaton
-
-    def hits(self, ws: list[str]) -> list[tuple[int, int, float]]:
-        """(end in the joined text, subject, weight) of every term, each distinct term once."""
-        if not self.entries:
-            return []
-        line = f" {' '.join(ws)} "
-        seen, out = set(), []
-        for end, (n, s, w) in self.automaton().iter(line):
-            term = line[end - n : end]
-            if term not in seen:
-                seen.add(term)
-                out.append((end, s, w))
-        return out
-
-    def scores(self, ws: list[str]) -> dict[int, float]:
-        """Weight of every subject that has a term in a sentence, normalised by length."""
-        total: dict[int, float] = defaultdict(float)
-        for _, s, w in self.hits(ws):
-            total[s] += w
-        length = math.sqrt(max(len(ws), 4))
-        return {s: w / length for s, w in total.items()}
-
-    def dealt(self, ws: list[str]) -> list[int]:
-        """Every subject of a sentence whose weight reaches its threshold."""
-        return [s for s, v in self.scores(ws).items() if v >= self.thresholds[s]]
-
-    def split(self, ss: list[list[str]]) -> Iterator[list[str]]:
-        """Sentences; where stops are missing, cut before the words that elsewhere mostly open a sentence."""
-        for ws in ss:
-            if len(ws) <= RUN_ON // 2 or not self.openers:
-                yield ws
+            a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for i, term in enumerate(self.entries):
+                a.add_word(f" {term} ", i)
+            a.make_automaton()
+            self._compiled = a, np.array([s for s, _ in self.entries.values()], np.int64), np.array([w for _, w in self.entries.values()])
+        return self._compiled
+
+    def scores(self, lines: list[str], chunk: int = 4_000_000) -> np.ndarray:
+        """Weight of every subject (columns) in every sentence of blank-delimited words, each distinct term of a sentence
+        once, per square root of the sentence's words (four at least)."""
+        k = len(self.subjects)
+        out = np.zeros((len(lines), k))
+        if not self.entries or not lines:
+            return out
+        automaton, subject, weight = self.compiled()
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 3)])
+        at = 0
+        while at < len(lines):
+            end = max(at + 1, int(np.searchsorted(starts, starts[at] + chunk)))
+            hits = list(automaton.iter(f" {' \n '.join(lines[at:end])} "))
+            if hits:
+                place, term = np.array(hits, np.int64).T
+                sentence = np.searchsorted(starts, place + starts[at], "right") - 1
+                sentence, term = np.divmod(_distinct(sentence * len(weight) + term), len(weight))
+                out += np.bincount(sentence * k + subject[term], weight[term], len(lines) * k).reshape(-1, k)
+            at = end
+        length = np.fromiter((x.count(" ") + 1 for x in lines), np.int64, len(lines))
+        return out / np.sqrt(np.maximum(length, 4))[:, None]
+
+    def dealt(self, lines: list[str]) -> np.ndarray:
+        """Whether every sentence deals with every subject: its weight reaches the subject's threshold."""
+        return self.scores(lines) >= np.array(self.thresholds)
+
+    def split(self, lines: list[str]) -> Iterator[str]:
+        """Sentences of at most ``LONGEST`` words: where stops are missing, cut before the words that elsewhere mostly open
+        a sentence, and what is still longer into even pieces of about ``USUAL`` words."""
+        for line in lines:
+            if line.count(" ") < LONGEST // 2:
+                yield line
                 continue
-            at = 0
+            ws = line.split(" ")
+            cuts = [0]
             for i in range(3, len(ws) - 2):
-                if i - at >= 3 and (ws[i] in self.openers or f"{ws[i]} {ws[i + 1]}" in self.openers):
-                    yield ws[at:i]
-                    at = i
-            yield ws[at:]
-
-    def shares(self, ss: list[list[str]]) -> tuple[dict[int, float], float]:
-        """Sentences (or, where stops are missing, as many usual ones as their words make) by subject, and in all."""
-        by: dict[int, float] = defaultdict(float)
-        n = 0.0
-        for ws in self.split(ss):
-            if len(ws) > RUN_ON:
-                n += len(ws) / USUAL
-                line_at = np.cumsum([0, *(len(w) + 1 for w in ws)])
-                near = np.full(len(ws), REACH + 1)
-                label = np.full(len(ws), -1)
-                line = f" {' '.join(ws)} "
-                for end, (k, s, w) in self.automaton().iter(line) if self.entries else ():
-                    if w < self.thresholds[s]:
-                        continue
-                    at = int(np.searchsorted(line_at, end - 1, "left")) - 1
-                    lo, hi = max(0, at - REACH), min(len(ws), at + REACH + 1)
-                    dist = np.abs(np.arange(lo, hi) - at)
-                    closer = dist < near[lo:hi]
-                    near[lo:hi][closer] = dist[closer]
-                    label[lo:hi][closer] = s
-                for s, c in Counter(label[label >= 0].tolist()).items():
-                    by[s] += c / USUAL
-                continue
-            n += 1
-            for s in self.dealt(ws):
-                by[s] += 1
-        return by, n
+                if i - cuts[-1] >= 3 and (ws[i] in self.openers or f"{ws[i]} {ws[i + 1]}" in self.openers):
+                    cuts.append(i)
+            for at, end in zip(cuts, [*cuts[1:], len(ws)]):
+                n = end - at
+                pieces = round(n / USUAL) if n > LONGEST else 1
+                for k in range(pieces):
+                    yield " ".join(ws[at + n * k // pieces : at + n * (k + 1) // pieces])
+
+    def counts(self, documents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of every document the sentences by subject (columns), and all sentences."""
+        lines = [list(self.split(d)) for d in documents]
+        n = np.fromiter(map(len, lines), np.int64, len(lines))
+        at, subject = np.nonzero(self.dealt([x for d in lines for x in d]))
+        doc, k = np.repeat(np.arange(len(lines)), n), len(self.subjects)
+        return np.bincount(doc[at] * k + subject, minlength=len(lines) * k).reshape(-1, k), n
 
 
 def _rare(held: dict[str, int], documents: int) -> dict[str, float]:
@@ -232,84 +224,102 @@ def tokenised(documents: DataFrame, key: str, text: str) -> DataFrame:
     return materialize(spread(documents.select(key, text)).mapInArrow(run, schema), "sentences")
 
 
-def _split(column: pa.Array) -> Iterator[list[list[str]]]:
-    for ss in column.to_pylist():
-        yield [s.split(" ") for s in ss]
-
-
-def _openers(parsed: DataFrame, least: int = 8, mostly: float = 0.85) -> frozenset[str]:
-    """Words and pairs of words that mostly stand at the beginning of a sentence, over all texts with stops."""
+class _Coded:
+    """Documents as arrays: the terms of every sentence as numbers that stand for words, or pairs of words, of this slice."""
+
+    def __init__(self, column: pa.Array) -> None:
+        self.lines = lines = column.flatten()
+        per_doc = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        self.documents = len(column)
+        self.doc_of = np.repeat(np.arange(len(column)), per_doc)  # of a sentence
+        words_ = pc.split_pattern(lines, " ")
+        self.length = pc.list_value_length(words_).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words_.flatten().dictionary_encode()
+        self.words = coded.dictionary
+        self.size = len(self.words)
+        code = coded.indices.to_numpy().astype(np.int64)
+        sentence = np.repeat(np.arange(len(lines)), self.length)
+        same = sentence[:-1] == sentence[1:]
+        self.term = np.concatenate([code, self.pair(code[:-1][same], code[1:][same])])
+        self.sentence = np.concatenate([sentence, sentence[:-1][same]])
+        first = np.ones(len(code), bool)
+        first[1:] = ~same
+        self.opens = np.concatenate([first, first[:-1][same]])
+
+    def pair(self, a, b):
+        return self.size + a * self.size + b
+
+    def strings(self, term: np.ndarray) -> pa.Array:
+        single = term < self.size
+        a, b = np.divmod(term[~single] - self.size, self.size)
+        pairs = pc.binary_join_element_wise(self.words.take(pa.array(a)), self.words.take(pa.array(b)), " ")
+        out = pa.concat_arrays([self.words.take(pa.array(term[single])), pairs.cast(self.words.type)])
+        back = np.empty(len(term), np.int64)
+        back[np.concatenate([np.flatnonzero(single), np.flatnonzero(~single)])] = np.arange(len(term))
+        return out.take(pa.array(back))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[_Coded]:
+    """The sentences of whole documents in slices of about ``most`` bytes (one document alone may have more)."""
+    for b in batches:
+        column = b.column(b.num_columns - 1)
+        per_doc = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(column.flatten()).to_numpy(zero_copy_only=False))])
+        part = size[np.cumsum(per_doc)] // most if len(per_doc) else np.zeros(0)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            if y > x:
+                yield _Coded(column.slice(x, y - x))
+
+
+def _openers(parsed: DataFrame, least: int = 8, mostly: float = 0.85, one_in: int = 50_000) -> frozenset[str]:
+    """Words and pairs of words that mostly stand at the beginning of a sentence.
+
+    One opens at least ``least`` sentences and at least one in ``one_in`` of all of them, so there are fewer than twice
+    ``one_in``, whatever the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opens: Counter = Counter()
-        within: Counter = Counter()
-        for b in batches:
-            for ss in _split(b.column(0)):
-                if any(len(ws) > RUN_ON for ws in ss):
-                    continue
-                for ws in ss:
-                    opens.update({ws[0], " ".join(ws[:2])})
-                    within.update(ws)
-                    within.update(map(" ".join, zip(ws, ws[1:])))
-            if len(within) > 200_000:
-                yield _counted(opens, within)
-        yield _counted(opens, within)
+        for c in _slices(batches):
+            marked = np.sort(c.term * 2 + c.opens)
+            if not len(marked):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], marked[1:] // 2 != marked[:-1] // 2]))
+            n = np.diff(np.concatenate([starts, [len(marked)]]))
+            yield pa.RecordBatch.from_arrays(
+                [c.strings(marked[starts] // 2), pa.array(np.add.reduceat(marked % 2, starts)), pa.array(n)], names=["term", "opens", "n"])
 
+    all_ = parsed.agg(F.sum(F.size("sentences"))).first()[0] or 0
     sums = parsed.select("sentences").mapInArrow(run, "term string, opens bigint, n bigint").groupBy("term").agg(F.sum("opens").alias("opens"), F.sum("n").alias("n"))
-    kept = sums.where((F.col("opens") >= least) & (F.col("opens") >= F.col("n") * mostly)).orderBy(F.col("opens").desc(), "term").limit(20_000)
+    kept = sums.where((F.col("opens") >= max(least, all_ / one_in)) & (F.col("opens") >= F.col("n") * mostly))
     return frozenset(r["term"] for r in kept.select("term").collect())
 
 
-def _counted(opens: Counter, within: Counter) -> pa.RecordBatch:
-    keys = list(within)
-    out = pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.string()), pa.array([opens[k] for k in keys], pa.int64()), pa.array([within[k] for k in keys], pa.int64())], names=["term", "opens", "n"])
-    opens.clear()
-    within.clear()
-    return out
-
-
 def _round(parsed: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(term, n, by): over all documents with two or more sentences of known subject, documents holding the term, and the
     sum of those documents' subject shares."""
     model = parsed.sparkSession.sparkContext.broadcast(lexicon)
     k = len(lexicon.subjects)
     schema = "term string, n bigint, " + ", ".join(f"s{i} double" for i in range(k))
-    flush_at = 200_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = model.value
-        sums: dict[str, np.ndarray] = {}
-
-        def flush() -> pa.RecordBatch:
-            m = np.array(list(sums.values())).reshape(len(sums), k + 1)
-            cols = [pa.array(list(sums), pa.string()), pa.array(m[:, k].astype(np.int64))] + [pa.array(m[:, i]) for i in range(k)]
-            sums.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["term", "n", *(f"s{i}" for i in range(k))])
-
-        for b in batches:
-            for ss in _split(b.column(0)):
-                row = np.zeros(k + 1)
-                known = 0
-                for ws in ss:
-                    dealt = lex.dealt(ws)
-                    known += bool(dealt)
-                    for s in dealt:
-                        row[s] += 1
-                if known < 2:
-                    continue
-                row /= row.sum()
-                row[k] = 1
-                for term in set().union(*map(terms, ss)):
-                    at = sums.get(term)
-                    if at is None:
-                        sums[term] = row.copy()
-                    else:
-                        at += row
-            if len(sums) > flush_at:
-                yield flush()
-        if sums:
-            yield flush()
+        for c in _slices(batches):
+            dealt = lex.dealt(c.lines.to_pylist())
+            sentence, subject = np.nonzero(dealt)
+            share = np.bincount(c.doc_of[sentence] * k + subject, minlength=c.documents * k).reshape(-1, k).astype(float)
+            known = np.bincount(c.doc_of, dealt.any(axis=1), c.documents) >= 2
+            share /= np.maximum(share.sum(axis=1), 1)[:, None]
+            doc = c.doc_of[c.sentence]
+            held = _distinct(c.term[known[doc]] * c.documents + doc[known[doc]])  # each term of a document once
+            if not len(held):
+                continue
+            term, doc = np.divmod(held, c.documents)
+            starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+            sums = np.add.reduceat(share[doc], starts, axis=0)
+            n = np.diff(np.concatenate([starts, [len(term)]]))
+            yield pa.RecordBatch.from_arrays(
+                [c.strings(term[starts]), pa.array(n.astype(np.int64)), *(pa.array(sums[:, i]) for i in range(k))], names=["term", "n", *(f"s{i}" for i in range(k))])
 
     return (
         parsed.select("sentences").mapInArrow(run, schema)
@@ -317,15 +327,13 @@ def _round(parsed: DataFrame, lexicon: Lexicon) -> DataFrame:
     )
 
 
-def _curate(stats: DataFrame, subjects: list[str], purity: float, sure: float, least: int, max_terms: int, documents: int) -> dict[str, tuple[int, float]]:
+def _curate(stats: DataFrame, subjects: list[str], purity: float, sure: float, least: float, max_terms: int, documents: int) -> dict[str, tuple[int, float]]:
     k = len(subjects)
     best = F.greatest(*[F.col(f"s{i}") for i in range(k)]) / F.col("n") if k > 1 else F.col("s0") / F.col("n")
     low = F.col("p") - sure * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
-    kept = (
-        stats.where(F.col("n") >= least).withColumn("p", best).where(low >= purity)
-        .orderBy(F.col("n").desc(), F.col("term")).limit(max_terms)
-    )
-    found = kept.collect()
+    found = stats.where(F.col("n") >= least).withColumn("p", best).where(low >= purity).limit(max_terms + 1).collect()
+    if len(found) > max_terms:
+        raise ValueError(f"more than {max_terms} subject terms: raise max_terms, or least_share, rather than lose some")
     rare = _rare({r["term"]: r["n"] for r in found}, documents)
     out = {}
     for r in found:
@@ -341,14 +349,12 @@ def _valley(parsed: DataFrame, lexicon: Lexicon, lo: float, hi: float, bins: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = model.value
-        for b in batches:
-            counts: Counter = Counter()
-            for ss in _split(b.column(0)):
-                for ws in ss:
-                    for s, v in lex.scores(ws).items():
-                        if lo <= v < hi:
-                            counts[s * bins + int((v - lo) / width)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["bin", "n"])
+        for c in _slices(batches):
+            score = lex.scores(c.lines.to_pylist())
+            sentence, s = np.nonzero((score >= lo) & (score < hi))
+            at = s * bins + np.minimum(((score[sentence, s] - lo) / width).astype(np.int64), bins - 1)
+            kinds, n = np.unique(at, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(n.astype(np.int64))], names=["bin", "n"])
 
     found = {r["bin"]: r["n"] for r in parsed.select("sentences").mapInArrow(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     out = []
@@ -361,23 +367,23 @@ def _valley(parsed: DataFrame, lexicon: Lexicon, lo: float, hi: float, bins: int
 
 def learn(
     parsed: DataFrame, examples: DataFrame, subject: str, example_text: str, areas: list[str],
-    rounds: int = 4, purity: float = 0.4, sure: float = 1.5, least: int = 8, max_examples: int = 100_000, max_terms: int = 200_000,
+    rounds: int = 4, purity: float = 0.4, sure: float = 1.5, least: int = 8, least_share: float = 1e-6, max_examples: int = 100_000,
+    max_terms: int = 1_000_000,
 ) -> Lexicon:
     """The lexicon of ``areas``: from at most ``max_examples`` labelled rows, then ``rounds`` passes over all documents.
 
-    ``parsed`` is the corpus by :func:`tokenised`.  A term is kept if at least ``least`` documents hold it and its share of
-    one subject in them exceeds ``purity`` by ``sure`` standard errors.  ``max_terms`` bounds the model (the best attested
-    terms stay), whatever the corpus.
+    ``parsed`` is the corpus by :func:`tokenised`.  A term is kept if at least ``least`` documents, and a ``least_share`` of
+    all, hold it and its share of one subject in them exceeds ``purity`` by ``sure`` standard errors; terms of the
+    examples that the corpus does not settle keep a quarter of their weight.  The lexicon is broadcast; learning fails
+    rather than leave terms out where there are more than ``max_terms``.
     """
     rows = [(r[0], r[1]) for r in examples.select(subject, example_text).where(F.col(subject).isNotNull() & F.col(example_text).isNotNull()).limit(max_examples).collect()]
-    seed = _seed(areas, rows)
+    seed = {t: (s, w / 4) for t, (s, w) in _seed(areas, rows).items()}
     openers = _openers(parsed)
-    lexicon, documents = Lexicon(areas, seed, 0.4, openers), parsed.count()
+    lexicon, documents = Lexicon(areas, seed, 0.1, openers), parsed.count()
     for _ in range(rounds):
-        found = _curate(_round(parsed, lexicon), areas, purity, sure, least, max_terms, documents)
-        if not found:  # a corpus too small to curate on
-            return Lexicon(areas, seed, 0.4, openers)
-        lexicon = Lexicon(areas, found, 0.1, openers)
+        found = _curate(_round(parsed, lexicon), areas, purity, sure, max(least, least_share * documents), max_terms, documents)
+        lexicon = Lexicon(areas, seed | found, 0.1, openers)
     return Lexicon(areas, lexicon.entries, _valley(parsed, lexicon, 0.05, 0.4), openers)
 
 
@@ -392,14 +398,11 @@ def subject_shares(parsed: DataFrame, key: str, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = model.value
         for b in batches:
-            at, names, shares = [], [], []
-            for i, ss in enumerate(_split(b.column(1))):
-                by, n = lex.shares(ss)
-                for s, c in by.items():
-                    at.append(i)
-                    names.append(lex.subjects[s])
-                    shares.append(min(1.0, c / n))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=[key, "subject", "share"])
+            by, n = lex.counts(b.column(1).to_pylist())
+            at, subject = np.nonzero(by)
+            share = by[at, subject] / n[at]
+            names = pa.array(lex.subjects, pa.string()).take(pa.array(subject))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), names, pa.array(share)], names=[key, "subject", "share"])
 
     return parsed.select(key, "sentences").mapInArrow(run, schema)
 
