@@ -39,10 +39,13 @@ def get_session(app: str = "constellate", cores: int | str = "*", **conf: str) -
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for durable intermediates: ``spark.checkpoint.dir`` of the session, else the context's checkpoint folder,
-    else one made for this process."""
+    else, with a local master only, one made for this process.  On a cluster such a folder would be another one on every
+    machine, so that readers would see parts of a table: there it is an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("no shared folder for intermediate tables: set spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="constellate-")
