@@ -63,8 +63,10 @@ def copies(items: DataFrame, container: str, item: str, overlap: float = 0.9) ->
     """
     inc = items.select(F.col(container).alias("c"), F.col(item).alias("x")).where("c is not null and x is not null").distinct()
     sets = inc.groupBy("c").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    membership = materialize(
-        sets.withColumn("class", F.min("c").over(Window.partitionBy(F.xxhash64("xs"), "xs"))).select(F.col("c").alias(container), "class"), "classes")
+    # Equal sets merge in the map tasks, so that very many copies of one set are no hot group.
+    sets = materialize(sets.withColumn("h", F.md5(F.to_json(F.struct("xs")))), "sets")
+    first = sets.groupBy("h").agg(F.min("c").alias("class"))
+    membership = materialize(sets.select("c", "h").join(first, "h").select(F.col("c").alias(container), "class"), "classes")
     heads = membership.select(F.col("class").alias("c")).distinct()
     inc = materialize(inc.join(heads, "c", "left_semi"), "sets")
     count = inc.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
@@ -74,7 +76,7 @@ def copies(items: DataFrame, container: str, item: str, overlap: float = 0.9) ->
     prefix = ranked.where((F.col("r") <= allowed) & (F.col("df") > 1)).select("x", F.col("c").alias("s"), F.col("n").alias("n_s"))
     sizes = ranked.select("x", F.col("c").alias("t"), F.col("n").alias("n_t"))
     near = prefix.join(sizes, "x").where("s != t and n_s <= n_t").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
-    arrays = sets.join(heads, "c", "left_semi")
+    arrays = sets.select("c", "xs").join(heads, "c", "left_semi")
     both = near.join(arrays.toDF("a", "xa"), "a").join(arrays.toDF("b", "xb"), "b")
     links = both.select("a", "b", F.size(F.array_intersect("xa", "xb")).cast("bigint").alias("shared"), F.size("xa").cast("bigint").alias("n_a"), F.size("xb").cast("bigint").alias("n_b"))
     return membership, links.where(F.col("shared") >= overlap * F.least("n_a", "n_b") - 1e-9)
@@ -128,7 +130,11 @@ def replay_in_order(rows: Iterator[tuple], links: set, cap: int | None) -> dict:
 
 
 def budgeted(rows: DataFrame, group: str, order: list, budget: str) -> DataFrame:
-    """Rows of each group in order while the group's ``budget`` lasts."""
+    """Rows of each group in order while the group's ``budget`` lasts.
+
+    The greatest budget of all is a bound known before the rows move, so that map tasks send no more rows of a group.
+    """
+    most = int(rows.agg(F.max(budget)).first()[0] or 0)
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("__rank", rank).where(F.col("__rank") <= F.col(budget)).drop("__rank")
+    return rows.withColumn("__rank", rank).where(F.col("__rank") <= most).where(F.col("__rank") <= F.col(budget)).drop("__rank")
 

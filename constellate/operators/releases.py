@@ -64,10 +64,14 @@ def by_shared_words(targets: DataFrame, candidates: DataFrame, single: int = 2,
 
 
 def competitors(targets: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
-    """(target, candidate): up to ``k`` candidates of most fans one of whose words is the target's single-word name.
+    """(target, candidate): up to ``k`` candidates of most fans whose name ends with the target's, or holds it as a word.
 
-    ``targets`` is (target, form), ``candidates`` (candidate, form, fans); exploded words make it an equi-join.
+    ``targets`` is (target, form), ``candidates`` (candidate, form, fans); exploding words and endings of candidates
+    makes it an equi-join.  Endings of lengths that no target has are left out before anything moves.
     """
-    words = candidates.where("fans > 0").select("candidate", F.col("form").alias("whole"), "fans", F.explode(F.array_distinct(F.split("form", r"\s+"))).alias("form"))
+    lengths = [r[0] for r in targets.select(F.length("form").alias("n")).distinct().where("n > 0").collect()]  # as many as names have lengths
+    ends = F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.when(n < F.length("form"), F.right(F.col("form"), n)))
+    parts = F.filter(F.array_distinct(F.concat(F.regexp_extract_all("form", F.lit("[a-zA-Z0-9]+"), F.lit(0)), ends)), lambda x: x.isNotNull())
+    words = candidates.where("fans > 0").select("candidate", F.col("form").alias("whole"), "fans", F.explode(parts).alias("form"))
     hit = targets.join(words, "form").where("whole != form")
     return hit.withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("fans"), "candidate"))).where(F.col("r") <= k).select("target", "candidate")

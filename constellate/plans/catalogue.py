@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from constellate.plans import graph_queries, label_queries, problems, text_queries, view_queries
+from constellate.plans import graph_queries, harvest_queries, label_queries, problems, text_queries, view_queries
 
 FLAGSHIP = "cosine_edges"
-_MODULES = [problems, graph_queries, text_queries, label_queries, view_queries]
+_MODULES = [problems, graph_queries, text_queries, label_queries, view_queries, harvest_queries]
 
 
 def queries() -> dict:

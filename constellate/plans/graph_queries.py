@@ -86,6 +86,13 @@ def drawn_top6(spark: SparkSession, d: str) -> DataFrame:
     return P.top_links(e, 6, [F.desc("overlap"), F.desc("raw"), F.asc("other")])
 
 
+def drawn_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links drawn on the map: the six strongest of each node and all bridges."""
+    e = atlas_edges(spark, d).withColumn("playlists", F.coalesce("playlists", F.lit(1)))
+    top = P.top_links(e.select("source", "target", "weight", "playlists"), 6, [F.desc("weight"), F.desc("playlists"), F.asc("other")], "source", "target")
+    return top.unionByName(e.where("isBridge").select("source", "target")).distinct()
+
+
 def rank_protected_top4(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d).select("i", "j", F.round("similarity", R).alias("similarity"))
     return P.top_links(e, 4, [F.desc("similarity"), F.asc("other")])
@@ -210,7 +217,7 @@ def subclass_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cosine_edges, session_edges, projection, projection_units, marginals, degree_bounds, normalized_weight, drawn_top6, rank_protected_top4,
+    cosine_edges, session_edges, projection, projection_units, marginals, degree_bounds, normalized_weight, drawn_top6, drawn_links, rank_protected_top4,
     strongest_k, supported_nodes, degree_bounded_graph, components, bridges_round1, bridges_all, shortest_strongest_path, neighbourhood, induced_subgraph,
     valid_edges, adjacency, community_links, community_affinity, top_affinities, modularity, louvain, split_oversize, merge_communities, subclass_closure)}
 
@@ -245,6 +252,8 @@ ORACLES = {
     "degree_bounds": f"SELECT member, CAST(least(24, greatest(4, floor(4 * sqrt(greatest(1.0, round(damped, {R})))))) AS BIGINT) AS bound FROM {_marginals_sql(_INC)}",
     "normalized_weight": f"SELECT i, j, round(0.06 + 0.94 * (similarity - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1.0 END), 4) AS weight FROM (SELECT *, min(similarity) OVER () AS lo, max(similarity) OVER () AS hi FROM {_ROUNDED})",
     "drawn_top6": _top(f"(SELECT i, j, round(sqrt(source_percent * target_percent), 1) AS overlap, raw FROM {_EDGES})", 6, "overlap DESC, raw DESC, other"),
+    "drawn_links": _top(f"(SELECT source, target, weight, coalesce(playlists, 1) AS playlists FROM {ATLAS_EDGES})", 6, "weight DESC, playlists DESC, other", "source", "target")
+        + f' UNION SELECT source, target FROM {ATLAS_EDGES} WHERE "isBridge"',
     "rank_protected_top4": _top(_ROUNDED, 4, "similarity DESC, other"),
     "strongest_k": f"SELECT node, other, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other DESC) AS rn FROM {_BOTH}) WHERE rn <= 10",
     "supported_nodes": f"""WITH e AS (SELECT i, j, raw FROM {_SES_EDGES}), backed AS (SELECT e.* FROM e JOIN {_UNITS} u ON u.i = e.i AND u.j = e.j WHERE units >= 2),
@@ -264,6 +273,15 @@ ORACLES = {
           FROM {ATLAS_EDGES} e JOIN linked x ON x.node = source JOIN linked y ON y.node = e.target JOIN place a ON a.component = x.component JOIN place b ON b.component = y.component WHERE a.p <> b.p),
         joined(c) AS (SELECT component FROM place WHERE p = 1 UNION SELECT a.component FROM joined JOIN across a ON a.target = c)
         SELECT component, i, j, greatest(similarity, 0.12) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY similarity DESC, i, j) AS rn FROM across WHERE target IN (SELECT c FROM joined)) WHERE rn <= 3""",
+    "shortest_strongest_path": f"""WITH RECURSIVE ends AS (SELECT min(id) AS s, max(id) AS g FROM {NODES}), e AS (SELECT node, other, ln(weight) AS w FROM {_BOTH}),
+        level(hop, node, score, seen) AS (
+          SELECT 0, s, CAST(0.0 AS DOUBLE), [s] FROM ends UNION ALL
+          SELECT hop, node, max(score), any_value(seen) FROM (
+            SELECT l.hop + 1 AS hop, e.other AS node, l.score + e.w AS score, l.all_seen AS seen FROM (SELECT *, list_distinct(flatten(list(seen) OVER ())) || list(node) OVER () AS all_seen, max(CASE WHEN node = g THEN 1 ELSE 0 END) OVER () AS done FROM level, ends) l
+            JOIN e ON e.node = l.node WHERE l.done = 0 AND NOT list_contains(l.all_seen, e.other)) GROUP BY hop, node),
+        back(hop, node, score) AS (SELECT hop, node, score FROM level, ends WHERE node = g UNION ALL
+          SELECT hop, node, score FROM (SELECT l.hop, l.node, l.score, row_number() OVER (PARTITION BY b.hop ORDER BY l.score + e.w DESC, l.node) AS r FROM back b JOIN level l ON l.hop = b.hop - 1 JOIN e ON e.node = l.node AND e.other = b.node) WHERE r = 1)
+        SELECT hop, round(score, {R}) AS score FROM back""",
     "neighbourhood": f"""WITH hub AS (SELECT node FROM {_BOTH} GROUP BY node ORDER BY count(*) DESC, node DESC LIMIT 1)
         SELECT source, target, weight FROM {ATLAS_EDGES}, hub WHERE source = node OR target = node""",
     "induced_subgraph": f'WITH m AS (SELECT id FROM {NODES} WHERE "continentId" = 1) SELECT source, target, weight FROM {ATLAS_EDGES} WHERE source IN (SELECT id FROM m) AND target IN (SELECT id FROM m)',

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from constellate.functions import text as X
+from constellate.operators import harvest as H
 from constellate.operators import identity as I
 from constellate.operators import project as P
 from constellate.operators import quality as Q
@@ -15,6 +16,7 @@ from constellate.operators import votes as V
 from constellate.plans.bindings import ATLAS_EDGES, NODES, PLAYLISTS, atlas_edges, nodes, playlists, table
 from constellate.session import materialize
 from constellate.plans.sql import compat, in_list, q
+from constellate.plans.text_queries import _sanitise, content_sql, parts_sql, shown_sql, song_sql, split_sql
 
 R = 6
 
@@ -107,9 +109,11 @@ def budgeted_expansion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def known_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Anchors that were not harvested themselves: the keys still to fetch."""
-    p = playlists(spark, d)
-    return p.where("anchor_id is not null and anchor_id != ''").select(F.col("anchor_id").alias("id")).distinct().join(p.select("id"), "id", "left_anti")
+    """Keys still to fetch: credited artists that neither the catalogue's channels nor frequent credits make known."""
+    wanted = _tracks(spark, d).where("artist_id is not null and artist_id != ''").select(F.col("artist_id").alias("id"))
+    known = table(spark, d, "artist_catalog").select(F.explode("credits.channel").alias("c")).where("c is not null").select(F.concat(F.lit("yt_"), "c").alias("id"))
+    frequent = wanted.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("id")
+    return wanted.distinct().join(known, "id", "left_anti").join(frequent, "id", "left_anti")
 
 
 # ---- identity ------------------------------------------------------------------------------------------------------
@@ -160,7 +164,7 @@ def display_case(spark: SparkSession, d: str) -> DataFrame:
 def merged_entities(spark: SparkSession, d: str) -> DataFrame:
     r = _resolved(spark, d).where("entity is not null").select(F.col("entity").alias("id"), "name", "container")
     c = table(spark, d, "artist_catalog").select("id", F.coalesce("subscribers", F.lit(0)).alias("fans")).groupBy("id").agg(F.max("fans").alias("fans"))
-    records = r.groupBy("id", "name").agg(F.collect_set("container").alias("units")).join(c, "id").withColumn("seq", F.pmod(F.crc32(F.col("name").cast("binary")), F.lit(1 << 31)))
+    records = r.groupBy("id", "name").agg(F.collect_set("container").alias("units")).join(c, "id").withColumn("seq", F.dense_rank().over(Window.partitionBy("id").orderBy(F.desc("name"))))
     return I.merge_entities(records)
 
 
@@ -242,8 +246,10 @@ def neighbour_check(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("node").orderBy(F.desc("weight"), F.desc("other"))
     near = P.both_sides(atlas_edges(spark, d).select("source", "target", "weight"), "source", "target").withColumn("rank", F.row_number().over(w)).select(F.col("node").alias("member"), "other", "rank")
     stated = n.select("member", F.posexplode("tags").alias("place", "label"))
-    none = stated.where("false").select("member", "label")
-    return V.neighbour_check(n, near, none, stated).select("member", F.array_join("tags", "|").alias("tags"))
+    m = _resolved(spark, d).where("entity is not null").select("container", F.col("entity").alias("member")).distinct()
+    lifts = V.lift_table(_containers(spark, d).select("container", "label", "unit").join(m, "container"))
+    sure = H.confirmed_facts(stated, lifts.withColumn("lift", F.round("lift", R)))
+    return V.neighbour_check(n, near, sure, stated).select("member", F.array_join("tags", "|").alias("tags"))
 
 
 def anchors(spark: SparkSession, d: str) -> DataFrame:
@@ -319,7 +325,7 @@ def shared_word_match(spark: SparkSession, d: str) -> DataFrame:
 
 def competitors(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d).select("id", X.match_form(F.col("label")).alias("form"), F.coalesce("subscribers", F.lit(0)).alias("fans"))
-    return E.competitors(n.where("form != '' and instr(form, ' ') = 0").select(F.col("id").alias("target"), "form"), n.withColumnRenamed("id", "candidate"))
+    return E.competitors(n.where("form != ''").select(F.col("id").alias("target"), "form"), n.withColumnRenamed("id", "candidate"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -412,8 +418,7 @@ _OFF = f"""(SELECT DISTINCT lower(artist_name) AS name, lower(trim({compat("rege
 _FREQ = f"""(SELECT artist_id, title, n, CAST(row_number() OVER (PARTITION BY artist_id ORDER BY n DESC, title) AS INT) AS rank FROM (SELECT artist_id, title, count(*) AS n FROM {_TR} WHERE starts_with(artist_id, 'name_') AND title IS NOT NULL GROUP BY 1, 2))"""
 _TITLE_SONG = f"""lower(trim({compat("regexp_split_to_array(title, '(?i)\\s*[\\(\\[【]|\\s+(?:ft\\.?|feat\\.?)\\s+')[1]")}))"""
 _TAGS = f'(SELECT DISTINCT id, community, unnest(tags) AS tag FROM (SELECT id, "continentId" AS community, "topSubgenres" AS tags FROM {NODES} WHERE "continentId" IS NOT NULL))'
-_SHOWN = f"""array_to_string(list_transform(list_filter(regexp_split_to_array(trim(tag), '\\s+'), lambda w: w <> ''), lambda w: coalesce(
-    MAP {{{{{', '.join(f'{q(k)}: {q(v)}' for k, v in X.ACRONYMS.items())}}}}}[lower(w)], array_to_string(list_transform(regexp_extract_all(w, '\\p{{{{L}}}}+|\\P{{{{L}}}}+'), lambda r: upper(left(r, 1)) || lower(substr(r, 2))), ''))), ' ')""".replace("{{", "{").replace("}}", "}")
+_SHOWN = shown_sql("tag")
 
 ORACLES = {
     "related_anchors": f"""SELECT label, container, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, container) AS rank FROM (
@@ -422,14 +427,46 @@ ORACLES = {
         c AS (SELECT community, tag, n, round(pow(n / size, 0.8) * ln(1 + (n / size) / ("all" / (SELECT count(*) FROM n) + 0.02)), 9) AS score FROM (SELECT community, tag, count(*) AS n FROM t GROUP BY 1, 2)
           JOIN (SELECT tag, count(*) AS "all" FROM t GROUP BY 1) USING (tag) JOIN (SELECT community, count(*) AS size FROM n GROUP BY 1) USING (community))
         SELECT community, string_agg({_SHOWN}, ' / ' ORDER BY rank) AS title FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY score DESC, n DESC, tag) AS rank FROM c) WHERE rank <= 3 GROUP BY community""",
+    "merged_entities": f"""WITH r AS (SELECT entity AS id, name, container FROM {_RES} WHERE entity IS NOT NULL), c AS (SELECT id, max(coalesce(subscribers, 0)) AS fans FROM artist_catalog GROUP BY 1)
+        SELECT id, max(name) AS name, max(fans) AS fans, count(DISTINCT container) AS units, count(DISTINCT name) AS records FROM r JOIN c USING (id) GROUP BY id""",
+    "joint_credits": f"""WITH k AS (SELECT * FROM {_KEYS}), open AS (SELECT DISTINCT name AS raw FROM {_RES} WHERE entity IS NULL), p AS (SELECT raw, lower(trim(unnest({split_sql('raw')}))) AS name FROM open)
+        SELECT DISTINCT raw AS name, coalesce(x.id, a.id) AS entity FROM p LEFT JOIN (SELECT name, id FROM k WHERE channel = '') x USING (name) LEFT JOIN (SELECT name, id FROM k WHERE channel IS NULL) a USING (name)
+        WHERE name <> lower(trim(raw)) AND coalesce(x.id, a.id) IS NOT NULL""",
+    "credit_by_title": f"""WITH t AS (SELECT id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(trim(left(title, instr(title, ' - ') - 1)), '^\\d+[\\.\\-_–—]+\\s*', '')) AS l,
+          trim(regexp_split_to_array(substr(title, instr(title, ' - ') + 3), '\\s+[-|/]+\\s+|\\s*[\\(\\[【]')[1]) AS r FROM {_TR}
+          WHERE coalesce(channel_id, '') = '' AND artist_name <> '' AND contains(title, ' - ')), o AS (SELECT * FROM {_OFF}),
+        s AS (SELECT id, pos, 1 AS tier, {song_sql('r')} AS song, {parts_sql('l')} AS parts FROM t UNION ALL SELECT id, pos, 2, {song_sql('l')}, {parts_sql('r')} FROM t),
+        b AS (SELECT id, pos, tier, spot, part FROM (SELECT id, pos, tier, song, unnest(parts) AS part, generate_subscripts(parts, 1) AS spot FROM s) WHERE (lower(part), song) IN (SELECT (name, song) FROM o)),
+        w AS (SELECT id, pos, 3 AS tier, 0 AS spot, {_sanitise(f"trim({compat('l')})")} AS part FROM t),
+        e AS (SELECT * FROM b UNION ALL SELECT * FROM w WHERE lower(part) IN (SELECT name FROM o) AND (id, pos) NOT IN (SELECT (id, pos) FROM (SELECT id, pos, unnest(parts) AS p FROM s WHERE tier = 2) WHERE lower(p) IN (SELECT name FROM o)))
+        SELECT id, pos, coalesce(credit, '') AS credit FROM t LEFT JOIN (SELECT id, pos, arg_min(part, (tier, spot)) AS credit FROM e GROUP BY 1, 2) USING (id, pos)""",
+    "shared_word_match": f"""WITH w AS (SELECT artist_id, name, list_distinct(flatten(list(words))) AS words FROM (SELECT artist_id, lower(trim(artist_name)) AS name, {content_sql('title')} AS words FROM {_TR}
+          WHERE artist_name <> '' AND title IS NOT NULL) GROUP BY 1, 2), c AS (SELECT t.artist_id AS target, k.artist_id AS candidate, t.words, len(list_intersect(t.words, k.words)) AS shared, len(k.words) AS fans, t.name
+          FROM w t JOIN w k USING (name) WHERE starts_with(t.artist_id, 'name_') AND starts_with(k.artist_id, 'yt_'))
+        SELECT target, candidate, CAST(shared AS INTEGER) AS shared FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY shared DESC, fans DESC, candidate) AS r FROM c
+          WHERE shared >= CASE WHEN len(words) = 0 THEN 0 WHEN contains(name, ' ') THEN 1 ELSE 2 END) WHERE r = 1""",
+    "sequential_accept": f"""WITH RECURSIVE sets AS (SELECT id, list_sort(list(DISTINCT "videoId")) AS xs FROM {_TR} WHERE "videoId" IS NOT NULL GROUP BY 1),
+        p AS (SELECT id, coalesce(author_id, '?') AS curator, row_number() OVER (ORDER BY harvested_at, id) AS n FROM {PLAYLISTS}),
+        item AS (SELECT id, unnest(xs) AS v, len(xs) AS n FROM sets),
+        pairs AS (SELECT a.id AS x, b.id AS y FROM item a JOIN item b ON a.v = b.v AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.9 * least(a.n, b.n) - 1e-9),
+        class AS (SELECT id, min(id) OVER (PARTITION BY xs) AS head FROM sets),
+        linked AS (SELECT x, y FROM pairs WHERE x IN (SELECT head FROM class) AND y IN (SELECT head FROM class) UNION SELECT head, id FROM class WHERE head <> id),
+        near AS (SELECT id, list(o) AS others FROM (SELECT x AS id, y AS o FROM linked UNION SELECT y, x FROM linked) GROUP BY 1),
+        row AS (SELECT p.n, p.id, p.curator, coalesce(others, []) AS others FROM p LEFT JOIN near USING (id)),
+        step(n, accepted, curators, ok, id) AS (
+          SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false, '' UNION ALL
+          SELECT n, CASE WHEN ok THEN list_append(accepted, id) ELSE accepted END, CASE WHEN ok THEN list_append(curators, curator) ELSE curators END, ok, id FROM (
+            SELECT r.n, r.id, r.curator, s.accepted, s.curators, NOT list_has_any(r.others, s.accepted) AND len(list_filter(s.curators, lambda c: c = r.curator)) < 2 AS ok FROM step s JOIN row r ON r.n = s.n + 1))
+        SELECT id, ok AS accepted FROM step WHERE n > 0""",
     "frequent_titles": f"SELECT artist_id, title, n, rank FROM {_FREQ} WHERE rank <= 5",
-    "song_votes": f"""WITH s AS (SELECT artist_id AS name, {_TITLE_SONG} AS song, min(rank) AS rank FROM {_FREQ} WHERE rank <= 5 GROUP BY 1, 2),
+    "song_votes": f"""WITH s AS (SELECT name, song FROM (SELECT artist_id AS name, {_TITLE_SONG} AS song, min(rank) AS rank FROM {_FREQ} GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY name ORDER BY rank, song) <= 5),
         v AS (SELECT s.name, o.name AS artist, count(DISTINCT song) AS votes FROM s JOIN {_OFF} o USING (song) GROUP BY 1, 2), b AS (SELECT *, max(votes) OVER (PARTITION BY name) AS best FROM v),
         w AS (SELECT *, count(*) OVER (PARTITION BY name) AS ties FROM b WHERE votes = best)
         SELECT name, artist, votes FROM w JOIN (SELECT name, count(*) AS songs FROM s GROUP BY 1) USING (name) WHERE ties = 1 AND votes >= least(2, songs)""",
     "competitors": f"""WITH n AS (SELECT id, coalesce({_match_sql('label')}, '') AS form, coalesce(subscribers, 0) AS fans FROM {NODES}),
-        w AS (SELECT DISTINCT id, form AS whole, fans, unnest(regexp_split_to_array(form, '\\s+')) AS word FROM n WHERE fans > 0)
-        SELECT target, candidate FROM (SELECT t.id AS target, w.id AS candidate, row_number() OVER (PARTITION BY t.id ORDER BY w.fans DESC, w.id) AS r FROM n t JOIN w ON w.word = t.form WHERE t.form <> '' AND NOT contains(t.form, ' ') AND whole <> t.form) WHERE r <= 5""",
+        t AS (SELECT * FROM n WHERE form <> '')
+        SELECT target, candidate FROM (SELECT t.id AS target, w.id AS candidate, row_number() OVER (PARTITION BY t.id ORDER BY w.fans DESC, w.id) AS r FROM t JOIN n w
+          ON w.fans > 0 AND w.form <> t.form AND (ends_with(w.form, t.form) OR list_contains(regexp_extract_all(w.form, '[a-zA-Z0-9]+'), t.form))) WHERE r <= 5""",
     "system_lists": f"""SELECT id, contains(lower(id), 'rdclak') OR lower(trim(coalesce(author, ''))) IN {in_list(X.SYSTEM_AUTHORS)}
         OR {' OR '.join(f"contains(lower(id), {q(t)}) OR contains({_SYS_T}, {q(t)})" for t in X.SYSTEM_TOKENS)}
         OR {' OR '.join(f"regexp_matches({_SYS_T}, {q(t)})" for t in X.SYSTEM_TITLES)} AS system FROM {PLAYLISTS}""",
@@ -449,7 +486,8 @@ ORACLES = {
     "provenance": f"SELECT source, count(*) AS n, count(*) FILTER (label = '') AS unlabelled, count(*) FILTER (layer = 2) AS second_layer FROM {_C} GROUP BY source",
     "budgeted_expansion": f"""SELECT label, container FROM (SELECT label, container, row_number() OVER (PARTITION BY label ORDER BY container) AS r, greatest(0, 20 - have) AS budget
         FROM {_C} JOIN (SELECT label, count(*) AS have FROM {_S} GROUP BY label) USING (label) WHERE source = 'recommended') WHERE r <= budget""",
-    "known_ids": f"SELECT DISTINCT anchor_id AS id FROM {PLAYLISTS} WHERE anchor_id <> '' AND anchor_id NOT IN (SELECT id FROM harvested_playlists)",
+    "known_ids": f"""SELECT artist_id AS id FROM {_TR} WHERE artist_id <> '' AND artist_id NOT IN (SELECT 'yt_' || c.channel FROM (SELECT unnest(credits) AS c FROM artist_catalog) WHERE c.channel IS NOT NULL)
+        GROUP BY 1 HAVING count(*) < 5""",
     "credit_keys": f"SELECT name, channel, id FROM {_KEYS}",
     "credit_resolution": f"SELECT container, name, channel, entity FROM {_RES}",
     "tiered_name_match": f"""SELECT target, candidate, tier FROM (SELECT target, candidate, tier, row_number() OVER (PARTITION BY target ORDER BY tier, fans DESC, candidate) AS r
@@ -475,7 +513,7 @@ ORACLES = {
     "lift_ranking": f"SELECT member, label, rank FROM {_ranking(_lift_sql(f'(SELECT unit, label, member FROM {_C} JOIN {_M} USING (container))'))}",
     "tag_tiers": f"""WITH m AS (SELECT DISTINCT container, entity AS member FROM {_RES} WHERE entity IS NOT NULL), c AS (SELECT * FROM {_C}),
         carrying AS (SELECT member, label, count(*) AS n FROM c JOIN m USING (container) WHERE label <> '' GROUP BY 1, 2),
-        stated AS (SELECT DISTINCT id AS member, unnest("topSubgenres") AS label FROM {NODES} WHERE "continentId" <= 6),
+        stated AS (SELECT DISTINCT id AS member, unnest("topSubgenres") AS label FROM {NODES}),
         one AS (SELECT member, label, row_number() OVER (PARTITION BY member ORDER BY n DESC, coalesce(g.rank, 9999), label) AS rank, 1 AS tier FROM stated JOIN carrying USING (member, label) LEFT JOIN genres g ON g.genre = label),
         two AS (SELECT member, label, rank, 2 AS tier FROM {_ranking(_lift_sql(f"(SELECT unit, judged AS label, member FROM c JOIN {_judged('m', 'c')} USING (container) JOIN m USING (container))"))}),
         three AS (SELECT member, label, rank, 3 AS tier FROM {_ranking(_lift_sql('(SELECT unit, label, member FROM c JOIN m USING (container))'))}),
@@ -486,7 +524,9 @@ ORACLES = {
         FROM (SELECT member FROM stated UNION SELECT member FROM carrying) LEFT JOIN chosen USING (member)""",
     "neighbour_check": f"""WITH t AS (SELECT id AS member, unnest("topSubgenres") AS label, generate_subscripts("topSubgenres", 1) AS pos FROM {NODES}),
         carried AS (SELECT n.member, t.label, count(*) AS n FROM {_NEAR} n JOIN t ON t.member = n.other WHERE n.rank <= 10 GROUP BY 1, 2),
-        kept AS (SELECT member, string_agg(label, '|' ORDER BY pos) AS tags FROM t JOIN carried USING (member, label) GROUP BY 1),
+        e AS (SELECT DISTINCT container, entity AS member FROM {_RES} WHERE entity IS NOT NULL),
+        sure AS (SELECT member, label FROM {_lift_sql(f'(SELECT unit, label, member FROM {_C} JOIN e USING (container))')} WHERE lift >= 1),
+        kept AS (SELECT member, string_agg(label, '|' ORDER BY pos) AS tags FROM t WHERE (member, label) IN (SELECT (member, label) FROM carried) OR (member, label) IN (SELECT (member, label) FROM sure) GROUP BY 1),
         first AS (SELECT member, string_agg(label, '|' ORDER BY pos) AS tags FROM t WHERE pos <= 3 GROUP BY 1)
         SELECT id AS member, coalesce(k.tags, f.tags, '') AS tags FROM {NODES} LEFT JOIN kept k ON k.member = id LEFT JOIN first f ON f.member = id""",
     "anchors": f"""WITH s AS (SELECT * FROM {_NAMED}), size AS (SELECT label, count(*) AS size, sum(named) AS named_size FROM s GROUP BY 1),

@@ -89,8 +89,11 @@ def slug_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unique_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Paths that break the rule of one page a path; none in sound data."""
-    return slug_paths(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or path = '/artist//'")
+    """Slugs that break the rule of one page a path, before ids tell them apart; and paths that break it after that, of which
+    sound data have none."""
+    s = slug_paths(spark, d)
+    broken = lambda c, none: s.groupBy(F.col(c).alias("path")).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | (F.col("path") == none))
+    return broken("slug", "").unionByName(broken("path", "/artist//"))
 
 
 def image_urls(spark: SparkSession, d: str) -> DataFrame:
@@ -141,6 +144,34 @@ def _sanitise(x: str) -> str:
             f"AND NOT regexp_matches({cut}, {q(X.DATE_LIKE)}) THEN {cut} END)")
 
 
+def song_sql(x: str) -> str:
+    return f"""lower(trim({compat(f"regexp_split_to_array({x}, '(?i)\\s*[\\(\\[【]|\\s+(?:ft\\.?|feat\\.?)\\s+')[1]")}))"""
+
+
+def parts_sql(x: str) -> str:
+    """The whole side and its parts, cleaned."""
+    parts = f"list_concat([{x}], regexp_split_to_array({x}, '(?i)\\s*(?:&|,|\\bx\\b|\\bfeat\\.?|\\bft\\.?)\\s*'))"
+    return f"list_filter(list_transform({parts}, lambda p: {_sanitise('trim(p)')}), lambda p: p IS NOT NULL)"
+
+
+def split_sql(x: str) -> str:
+    """Names of a joint credit in order, each once regardless of case."""
+    whole = "regexp_matches(trim(p), '(?i)^[^,]+,\\s*(?:the\\s+\\w+|jr\\.?|sr\\.?|ii|iii|iv)$')"
+    cut = f"flatten(list_transform(regexp_split_to_array(trim({x}), '(?i)\\s+(?:ft\\.?|feat\\.?)\\s+'), lambda p: CASE WHEN {whole} THEN [trim(p)] ELSE string_split(trim(p), ',') END))"
+    clean = f"list_filter(list_transform({cut}, lambda n: {_sanitise('trim(n)')}), lambda n: n IS NOT NULL)"
+    return f"list_filter({clean}, lambda n, i: list_position(list_transform({clean}, lambda m: lower(m)), lower(n)) = i)"
+
+
+def content_sql(x: str) -> str:
+    return f"""list_filter(list_distinct(regexp_extract_all(lower(regexp_replace({x}, '[\\(\\[\\{{].*?[\\)\\]\\}}]', '', 'g')), '[a-z]{{3,}}')), lambda w: w NOT IN {in_list(X.STOP_WORDS)})"""
+
+
+def shown_sql(x: str) -> str:
+    table_ = ", ".join(f"{q(k)}: {q(v)}" for k, v in X.ACRONYMS.items())
+    return f"""array_to_string(list_transform(list_filter(regexp_split_to_array(trim({x}), '\\s+'), lambda w: w <> ''), lambda w: coalesce(
+        MAP {{{table_}}}[lower(w)], array_to_string(list_transform(regexp_extract_all(w, '\\p{{L}}+|\\P{{L}}+'), lambda r: upper(left(r, 1)) || lower(substr(r, 2))), ''))), ' ')"""
+
+
 _SEARCH = lambda x: f"trim(lower(strip_accents({x})))"
 _MATCH = f"trim(trim(trim(lower(strip_accents({compat('translate(label, ' + q('яЯ$øØ') + ', ' + q('rrsoo') + ')')}))), '.'))"
 _SLUGS = f"""(SELECT id, form, regexp_replace(regexp_replace(form, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug,
@@ -190,7 +221,7 @@ def _escape(x: str, pairs) -> str:
 
 
 _ESC = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
-_UNESC = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+_UNESC = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 _URL = "CASE WHEN trim(image) LIKE '//%' THEN 'https:' || trim(image) ELSE trim(image) END"
 
 ORACLES = {
@@ -218,7 +249,7 @@ ORACLES = {
         round(7.0 + 5.0 * weight + 0.42 * pow(weight, 1.55), 6) AS diameter FROM (SELECT DISTINCT source, target, weight FROM atlas_edges)""",
     "colours": f"SELECT a.id, a.colour AS pipeline, b.colour AS client FROM {_colour(56, 137.507764, False)} a JOIN {_colour(46, 137.508, True)} b ON a.id = b.id",
     "slug_paths": f"SELECT id, slug, letter, path FROM {_PATHS}",
-    "unique_paths": f"SELECT path, count(*) AS n FROM {_PATHS} GROUP BY path HAVING count(*) > 1 OR path = '/artist//'",
+    "unique_paths": f"SELECT slug AS path, count(*) AS n FROM {_PATHS} GROUP BY 1 HAVING count(*) > 1 OR slug = '' UNION ALL SELECT path, count(*) FROM {_PATHS} GROUP BY 1 HAVING count(*) > 1 OR path = '/artist//'",
     "image_urls": f"""SELECT id, CASE WHEN image IS NULL OR contains(image, '{X.PLACEHOLDER_IMAGE}') THEN '' WHEN contains(u, 'dzcdn.net') THEN regexp_replace(u, '\\d+x\\d+-', '64x64-') ELSE u END AS small,
         CASE WHEN image IS NULL OR image = '' THEN '' WHEN contains(u, 'dzcdn.net') THEN regexp_replace(u, '\\d+x\\d+-', '500x500-')
           WHEN contains(u, 'googleusercontent.com') OR contains(u, 'ggpht.com') THEN split_part(u, '=', 1) || '=s512-c-k-c0x00ffffff-no-rj'
@@ -231,6 +262,10 @@ ORACLES = {
     "filter_labels": """SELECT rank, coalesce(nullif(array_to_string(list_filter([CASE WHEN rank % 3 = 0 THEN genre END,
           CASE WHEN rank - 5 <= 0 AND rank + 60 >= 100 THEN NULL WHEN rank - 5 <= 0 THEN 'Top ' || (rank + 60) || '%' WHEN rank + 60 >= 100 THEN 'Top ' || (rank - 5) || '%–100%' ELSE (rank - 5) || '%–' || (rank + 60) || '%' END,
           CASE WHEN rank % 4 > 0 THEN 'Connections: Top ' || (100 - rank % 4) || '%' END], lambda x: x IS NOT NULL), ' · '), ''), 'Filters') AS label FROM genres""",
+    "split_names": f"SELECT name, array_to_string({split_sql('name')}, '|') AS parts FROM (SELECT DISTINCT name FROM artist_catalog)",
+    "descriptions": f"""SELECT rank, CASE WHEN length(s[1] || ' ' || s[2]) > 80 THEN s[1] WHEN length(array_to_string(s, ' ')) > 80 THEN s[1] || ' ' || s[2] ELSE array_to_string(s, ' ') END AS text,
+          genre || CASE WHEN genre ILIKE '%s' THEN chr(39) ELSE chr(39) || 's' END AS owner FROM (SELECT rank, genre, [shown || ' on the map.', 'Found by ' || primary_query || ' and ' || secondary_query || '.',
+          'Also by ' || tertiary_query || ', as far as lists go.'] AS s FROM (SELECT *, {shown_sql('genre')} AS shown FROM genres))""",
     "map_links": "SELECT rank, '/#genre=' || replace(url_encode(genre), '%20', '+') || '&view=map' AS href FROM genres",
     "list_forms": f"""SELECT id, CASE WHEN id LIKE 'VL%' THEN id ELSE 'VL' || id END AS list, coalesce(author, '') AS author, coalesce(nullif(author_id, ''), 'anon_' || left(id, 8)) AS author_id,
         ' ' || trim(regexp_replace(strip_accents(lower(coalesce(genre, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' AS phrase, id AS tail, CAST(year(harvested_at) AS INTEGER) AS year FROM {PLAYLISTS}""",

@@ -188,7 +188,7 @@ def vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def headline(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).agg((F.floor(F.count(F.lit(1)) / 100) * 100).cast("bigint").alias("at_least"))
+    return _nodes(spark, d).agg((F.floor(F.count(F.lit(1)) / 1000) * 1000).cast("bigint").alias("at_least"))
 
 
 # ---- layout --------------------------------------------------------------------------------------------------------
@@ -305,7 +305,7 @@ ORACLES = {name: _search_sql(query) for name, query in SEARCHES.items()} | {
         SELECT family, path, (row_number() OVER (PARTITION BY family ORDER BY path) - 1) // 200 AS file FROM (SELECT 'artists' AS family, '/artist/' || id || '/' AS path FROM {_N} UNION ALL
           SELECT 'labels', '/label/' || regexp_replace(regexp_replace(trim(lower(strip_accents(tag))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '/' FROM {_SIZES} WHERE size >= 5)) GROUP BY 1, 2""",
     "vocabulary": f"SELECT DISTINCT tag FROM {_TAGS}",
-    "headline": f"SELECT CAST(count(*) // 100 * 100 AS BIGINT) AS at_least FROM {_N}",
+    "headline": f"SELECT CAST(count(*) // 1000 * 1000 AS BIGINT) AS at_least FROM {_N}",
     "micro_centroids": f"SELECT id, round(cx, {D}) AS cx, round(cy, {D}) AS cy FROM {_CENTRE}",
     "spring_step": f"""WITH s AS (SELECT n.id, x, y, cx, cy, community FROM {_N} n JOIN {_CENTRE} c ON c.id = n.id WHERE x IS NOT NULL AND y IS NOT NULL),
         e AS (SELECT source, target, 0.04 * weight * CASE WHEN a.community = b.community THEN 1.0 ELSE 0.5 END AS w, b.x - a.x AS dx, b.y - a.y AS dy FROM {ATLAS_EDGES} JOIN s a ON a.id = source JOIN s b ON b.id = target),

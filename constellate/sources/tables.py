@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -30,22 +31,30 @@ def json_cache(spark: SparkSession, path: str, schema: T.StructType, strict: boo
     return spark.read.schema(schema).option("multiLine", True).option("mode", mode).json(path)
 
 
-def html_rows(pages: DataFrame, html: str, keep: list[str], pattern: str = r"(?s)<td[^>]*>\s*(\d+)\s*</td>.*?<a[^>]*>([^<]+)</a>") -> DataFrame:
+# Fixed value: what the links of a ranked list begin with.
+LISTED = "everynoise1d-"
+
+
+def html_rows(pages: DataFrame, html: str, keep: list[str], pattern: str | None = None, link: str = LISTED) -> DataFrame:
     """(keep, rank, name): of each table row of a page the first match of ``pattern``; name unescaped, trimmed, lower case.
 
-    Rows without a match and pages without text give nothing.
+    By default a row is a cell with a number and, somewhere after it, a link whose address begins with ``link``.  Rows
+    without a match and pages without text give nothing.
     """
-    rows = pages.select(*keep, F.explode(F.split(html, "(?i)</tr>")).alias("__row"))
+    pattern = pattern or rf'(?s)<td[^>]*>\s*(\d+)\s*</td>.*?<a[^>]*\bhref="{re.escape(link)}[^"]*"[^>]*>([^<]+)</a>'
+    rows = pages.select(*keep, F.explode(F.split(html, "</tr>")).alias("__row"))
     rank, name = F.regexp_extract("__row", pattern, 1), F.regexp_extract("__row", pattern, 2)
     return rows.select(*keep, F.nullif(rank, F.lit("")).cast("int").alias("rank"), F.lower(F.trim(unescape_html(name))).alias("name")).where("rank is not null and name != ''")
 
 
-def first_available(*tables: DataFrame) -> DataFrame:
-    """The first table that has rows (a live page, else its snapshot)."""
-    for t in tables[:-1]:
-        if t.limit(1).count():
-            return t
-    return tables[-1]
+def first_available(*pages: DataFrame, html: str = "html", least: int = 500_000) -> DataFrame:
+    """The first table with a page of more than ``least`` characters, only such pages of it (a live page, else its
+    snapshot); the last one as it is.  Truncated and empty pages count as missing."""
+    for t in pages[:-1]:
+        whole = t.where(F.length(html) > least)
+        if whole.limit(1).count():
+            return whole
+    return pages[-1]
 
 
 def listed_ids(shelves: DataFrame, title: str, entries: str, word: str = "playlist", prefix: str = "VLPL") -> DataFrame:
