@@ -167,29 +167,33 @@ def name_cost(a: Name, b: Name, telling: frozenset[str], edits: int = 2) -> floa
         best = (0.0 if a.words == b.words else 0.45) + d
     start = (0.2 if b.the and not a.the else 0.4 if a.the and not b.the else 0.0)
 
-    def go(k: int, used: int, cost: float, spent: int, spelt: int) -> None:
-        nonlocal best
-        if best is not None and cost >= best:
-            return
-        if k == len(b.words):
-            rest = [w for i, w in enumerate(a.words) if not used >> i & 1]
-            if len(rest) > 1 or rest and len(rest[0]) > 1 or rest and spelt < 2 or not spelt:
-                return
-            best = cost + 0.6 * len(rest) if best is None else min(best, cost + 0.6 * len(rest))
-            return
-        for i, w in enumerate(a.words):
-            if used >> i & 1:
-                continue
-            c = _word_cost(w, b.words[k], b.words[k] in telling)
-            if c is not None and spent + c[1] <= edits:
-                go(k + 1, used | 1 << i, cost + c[0], spent + c[1], spelt + (c[0] == c[1]))
-        if k < b.lead and len(b.words) - b.lead >= 2:
-            go(k + 1, used, cost + 1.0, spent, spelt)
-        elif k == len(b.words) - 1 and k >= 2 and not b.lead and spelt == k and b.words[k] not in telling:
-            go(k + 1, used, cost + 1.0, spent, spelt)  # the kind of act left out: "A B" for "A B Collective"
-
-    if len(a.words) <= 8 and len(b.words) <= 8:
-        go(0, 0, start, 0, 0)
+    # Words of b in order, each by a free word of a; of equal ways to come to a place only the cheapest goes on.  A way is
+    # the words used (of equal words the first ones), the edits spent, and how many words of b were spelt out.
+    n, m = len(a.words), len(b.words)
+    same = {w: [i for i, x in enumerate(a.words) if x == w] for w in a.words}
+    ways: dict[tuple[int, int, int], float] = {(0, 0, 0): start}
+    skip_lead = b.lead if m - b.lead >= 2 else 0
+    if n > m + 1 or n < m - max(skip_lead, 1):
+        return best
+    for k, word in enumerate(b.words):
+        fits = [(places, c) for w, places in same.items() if (c := _word_cost(w, word, word in telling)) is not None]
+        after: dict[tuple[int, int, int], float] = {}
+        for (used, spent, spelt), cost in ways.items():
+            steps = []
+            for places, (c, d) in fits:
+                if spent + d <= edits and (i := next((i for i in places if not used >> i & 1), None)) is not None:
+                    steps.append(((used | 1 << i, spent + d, spelt + (c == d)), cost + c))
+            if k < skip_lead or (k == m - 1 and k >= 2 and not b.lead and spelt == k and word not in telling):
+                steps.append(((used, spent, spelt), cost + 1.0))  # a leading act, or the kind of act, left out
+            for way, c in steps:
+                if (best is None or c < best) and c < after.get(way, float("inf")):
+                    after[way] = c
+        ways = after
+    for (used, _, spelt), cost in ways.items():
+        rest = [w for i, w in enumerate(a.words) if not used >> i & 1]
+        if len(rest) > 1 or rest and len(rest[0]) > 1 or rest and spelt < 2 or not spelt:
+            continue
+        best = min(cost + 0.6 * len(rest), cost + 0.6 * len(rest) if best is None else best)
     return best
 
 
@@ -323,36 +327,52 @@ def match_spellings(forms: DataFrame, rare: int = 3, max_cost: float = 3.0) -> D
     """(form, known, cost): typed or known spellings and the other known spellings they can stand for.
 
     ``forms`` has distinct rows (form, known): a spelling (see :func:`spelling`) and whether it is a known entity's.
-    Words of a known spelling that at most ``rare`` known spellings share (or else its rarest) are its telling words.
-    Spellings without a letter or digit match nothing.
+    Words of a known spelling that at most ``rare`` known spellings share are its telling words; where it has none, its
+    two rarest words are, and both must be there (a name of one word has only that).  So a word leads to few known
+    spellings, however frequent it is, and no word makes all pairs of the names that hold it.  Names written together or
+    apart are found within one edit of the whole, or within two where a telling word leads to them.  Spellings without a
+    letter or digit match nothing.
     """
     words = materialize(_words_of(spread(forms)).join(forms, "form"), "words")
     tokens = words.where("known").select("form", F.explode(F.array_distinct("words")).alias("word"))
     df = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     # Given names tell nobody apart, however few known spellings hold them.
     given = F.col("word").isin(*SHORT_FORMS, *FULL_FORM)
-    df = df.withColumn("df", F.when(given, F.col("df") + 1_000_000).otherwise(F.col("df")))
-    least = F.min("df").over(Window.partitionBy("form"))
-    keys = materialize(
-        tokens.join(df, "word").withColumn("least", least).where((F.col("df") <= rare) | (F.col("df") == F.col("least"))).select("form", "word"), "keys")
-    telling = keys.groupBy("form").agg(F.sort_array(F.collect_list("word")).alias("telling"))
+    ranked = tokens.join(df, "word").withColumn("given", given).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("form").orderBy("given", "df", "word")))
+    telling = (
+        ranked.groupBy("form").agg(
+            F.collect_list(F.when(~F.col("given") & (F.col("df") <= rare), F.col("word"))).alias("few"),
+            F.collect_list(F.when(F.col("rank") <= 2, F.col("word"))).alias("rarest"))
+        .select("form", (F.size("few") == 0).alias("joint"), F.array_sort(F.when(F.size("few") == 0, F.col("rarest")).otherwise(F.col("few"))).alias("telling"))
+    )
+    telling = materialize(telling, "telling")
+    single = telling.where(~F.col("joint") | (F.size("telling") < 2)).select(F.col("form").alias("other"), F.explode("telling").alias("word"))
+    double = telling.where(F.col("joint") & (F.size("telling") == 2)).select(
+        F.col("form").alias("other"), F.col("telling")[0].alias("word"), F.col("telling")[1].alias("second"))
+    keys = telling.select(F.explode("telling").alias("word")).distinct()
     allowed = F.when(F.length("word") >= 7, 2).when(F.length("word") >= 4, 1).otherwise(0)
     joined = words.where("known").select("joined").distinct()
-    index = keys.select("word").distinct().select(F.lit("word").alias("kind"), "word", allowed.alias("most")).unionByName(
+    index = keys.select(F.lit("word").alias("kind"), "word", allowed.alias("most")).unionByName(
         joined.select(F.lit("name").alias("kind"), F.col("joined").alias("word"), F.lit(1).alias("most")))
-    common = df.join(keys.select("word").distinct(), "word", "left_anti").select("word")
+    common = df.join(keys, "word", "left_anti").select("word")
     probes = (
         words.select(F.explode("words").alias("word")).distinct().join(common, "word", "left_anti")
         .where((F.length("word") >= 2)).select(F.lit("word").alias("kind"), F.col("word").alias("probe"))
         .unionByName(words.select(F.lit("name").alias("kind"), F.col("joined").alias("probe")).distinct())
     )
     near = materialize(trie_join(index, probes), "near")
-    typed_words = words.select("form", F.explode(F.array_distinct("words")).alias("probe"))
-    by_word = (
-        near.where("kind = 'word'").select("probe", "word")
-        .join(keys.select(F.col("form").alias("other"), "word"), "word")
-        .join(typed_words, "probe").select("form", "other")
+    holds = (
+        words.select("form", F.explode(F.array_distinct("words")).alias("probe"))
+        .join(near.where("kind = 'word'").select("probe", "word"), "probe").select("form", "word")
+    )
+    both = (
+        holds.join(double.select("word").union(double.select("second")).distinct(), "word", "left_semi")
+        .groupBy("form").agg(F.array_sort(F.collect_set("word")).alias("xs")).where(F.size("xs") > 1)
+        .select("form", "xs", F.posexplode("xs").alias("pos", "word"))
+        .select("form", "word", F.explode(F.slice("xs", F.col("pos") + 2, F.size("xs"))).alias("second"))
     )
+    by_word = holds.join(single, "word").select("form", "other").unionByName(both.join(double, ["word", "second"]).select("form", "other"))
     by_name = (
         near.where("kind = 'name'").select("probe", "word")
         .join(words.where("known").select(F.col("form").alias("other"), F.col("joined").alias("word")), "word")
@@ -360,7 +380,7 @@ def match_spellings(forms: DataFrame, rare: int = 3, max_cost: float = 3.0) -> D
     )
     candidates = (
         by_word.unionByName(by_name).where(F.col("form") != F.col("other")).distinct()
-        .join(telling.withColumnRenamed("form", "other"), "other").select("form", "other", "telling")
+        .join(telling.select(F.col("form").alias("other"), "telling"), "other").select("form", "other", "telling")
     )
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,8 +410,8 @@ def same_artists(playlists: DataFrame, nodes: DataFrame, twin_cost: float = 3.0)
     """(id_a, id_b), id_a < id_b: nodes and typed credits (``name_`` ids), and nodes and nodes, of one artist spelt differently.
 
     A typed credit stands for the known spelling of least cost; if several artists tie, for none.  Two nodes are one
-    artist if their labels stand for each other, but not if both are names under which channels of their own are
-    credited and letters differ.  A credit is compared with every node of its artist.  Null and blank names match
+    artist if their labels stand for each other, but not if both are spellings under which channels of their own are
+    credited: those are two artists, however alike their names.  A credit is compared with every node of its artist.  Null and blank names match
     nothing, repeated rows count once.
     """
     credit = playlists.select(F.explode("tracks").alias("t")).select(F.col("t.artist_id").alias("id"), F.col("t.artist_name").alias("name"))

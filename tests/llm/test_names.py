@@ -33,6 +33,41 @@ def test_other_artists(typed, label):
     assert N.name_cost(N.Name(typed), N.Name(label), telling(label)) is None
 
 
+def test_names_of_any_number_of_words_may_be_reordered():
+    words = "bamo culiga dofe fago gilu homeda jupo kenila lofimu mitade nogu pesalo".split()
+    for n in (8, 9, 12):
+        label = " ".join(words[:n])
+        for typed in (" ".join(reversed(words[:n])), " ".join([*words[1:n], words[0]])):
+            assert N.name_cost(N.Name(typed), N.Name(label), frozenset(words[:1])) == 0.0
+        assert N.name_cost(N.Name(" ".join(words[1 : n + 1 - (n == 12)])), N.Name(label), frozenset(words[:1])) is None
+    assert N.name_cost(N.Name("la " * 60 + "bamu"), N.Name("bamo " + "la " * 60), frozenset(["bamo"])) == 1.0  # equal words are one choice
+
+
+def _matches(spark, rows):
+    return {(r.form, r.known) for r in N.match_spellings(spark.createDataFrame(rows, "form string, known boolean")).collect()}
+
+
+def test_a_word_in_very_many_names_makes_few_pairs(spark):
+    rng = random.Random(2)
+    syllable = lambda k: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(k))
+    label = [f"{syllable(4)} smith" for _ in range(300)]
+    forms = {**{x: True for x in label}, **{f"smith {x.split()[0]}": False for x in label}}
+    got = _matches(spark, list(forms.items()))
+    assert {(f"smith {x.split()[0]}", x) for x in label} <= got and len(got) < 2 * len(label)
+
+
+def test_names_of_common_words_need_their_two_rarest(spark):
+    known = [f"{a} {b}" for a in ("banoka", "delifu", "gomeri", "kupola") for b in ("walifo", "tenuga", "sorimo", "lapeku", "nifedo")]
+    typed = ["walifo banoka", "tenuga delifo", "b. walifo", "banoka"]
+    got = _matches(spark, [(k, True) for k in known] + [(t, False) for t in typed])
+    assert {g for g in got if g[0] in typed} == {("walifo banoka", "banoka walifo"), ("tenuga delifo", "delifu tenuga")}
+
+
+def test_merged_names_within_one_edit_and_two_beside_a_telling_word(spark):
+    rows = [("banoka delifuro", True), ("bamokadelifuro", False), ("banoka delifurom", False), ("ban oka delifurom", False)]
+    assert _matches(spark, rows) == {("bamokadelifuro", "banoka delifuro"), ("banoka delifurom", "banoka delifuro"), ("ban oka delifurom", "banoka delifuro")}
+
+
 def test_spelling_is_blind_to_case_blanks_and_character_forms_only():
     assert N.spelling("  Ｔｈｅ　Pоpe ") == "the pope" == N.spelling("THE  POPE") == N.spelling("Тhe Роре")
     assert N.spelling("café") == N.spelling("café") != N.spelling("cafe")
