@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from constellate.operators.project import both_sides
+from constellate.operators.ranking import global_rank
 from constellate.session import materialize
 
 
@@ -150,12 +152,12 @@ def strongest_shortest_path(edges: DataFrame, start, goal, weight: str = "weight
             break
     if not reached:
         return spark.createDataFrame([], schema)
-    rows, at = [], goal
-    for h in range(hop, -1, -1):  # one row a level: the path itself
-        r = levels[h].where(F.col("node") == F.lit(at)).first()
-        rows.append((h, r["node"], r["score"]))
-        at = r["parent"]
-    return spark.createDataFrame(rows[::-1], schema)
+    # Back from the goal through the parents, level by level; every step is a join with one row.
+    path = at = levels[hop].where(F.col("node") == F.lit(goal))
+    for level in levels[hop - 1 :: -1]:
+        at = level.join(F.broadcast(at.select(F.col("parent").alias("node"))), "node", "left_semi")
+        path = path.unionByName(at)
+    return path.select("hop", "node", "score").orderBy("hop")
 
 
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
@@ -436,36 +438,68 @@ def communities(edges: DataFrame, gamma: float = 1.0, nodes: DataFrame | None =
     return out
 
 
-def split_oversize(edges: DataFrame, membership: DataFrame, most: int = 350, least: int = 25) -> DataFrame:
-    """(node, community): communities of more than ``most`` nodes split by Louvain within each; parts of fewer than
-    ``least`` nodes rejoin, node by node, the part that they are most strongly linked to."""
-    sizes = membership.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
-    big = membership.join(sizes.where(F.col("n") > most), "community", "left_semi")
-    a, b = big.toDF(*["i" if c == "node" else "ca" for c in big.columns]), big.toDF(*["j" if c == "node" else "cb" for c in big.columns])
-    inner = edges.select("i", "j", F.col("weight").alias("w")).join(a, "i").join(b, "j").where("ca = cb").select(F.col("ca").alias("community"), "i", "j", "w")
-    kind = membership.schema["node"].dataType.simpleString()
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj: dict = defaultdict(dict)
-        for x, y, w in zip(pdf["i"], pdf["j"], pdf["w"]):
-            adj[x][y] = adj[x].get(y, 0.0) + w
-            adj[y][x] = adj[y].get(x, 0.0) + w
-        com = local_louvain(adj, 1.0)
-        size: dict = defaultdict(int)
-        for c in com.values():
-            size[c] += 1
-        solid = {c for c, n in size.items() if n >= least} or {max(size, key=lambda c: (size[c], c))}
-        for v in sorted(com):
-            if com[v] not in solid:
-                to: dict = defaultdict(float)
-                for o, w in adj[v].items():
-                    if com[o] in solid:
-                        to[com[o]] += w
-                com[v] = max(to, key=lambda c: (to[c], c)) if to else max(solid, key=lambda c: (size[c], c))
-        return pd.DataFrame({"node": list(com), "part": list(com.values())})
+def _part_within(inner: DataFrame, small: int) -> DataFrame:
+    """(node, part): communities by modularity within each of many graphs (community, i, j, weight), each on its own.
 
-    parts = inner.groupBy("community").applyInPandas(split, f"node {kind}, part {kind}")
-    return membership.join(parts, "node", "left").select("node", F.coalesce("part", "community").alias("community"))
+    A graph of at most ``small`` edges takes the sweeps of :func:`communities` in one task, a larger one as Spark jobs; there
+    are fewer of these than edges by ``small``.  The result does not depend on it.
+    """
+    unit = 2.0 ** (30 - math.frexp(inner.agg(F.max("weight")).first()[0] or 1.0)[1])
+    w = inner.groupBy("community", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(
+        F.sum(F.coalesce(F.round(F.col("weight") * unit).cast("bigint"), F.lit(0))).alias("w"))
+    w = materialize(w, "inner")
+    count = w.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    kind = w.schema["a"].dataType.simpleString()
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = _settle(pdf, 2 * int(pdf["w"].sum()) or 1, 1.0, 4)
+        return pd.DataFrame({"node": list(out), "part": list(out.values())})
+
+    few = w.join(count.where(F.col("n") <= small), "community", "left_semi").select("community", "a", "b", "w", F.xxhash64("a").alias("ha"), F.xxhash64("b").alias("hb"))
+    found = few.groupBy("community").applyInPandas(settle, f"node {kind}, part {kind}")
+    for r in count.where(F.col("n") > small).select("community").collect():
+        one = w.where(F.col("community") == r[0]).select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("w").alias("weight"))
+        found = found.unionByName(communities(one).select("node", F.col("community").alias("part")))
+    return found
+
+
+def split_oversize(edges: DataFrame, membership: DataFrame, most: int = 350, least: int = 25, small: int = 200_000) -> DataFrame:
+    """(node, community): communities of more than ``most`` nodes split by modularity within each, again and again until no
+    part is larger or none splits.
+
+    Nodes of parts below ``least`` rejoin the part of their community that they are most strongly linked to, those
+    linked to none the largest.  A community without two parts of ``least`` nodes or more stays whole.
+    """
+    current = materialize(membership.select("node", "community"), "split")
+    whole = current.select("community").limit(0)
+    while True:
+        sizes = current.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).join(whole, "community", "left_anti")
+        big = materialize(current.join(sizes.select("community"), "community", "left_semi").select("node", "community"), "split")
+        if not big.limit(1).count():
+            return current
+        x, y = big.toDF("i", "ca"), big.toDF("j", "cb")
+        inner = materialize(edges.select("i", "j", "weight").join(x, "i").join(y, "j").where("ca = cb and i != j").select(F.col("ca").alias("community"), "i", "j", "weight"), "split")
+        parts = big.join(_part_within(inner, small), "node", "left").select("node", "community", F.coalesce("part", "node").alias("part"))
+        parts = materialize(parts, "split")
+        size = parts.groupBy("community", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        divided = size.groupBy("community").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "part")).alias("top")).where("k >= 2")
+        divided = materialize(divided.select("community", F.col("top.part").alias("top")), "split")
+        whole = materialize(whole.unionByName(sizes.select("community").join(divided, "community", "left_anti")), "split")
+        parts = parts.join(divided.select("community"), "community", "left_semi")
+        solid = materialize(parts.join(size.select("community", "part"), ["community", "part"], "left_semi").select("node", "part"), "split")
+        loose = materialize(parts.select("node", "community").join(solid, "node", "left_anti"), "split")
+        links = both_sides(inner.select("i", "j", "weight"))
+        while loose.limit(1).count():  # slivers, from those beside a solid part outwards
+            pull = links.join(loose.select("node"), "node").join(solid.toDF("other", "part"), "other").groupBy("node", "part").agg(F.sum("weight").alias("w"))
+            joined = materialize(pull.groupBy("node").agg(F.max_by("part", F.struct("w", "part")).alias("part")), "split")
+            if not joined.limit(1).count():
+                joined = loose.join(divided, "community").select("node", F.col("top").alias("part"))
+                solid, loose = solid.unionByName(joined), loose.limit(0)
+            else:
+                solid, loose = materialize(solid.unionByName(joined), "split"), materialize(loose.join(joined, "node", "left_anti"), "split")
+        named = solid.groupBy("part").agg(F.min("node").alias("name"))
+        moved = materialize(solid.join(named, "part").select("node", F.col("name").alias("community")), "split")
+        current = materialize(current.join(moved.select("node"), "node", "left_anti").unionByName(moved), "split")
 
 
 def agglomerate(sizes: dict, links: dict, target: int, least: int, most: int) -> dict:
@@ -475,30 +509,78 @@ def agglomerate(sizes: dict, links: dict, target: int, least: int, most: int) ->
     size, to = dict(sizes), {c: dict() for c in sizes}
     for (a, b), w in links.items():
         to[a][b] = to[b][a] = w
-    into = {c: c for c in size}
-    while len(size) > 1 and (len(size) > target or min(size.values()) < least):
-        c = min(size, key=lambda x: (size[x], x))
+    into: dict = {}
+    queue = [(n, c) for c, n in size.items()]
+    heapify(queue)
+
+    def smallest():
+        while size.get(queue[0][1]) != queue[0][0]:
+            heappop(queue)  # joined or grown since
+        return queue[0][1]
+
+    while len(size) > 1 and (len(size) > target or size[smallest()] < least):
+        c = smallest()
+        heappop(queue)
 
         def pull(o):
             joined = size[c] + size[o]  # noqa: B023
             return to[c][o] / size[o] ** 0.5 * ((most / joined) ** 2 if joined > most else 1.0)  # noqa: B023
 
-        goal = max(sorted(to[c]), key=pull) if to[c] else min((o for o in size if o != c), key=lambda x: (size[x], x))
+        goal = max(sorted(to[c]), key=pull) if to[c] else smallest()
         size[goal] += size.pop(c)
+        heappush(queue, (size[goal], goal))
         for o, w in to.pop(c).items():
             to[o].pop(c)
             if o != goal:
                 to[goal][o] = to[o][goal] = to[goal].get(o, 0.0) + w
-        into = {k: goal if v == c else v for k, v in into.items()}
-    return into
+        into[c] = goal
 
+    def last(c):
+        while c in into:
+            c = into[c]
+        return c
 
-def merge_communities(edges: DataFrame, membership: DataFrame, target: int = 256, least: int = 25, most: int = 350) -> DataFrame:
-    """(node, community) after :func:`agglomerate`; only the table of communities and their affinities comes to the driver."""
+    return {c: last(c) for c in sizes}
+
+
+def merge_communities(edges: DataFrame, membership: DataFrame, target: int = 256, least: int = 25, most: int = 350, largest_table: int = 50_000) -> DataFrame:
+    """(node, community) after :func:`agglomerate`.
+
+    Only the table of communities and their affinities comes to the driver, and no more than ``largest_table`` rows of
+    either: beyond that it is an error.  Small communities without any link, of which there may be as many as nodes, are
+    gathered before that, in groups of ``least`` nodes or so many that there are no more than ``target`` of them.
+    """
     spark = edges.sparkSession
-    sizes = {r[0]: r[1] for r in membership.groupBy("community").count().collect()}
-    links = {(r["a"], r["b"]): r["affinity"] for r in affinity(edges, membership).collect()}
-    into = agglomerate(sizes, links, target, least, most)
+    across = materialize(affinity(edges, membership), "affinity")
+    linked = across.select(F.col("a").alias("community")).union(across.select("b")).distinct()
+    size = materialize(membership.groupBy("community").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    alone = size.where(F.col("n") < least).join(linked, "community", "left_anti")
+    groups = int(max(1, min(target, (alone.agg(F.sum("n")).first()[0] or 0) // least)))
+    named = alone.withColumn("g", F.pmod(F.xxhash64("community"), F.lit(groups)))
+    folded = materialize(named.join(named.groupBy("g").agg(F.min("community").alias("kept")), "g").select("community", "kept"), "folded")
+    table = size.join(folded, "community", "left").groupBy(F.coalesce("kept", "community").alias("community")).agg(F.sum("n").alias("n"))
+
+    def bounded(df: DataFrame) -> list:
+        rows = df.limit(largest_table + 1).collect()
+        if len(rows) > largest_table:
+            raise ValueError(f"more than {largest_table} communities or links between them: detect communities at a lower resolution first")
+        return rows
+
+    into = agglomerate({r[0]: r[1] for r in bounded(table)}, {(r["a"], r["b"]): r["affinity"] for r in bounded(across)}, target, least, most)
     kind = membership.schema["community"].dataType.simpleString()
-    table = spark.createDataFrame(list(into.items()), f"community {kind}, kept {kind}")
-    return membership.join(table, "community").select("node", F.col("kept").alias("community"))
+    kept = spark.createDataFrame(list(into.items()), f"first {kind}, last {kind}")
+    step = membership.join(folded, "community", "left").select("node", F.coalesce("kept", "community").alias("first"))
+    return step.join(kept, "first").select("node", F.col("last").alias("community"))
+
+
+def numbered(membership: DataFrame) -> DataFrame:
+    """(node, community, number): communities numbered from 1 by size, the largest first; equals by name."""
+    sizes = membership.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    ranks = global_rank(sizes, [F.desc("n"), F.asc("community")], "number").select("community", (F.col("number") + 1).alias("number"))
+    return membership.join(ranks, "community").select("node", "community", "number")
+
+
+def connectivity(edges: DataFrame, nodes: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
+    """(components, connected) of a graph: whether bridging has left one component."""
+    n = components(edges, nodes, i, j).agg(F.countDistinct("component").alias("components"))
+    return n.select("components", (F.col("components") <= 1).alias("connected"))

@@ -204,6 +204,17 @@ def merge_communities(spark: SparkSession, d: str) -> DataFrame:
     return G.merge_communities(_graph(spark, d), G.communities(_graph(spark, d), 3.5), target=20, least=10, most=200)
 
 
+def community_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return G.numbered(_membership(spark, d))
+
+
+def connectivity(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the strong links and the bridges of all satellites make one graph of what they link."""
+    e = atlas_edges(spark, d).where("weight >= 0.25 AND NOT isBridge").select(F.col("source").alias("i"), F.col("target").alias("j"))
+    all_ = e.unionByName(bridges_all(spark, d).select("i", "j"))
+    return G.connectivity(all_, all_.select(F.col("i").alias("id")))
+
+
 def subclass_closure(spark: SparkSession, d: str) -> DataFrame:
     """Closure of the credited-in-a-stronger-playlist hierarchy: each artist's strongest neighbour of more subscribers."""
     from pyspark.sql import Window
@@ -219,7 +230,7 @@ def subclass_closure(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     cosine_edges, session_edges, projection, projection_units, marginals, degree_bounds, normalized_weight, drawn_top6, drawn_links, rank_protected_top4,
     strongest_k, supported_nodes, degree_bounded_graph, components, bridges_round1, bridges_all, shortest_strongest_path, neighbourhood, induced_subgraph,
-    valid_edges, adjacency, community_links, community_affinity, top_affinities, modularity, louvain, split_oversize, merge_communities, subclass_closure)}
+    valid_edges, adjacency, community_links, community_affinity, top_affinities, modularity, louvain, split_oversize, merge_communities, community_numbers, connectivity, subclass_closure)}
 
 _BOTH = f"(SELECT source AS node, target AS other, weight FROM {ATLAS_EDGES} UNION ALL SELECT target, source, weight FROM {ATLAS_EDGES})"
 _MEMBER = f'(SELECT id AS node, "continentId" AS community FROM {NODES} WHERE "continentId" IS NOT NULL)'
@@ -243,6 +254,14 @@ _COMP = f"""comp AS (
 _AFF = f"""(SELECT least(x.community, y.community) AS a, greatest(x.community, y.community) AS b, round(sum(weight), {R}) AS affinity
     FROM {ATLAS_EDGES} JOIN {_MEMBER} x ON x.node = source JOIN {_MEMBER} y ON y.node = target WHERE x.community <> y.community GROUP BY 1, 2)"""
 
+_BRIDGES_ALL = f"""WITH RECURSIVE {_COMP}, linked AS (SELECT * FROM comp WHERE node IN (SELECT source FROM {_STRONG_E} UNION SELECT target FROM {_STRONG_E})),
+        size AS (SELECT component, count(*) AS n FROM linked GROUP BY component), place AS (SELECT component, row_number() OVER (ORDER BY giant DESC, n, component) AS p FROM (
+          SELECT *, component = (SELECT component FROM size ORDER BY n DESC, component LIMIT 1) AS giant FROM size) WHERE n >= 2),
+        across AS (SELECT CASE WHEN a.p > b.p THEN a.component ELSE b.component END AS component, CASE WHEN a.p > b.p THEN b.component ELSE a.component END AS target, source AS i, e.target AS j, weight AS similarity
+          FROM {ATLAS_EDGES} e JOIN linked x ON x.node = source JOIN linked y ON y.node = e.target JOIN place a ON a.component = x.component JOIN place b ON b.component = y.component WHERE a.p <> b.p),
+        joined(c) AS (SELECT component FROM place WHERE p = 1 UNION SELECT a.component FROM joined JOIN across a ON a.target = c)
+        SELECT component, i, j, greatest(similarity, 0.12) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY similarity DESC, i, j) AS rn FROM across WHERE target IN (SELECT c FROM joined)) WHERE rn <= 3"""
+
 ORACLES = {
     "cosine_edges": f"SELECT i, j, round(similarity, {R}) AS similarity, raw, source_percent, target_percent, round(sqrt(source_percent * target_percent), 1) AS overlap FROM {_EDGES}",
     "session_edges": f"SELECT i, j, round(similarity, {R}) AS similarity, raw FROM {_SES_EDGES}",
@@ -266,13 +285,7 @@ ORACLES = {
           FROM {ATLAS_EDGES} JOIN linked x ON x.node = source JOIN linked y ON y.node = target, giant WHERE (x.component = g) <> (y.component = g))
         SELECT component, i, j, similarity FROM (SELECT a.*, row_number() OVER (PARTITION BY a.component ORDER BY similarity DESC, i, j) AS rn
           FROM across a JOIN size USING (component) WHERE n >= 3) WHERE rn <= 3""",
-    "bridges_all": f"""WITH RECURSIVE {_COMP}, linked AS (SELECT * FROM comp WHERE node IN (SELECT source FROM {_STRONG_E} UNION SELECT target FROM {_STRONG_E})),
-        size AS (SELECT component, count(*) AS n FROM linked GROUP BY component), place AS (SELECT component, row_number() OVER (ORDER BY giant DESC, n, component) AS p FROM (
-          SELECT *, component = (SELECT component FROM size ORDER BY n DESC, component LIMIT 1) AS giant FROM size) WHERE n >= 2),
-        across AS (SELECT CASE WHEN a.p > b.p THEN a.component ELSE b.component END AS component, CASE WHEN a.p > b.p THEN b.component ELSE a.component END AS target, source AS i, e.target AS j, weight AS similarity
-          FROM {ATLAS_EDGES} e JOIN linked x ON x.node = source JOIN linked y ON y.node = e.target JOIN place a ON a.component = x.component JOIN place b ON b.component = y.component WHERE a.p <> b.p),
-        joined(c) AS (SELECT component FROM place WHERE p = 1 UNION SELECT a.component FROM joined JOIN across a ON a.target = c)
-        SELECT component, i, j, greatest(similarity, 0.12) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY similarity DESC, i, j) AS rn FROM across WHERE target IN (SELECT c FROM joined)) WHERE rn <= 3""",
+    "bridges_all": _BRIDGES_ALL,
     "shortest_strongest_path": f"""WITH RECURSIVE ends AS (SELECT min(id) AS s, max(id) AS g FROM {NODES}), e AS (SELECT node, other, ln(weight) AS w FROM {_BOTH}),
         level(hop, node, score, seen) AS (
           SELECT 0, s, CAST(0.0 AS DOUBLE), [s] FROM ends UNION ALL
@@ -295,6 +308,20 @@ ORACLES = {
     "modularity": f"""WITH e AS (SELECT x.community AS ca, y.community AS cb, weight AS w FROM {ATLAS_EDGES} JOIN {_MEMBER} x ON x.node = source JOIN {_MEMBER} y ON y.node = target),
         s AS (SELECT c, sum(w) AS s FROM (SELECT ca AS c, w FROM e UNION ALL SELECT cb, w FROM e) GROUP BY c)
         SELECT round((SELECT sum(w) FROM e WHERE ca = cb) / (sum(s) / 2) - sum(s * s) / (sum(s) * sum(s)), {R}) AS modularity FROM s""",
+    "community_numbers": f"SELECT node, community, number FROM {_MEMBER} JOIN (SELECT community, row_number() OVER (ORDER BY count(*) DESC, community) AS number FROM {_MEMBER} GROUP BY 1) USING (community)",
+    "degree_bounded_graph": f"""WITH RECURSIVE e AS (SELECT i, j, round(similarity, {R}) AS similarity FROM {_SES_EDGES}),
+        m AS (SELECT member, row_number() OVER (ORDER BY member) AS k, CAST(least(24, greatest(4, floor(4 * sqrt(greatest(1.0, round(damped, {R})))))) AS BIGINT) AS bound FROM {_marginals_sql(_SES)}),
+        kept AS ({_top('e', 4, 'similarity DESC, other')}),
+        r AS (SELECT row_number() OVER (ORDER BY similarity DESC, i, j) AS n, i, j, a.k AS a, b.k AS b, a.bound AS x, b.bound AS y FROM e JOIN m a ON a.member = i JOIN m b ON b.member = j WHERE (i, j) NOT IN (SELECT (i, j) FROM kept)),
+        ends AS (SELECT i AS member FROM kept UNION ALL SELECT j FROM kept),
+        step(n, degree, ok, i, j) AS (
+          SELECT CAST(0 AS BIGINT), (SELECT list(c ORDER BY k) FROM (SELECT k, count(ends.member) AS c FROM m LEFT JOIN ends USING (member) GROUP BY k)), false, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) UNION ALL
+          SELECT n, CASE WHEN ok THEN list_transform(degree, lambda c, k: CASE WHEN k = a OR k = b THEN c + 1 ELSE c END) ELSE degree END, ok, i, j FROM (
+            SELECT r.n, r.i, r.j, r.a, r.b, s.degree, s.degree[r.a] < r.x AND s.degree[r.b] < r.y AS ok FROM step s JOIN r ON r.n = s.n + 1))
+        SELECT i, j FROM kept UNION ALL SELECT i, j FROM step WHERE ok""",
+    "connectivity": f"""WITH RECURSIVE l AS (SELECT source AS a, target AS b FROM {_STRONG_E} UNION SELECT i, j FROM ({_BRIDGES_ALL})), both_ AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        reach(node, seen) AS (SELECT a, a FROM both_ UNION SELECT r.node, x.b FROM reach r JOIN both_ x ON x.a = r.seen), c AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1)
+        SELECT count(DISTINCT component) AS components, count(DISTINCT component) <= 1 AS connected FROM c""",
     "subclass_closure": f"""WITH RECURSIVE n AS (SELECT id, coalesce(subscribers, 0) AS s FROM {NODES}),
         parent AS (SELECT node, other FROM (SELECT b.*, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other) AS rn
           FROM {_BOTH} b JOIN n x ON x.id = node JOIN n y ON y.id = other WHERE y.s > x.s) WHERE rn = 1),

@@ -97,10 +97,55 @@ def test_communities_of_two_cliques(spark):
         m = G.communities(df, 1.0, frame(spark, [(99,)], "v int"), rounds=6, small=small)
         got = {r.node: r.community for r in m.collect()}
         assert got[99] == 99 and set(got) == {*range(6), *range(10, 16), 99}
-        q = G.modularity(df, m).first()[0]
-        assert q > (0.4 if small > 5 else 0.0)
-        if small > 5:
-            assert {got[v] for v in range(6)} == {0} and {got[v] for v in range(10, 16)} == {10}
+        assert G.modularity(df, m).first()[0] > 0.4
+        assert {got[v] for v in range(6)} == {0} and {got[v] for v in range(10, 16)} == {10}
+
+
+def test_a_path_of_seventy_hops(spark):
+    e = frame(spark, [(k, k + 1, 0.5) for k in range(70)], "source int, target int, weight double")
+    rows = G.strongest_shortest_path(e, 0, 70).collect()
+    assert [(r.hop, r.node) for r in rows] == [(k, k) for k in range(71)] and math.isclose(rows[-1].score, 70 * math.log(0.5))
+
+
+def cliques(sizes, inner=1.0):
+    at, out = 0, []
+    for n in sizes:
+        out += [(a, b, inner) for a in range(at, at + n) for b in range(a + 1, at + n)]
+        at += n
+    return out
+
+
+def test_oversize_communities_split_again_and_again(spark):
+    # Four cliques in two tightly joined pairs, one community to begin with; a sliver of one node beside the last.
+    e = cliques([6, 6, 6, 6]) + [(a, b, 0.4) for a, b in ((0, 6), (1, 7), (2, 8), (12, 18), (13, 19), (14, 20))] + [(5, 12, 0.05), (23, 24, 0.3)]
+    df = frame(spark, e, "i int, j int, weight double")
+    one = frame(spark, [(v, 0) for v in range(25)] + [(50, 7), (51, 7)], "node int, community int")
+    found = []
+    for small in (10_000, 5):
+        got = {r.node: r.community for r in G.split_oversize(df, one, most=8, least=4, small=small).collect()}
+        assert set(got) == {*range(25), 50, 51} and got[50] == got[51] == 7
+        assert {tuple(v for v in range(25) if got[v] == c) for c in set(got.values()) - {7}} == {tuple(range(a, a + 6)) for a in (0, 6, 12)} | {tuple(range(18, 25))}
+        found.append(got)
+    assert found[0] == found[1]
+    whole = G.split_oversize(df.where("i < 6 and j < 6"), one.where("node < 6"), most=4, least=4).collect()
+    assert {r.community for r in whole} == {0}  # nothing to divide: it stays whole
+
+
+def test_merging_gathers_lone_nodes_and_refuses_large_tables(spark):
+    e = frame(spark, cliques([30, 30]) + [(0, 30, 0.1)], "i int, j int, weight double")
+    m = frame(spark, [(v, 0 if v < 30 else 30) for v in range(60)] + [(v, v) for v in range(100, 180)], "node int, community int")
+    got = {r.node: r.community for r in G.merge_communities(e, m, target=5, least=25, most=100).collect()}
+    size = {c: sum(1 for x in got.values() if x == c) for c in got.values()}
+    assert set(got) == {*range(60), *range(100, 180)} and len(size) <= 5 and min(size.values()) >= 25
+    with pytest.raises(ValueError, match="more than 1 communities"):
+        G.merge_communities(e, m, target=5, least=25, most=100, largest_table=1)
+
+
+def test_communities_are_numbered_by_size(spark):
+    m = frame(spark, [(1, "b"), (2, "b"), (3, "a"), (4, "c"), (5, "c")], "node int, community string")
+    assert {(r.community, r.number) for r in G.numbered(m).collect()} == {("b", 1), ("c", 2), ("a", 3)}
+    e = frame(spark, [(1, 2), (3, 4)], "i int, j int")
+    assert tuple(G.connectivity(e, frame(spark, [(1,), (4,), (9,)], "v int")).first()) == (3, False)
 
 
 def test_agglomerate_reaches_its_bounds():
