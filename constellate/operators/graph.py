@@ -152,12 +152,12 @@ def strongest_shortest_path(edges: DataFrame, start, goal, weight: str = "weight
             break
     if not reached:
         return spark.createDataFrame([], schema)
-    # Back from the goal through the parents, level by level; every step is a join with one row.
-    path = at = levels[hop].where(F.col("node") == F.lit(goal))
-    for level in levels[hop - 1 :: -1]:
-        at = level.join(F.broadcast(at.select(F.col("parent").alias("node"))), "node", "left_semi")
-        path = path.unionByName(at)
-    return path.select("hop", "node", "score").orderBy("hop")
+    rows, at = [], goal
+    for h in range(hop, -1, -1):  # one row a level, the path itself; each read stops at the first match
+        r = levels[h].where(F.col("node") == F.lit(at)).first()
+        rows.append((h, r["node"], r["score"]))
+        at = r["parent"]
+    return spark.createDataFrame(rows[::-1], schema)
 
 
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
