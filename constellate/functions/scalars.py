@@ -60,6 +60,13 @@ def edge_size(weight: Column) -> Column:
     return F.greatest(F.lit(0.08), F.round(0.9 * weight, 2))
 
 
+def zoom_scale(zoom: Column) -> Column:
+    """Scale of drawn sizes at a zoom level: 1 without one, 0.15 to 3.5, steeper below 2.2 than above."""
+    ratio = zoom / 2.2
+    scale = F.when(ratio >= 1, F.least(F.lit(3.5), F.pow(ratio, 0.45))).otherwise(F.greatest(F.lit(0.15), F.pow(ratio, 0.75)))
+    return F.when(zoom.isNull() | (zoom == 0) | F.isnan(zoom), 1.0).otherwise(scale)
+
+
 def bar_percent(x: Column, most: Column) -> Column:
     """Length of a bar: 12 to 100 percent of the longest, cut to whole percents."""
     return F.when(most > 0, F.greatest(F.lit(12), F.least(F.lit(100), F.floor(100.0 * x / most).cast("int")))).otherwise(F.lit(12))

@@ -307,6 +307,26 @@ def map_link(params: dict[str, Column]) -> Column:
     return F.concat(F.lit("/#"), F.concat_ws("&", *pairs))
 
 
+def view_of(href: Column) -> Column:
+    """Parameters of a link made by :func:`map_link`: a map of names to values, the last of a name; empty without any."""
+    pairs = F.filter(F.split(F.regexp_replace(href, "^[^#]*#?", ""), "&"), lambda p: p != "")
+    one = F.transform(pairs, lambda p: F.struct(F.url_decode(F.substring_index(p, "=", 1)).alias("k"), F.url_decode(F.regexp_replace(p, "^[^=]*=?", "")).alias("v")))
+    last = F.filter(one, lambda x, i: ~F.exists(F.slice(one, i + 2, F.size(one)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(last)
+
+
+def separation(hops: Column) -> Column:
+    """Text of a path's length; null hops are no path."""
+    some = F.when(hops == 0, "Same artist").when(hops == 1, "1 degree of separation").otherwise(F.concat(hops.cast("string"), F.lit(" degrees of separation")))
+    return F.when(hops.isNull(), "No connection found").otherwise(some)
+
+
+def collation_key(text: Column, folded: bool = False) -> Column:
+    """Sort key regardless of case and accents, with runs of digits in order of their numbers (up to 20 digits)."""
+    low = F.lower(text if folded else fold_accents(text))
+    return F.regexp_replace(F.regexp_replace(low, r"(\d+)", "0" * 20 + "$1"), r"0+(\d{20})(?!\d)", "$1")
+
+
 def clock(secs: Column) -> Column:
     """Minutes and seconds, "3:07"."""
     s = F.floor(secs).cast("int")

@@ -180,6 +180,7 @@ def fill_within_bounds(candidates: DataFrame, protected: DataFrame, bounds: Data
     at both ends is taken; fewer than that many pairs precede it at either end, so the sequential greedy takes it, too.
     ``candidates`` is (i, j, similarity), ``bounds`` (member, bound); order: similarity descending, i, j.
     """
+    bounds = materialize(bounds.select("member", "bound"), "fill")  # read in every round
     taken = materialize(protected.select("i", "j").distinct(), "fill")
     left = materialize(candidates.select("i", "j", "similarity").join(taken, ["i", "j"], "left_anti"), "fill")
     while True:

@@ -105,6 +105,12 @@ def normalise(places: DataFrame, bound: float = 3200.0) -> DataFrame:
     return c.select("id", (F.col("x") * capped).alias("x"), (F.col("y") * capped).alias("y"))
 
 
+def centred(places: DataFrame) -> DataFrame:
+    """(id, x, y): places moved so that their mean is the origin, to two decimals."""
+    m = places.agg(F.struct(F.avg("x").alias("x"), F.avg("y").alias("y")).alias("m")).scalar()
+    return places.select("id", F.round(F.col("x") - m["x"], 2).alias("x"), F.round(F.col("y") - m["y"], 2).alias("y"))
+
+
 def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
     """(a, b, d), a < b: points within ``radius`` of each other, by a grid of that cell width and an equi-join on cells.
 

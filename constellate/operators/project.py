@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from constellate.session import materialize
+
 
 def damping(n: Column) -> Column:
     """Weight of one member in a container of ``n``: two members' product is 1 / log2(n)."""
@@ -22,6 +24,11 @@ def incidence(df: DataFrame, container: str, member: str) -> DataFrame:
         F.col("container").isNotNull() & F.col("member").isNotNull()).distinct()
 
 
+def _sized(df: DataFrame, container: str, member: str) -> DataFrame:
+    """The distinct incidences, written once, as all that follows reads them more than once."""
+    return materialize(incidence(df, container, member), "incidence")
+
+
 def _pairs(inc: DataFrame, block: int = 512) -> DataFrame:
     """(i, j, n): members i < j of one container, with the container's size; one row per container and pair."""
     sets = inc.groupBy("container").agg(F.count(F.lit(1)).alias("n"))
@@ -31,16 +38,28 @@ def _pairs(inc: DataFrame, block: int = 512) -> DataFrame:
         .agg(F.array_sort(F.collect_list("member")).alias("ms")).where(F.size("ms") > 1)
         .select("ms", F.size("ms").alias("n"))
     )
+    after = lambda ms: F.slice(ms, F.col("pos") + 2, F.size(ms))
     ordinary = (
-        small.select("n", "ms", F.posexplode("ms").alias("pos", "i"))
-        .select("n", "i", F.explode(F.slice("ms", F.col("pos") + 2, F.col("n"))).alias("j"))
+        small.select("n", "ms", F.posexplode("ms").alias("pos", "i")).select("n", "i", F.explode(after("ms")).alias("j"))
+    )
+    # Chunks of a huge container as arrays: all pairs within each, and each two of them once as a block of their own.
+    chunks = (
+        inc.join(huge, "container").withColumn("k", F.ceil(F.col("n") / block).cast("int"))
+        .withColumn("c", F.pmod(F.xxhash64("member"), F.col("k")).cast("int"))
+        .groupBy("container", "n", "k", "c").agg(F.array_sort(F.collect_list("member")).alias("ms"))
     )
-    chunked = inc.join(huge, "container").withColumn("k", F.ceil(F.col("n") / block).cast("int")).withColumn(
-        "c", F.pmod(F.xxhash64("member"), F.col("k")).cast("int"))
-    left = chunked.select("container", "n", F.col("c").alias("a"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("b"), F.col("member").alias("i"))
-    right = chunked.select("container", F.col("c").alias("b"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("a"), F.col("member").alias("j"))
-    blocks = left.join(right, ["container", "a", "b"]).where(F.col("i") < F.col("j")).select("n", "i", "j")
-    return ordinary.unionByName(blocks)
+    within = chunks.select("n", "ms", F.posexplode("ms").alias("pos", "i")).select("n", "i", F.explode(after("ms")).alias("j"))
+    sent = chunks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("c != o")
+    first = sent.where("c < o").select("container", "n", F.col("c").alias("a"), F.col("o").alias("b"), "ms")
+    second = sent.where("c > o").select("container", F.col("o").alias("a"), F.col("c").alias("b"), F.col("ms").alias("others"))
+    blocks = first.join(second, ["container", "a", "b"]).select("n", "others", F.explode("ms").alias("x")).select("n", "x", F.explode("others").alias("y")).select(
+        "n", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    return ordinary.unionByName(within.select("n", "i", "j").withColumn("n", F.col("n").cast("int"))).unionByName(blocks.withColumn("n", F.col("n").cast("int")))
+
+
+def _projected(inc: DataFrame, block: int) -> DataFrame:
+    return _pairs(inc, block).groupBy("i", "j").agg(
+        F.sum(1.0 / F.log2(F.greatest(F.lit(2.0), F.col("n").cast("double")))).alias("damped"), F.count(F.lit(1)).alias("raw"))
 
 
 def project(df: DataFrame, container: str, member: str, block: int = 512) -> DataFrame:
@@ -48,19 +67,15 @@ def project(df: DataFrame, container: str, member: str, block: int = 512) -> Dat
 
     Repeated rows count once, nulls not at all; an empty input gives an empty result.
     """
-    pairs = _pairs(incidence(df, container, member), block)
-    return pairs.groupBy("i", "j").agg(
-        F.sum(1.0 / F.log2(F.greatest(F.lit(2.0), F.col("n").cast("double")))).alias("damped"), F.count(F.lit(1)).alias("raw"))
+    return _projected(_sized(df, container, member), block)
 
 
 def shared_units(df: DataFrame, unit: str, member: str, block: int = 512) -> DataFrame:
     """(i, j, units): independent units in which both members occur, in the same container or not."""
-    return _pairs(incidence(df, unit, member), block).groupBy("i", "j").agg(F.count(F.lit(1)).alias("units"))
+    return _pairs(_sized(df, unit, member), block).groupBy("i", "j").agg(F.count(F.lit(1)).alias("units"))
 
 
-def marginals(df: DataFrame, container: str, member: str) -> DataFrame:
-    """(member, damped, raw): the diagonal of the projection."""
-    inc = incidence(df, container, member)
+def _diagonal(inc: DataFrame) -> DataFrame:
     sizes = inc.groupBy("container").agg(F.count(F.lit(1)).alias("n"))
     return (
         inc.join(sizes, "container").groupBy("member")
@@ -68,6 +83,11 @@ def marginals(df: DataFrame, container: str, member: str) -> DataFrame:
     )
 
 
+def marginals(df: DataFrame, container: str, member: str) -> DataFrame:
+    """(member, damped, raw): the diagonal of the projection."""
+    return _diagonal(_sized(df, container, member))
+
+
 def degree_bound(damped: Column) -> Column:
     """Links that a member may keep: 4 * sqrt of its damped marginal, between 4 and 24."""
     return F.least(F.lit(24), F.greatest(F.lit(4), F.floor(4 * F.sqrt(F.greatest(F.lit(1.0), damped))))).cast("bigint")
@@ -81,8 +101,9 @@ def similar_members(
     A pair is kept if its similarity reaches ``cutoff`` and, where either member is in ``support`` containers or more,
     they share at least two.  The percentages are the shared share of each member's containers, to one decimal.
     """
-    m = marginals(df, container, member)
-    p = project(df, container, member, block)
+    inc = _sized(df, container, member)
+    m = materialize(_diagonal(inc), "marginals")  # a known size: small ones are broadcast to both sides of a pair
+    p = _projected(inc, block)
     left = m.select(F.col("member").alias("i"), F.col("damped").alias("d_i"), F.col("raw").alias("r_i"))
     right = m.select(F.col("member").alias("j"), F.col("damped").alias("d_j"), F.col("raw").alias("r_j"))
     sim = F.col("damped") / F.sqrt(F.col("d_i") * F.col("d_j"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from constellate.operators.ranking import rank_within
+from constellate.operators.ranking import global_rank, rank_within
 
 
 def member_tags(nodes: DataFrame) -> DataFrame:
@@ -94,6 +94,43 @@ def letter_pages(nodes: DataFrame, letter: Column, size: int = 250) -> DataFrame
     return p.groupBy("letter", "page").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first"), F.max("label").alias("last"))
 
 
+def label_pages(tags: DataFrame, reach: DataFrame, size: int = 250, structured: int = 100, least: int = 5) -> DataFrame:
+    """(tag, page, start, n, listed, first): list pages of each label of ``least`` members or more, by reach: rank of the first
+    row (from 1), rows, rows with structured data, and the first member."""
+    t = tags.join(label_sizes(tags).where(F.col("size") >= least).select("tag"), "tag", "left_semi").join(reach, "id")
+    rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("reach"), "id"))
+    paged = t.withColumn("rank", rank).withColumn("page", F.floor((F.col("rank") - 1) / size).cast("bigint"))
+    return paged.groupBy("tag", "page").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("n"), F.min_by("id", "rank").alias("first")).select(
+        "tag", "page", "start", "n", F.least(F.col("n"), F.lit(structured)).alias("listed"), "first")
+
+
+def label_index(sizes: DataFrame, letter: Column) -> DataFrame:
+    """(letter, n, labels): labels grouped by first letter, in order."""
+    return sizes.groupBy(letter.alias("letter")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("tag")), "|").alias("labels"))
+
+
+def label_listing(sizes: DataFrame, query: str = "", by_size: bool = False) -> DataFrame:
+    """(tag, size, place): labels that contain ``query``, by name, or by size and name."""
+    hit = sizes.where(F.contains(F.lower("tag"), F.lit(query.lower())))
+    order = [F.desc("size"), F.asc("tag")] if by_size else [F.asc("tag")]
+    return global_rank(hit, order, "place").select("tag", "size", "place")
+
+
+def footprint(tags: DataFrame, nodes: DataFrame, most: int = 600) -> DataFrame:
+    """(tag, color, dots, first): dots of each label's ``most`` members of greatest reach by colour, the least drawn first."""
+    rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("reach"), "id"))
+    t = tags.join(nodes.select("id", "reach", "color"), "id").withColumn("rank", rank).where(F.col("rank") <= most)
+    return t.groupBy("tag", "color").agg(F.count(F.lit(1)).alias("dots"), F.max_by("id", "rank").alias("first"))
+
+
+def page_registry(*families: DataFrame) -> DataFrame:
+    """(family, path, n): all pages of the site by path; ``n`` above 1 tells a path that two pages claim."""
+    every = families[0]
+    for f in families[1:]:
+        every = every.unionByName(f)
+    return every.groupBy("family", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
 def sitemap_files(paths: DataFrame, site: str, lastmod: Column, most: int = 50_000) -> DataFrame:
     """(family, file, urls, bytes) of sitemap files: paths (family, path) in order, ``most`` a file."""
     f = rank_within(paths, "family", [F.col("path")]).withColumn("file", F.floor(F.col("rank") / most).cast("bigint"))

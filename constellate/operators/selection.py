@@ -19,6 +19,28 @@ def popularity_slice(nodes: DataFrame, low: float, high: float, community=None)
     return percent_slice(ranked, scope.count(), low, high)
 
 
+def active_selection(artist: Column, on_path: Column, spotlight: Column, slice_: Column, community: Column, strength: Column) -> Column:
+    """Which selection a view shows: an artist, but not one on the path that is shown; a spotlight; a popularity slice; a
+    community; a strength filter; none.  Arguments are truth values, null being false."""
+    on = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when(on(artist) & ~(on(spotlight) & on(on_path)), "artist").when(on(spotlight), "spotlight").when(on(slice_), "slice")
+        .when(on(community), "community").when(on(strength), "strength").otherwise("none")
+    )
+
+
+def qualifying(nodes: DataFrame, chosen: DataFrame | None = None, community=None) -> DataFrame:
+    """Nodes that the active filter set (ids, None for no filter) and community let through."""
+    out = nodes if community is None else nodes.where(F.col("community") == community)
+    return out if chosen is None else out.join(chosen.select("id").distinct(), "id", "left_semi")
+
+
+def fitted(points: DataFrame) -> DataFrame:
+    """(n, x0, y0, x1, y1): the box that a view of ``points`` (x, y) is fitted to; points without a place are left out."""
+    p = points.where("x is not null and y is not null")
+    return p.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+
+
 def strength_cutoff(edges: DataFrame, percent: float, strength: str = "playlists") -> int:
     """Least shared count that a link needs at a percentile of all links; a missing count is 1."""
     if percent <= 0:

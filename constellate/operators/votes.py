@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from constellate.session import materialize
+
 
 def evidence(labelled: DataFrame) -> DataFrame:
     """(member, label, n, size) from (container, label, member): containers of the label with the member, and in all."""
-    d = labelled.select("container", "label", "member").distinct()
+    d = materialize(labelled.select("container", "label", "member").distinct(), "evidence")
     n = d.groupBy("member", "label").agg(F.count(F.lit(1)).alias("n"))
     size = d.select("container", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     return n.join(size, "label").select("member", "label", "n", "size")
@@ -58,9 +60,10 @@ def judged_labels(containers: DataFrame, members: DataFrame) -> DataFrame:
     ``containers`` is (container, label, source).  A search container keeps its label only if it clearly belongs to it,
     judged without itself; a recommended one gets its clear best label; others keep theirs; '' is none.
     """
-    labelled = containers.withColumn("label", F.coalesce("label", F.lit("")))
+    members = materialize(members.select("container", "member").distinct(), "members")  # these are read four times
+    labelled = materialize(containers.select("container", F.coalesce("label", F.lit("")).alias("label"), "source"), "labelled")
     search = labelled.where("source = 'search' and label != ''").select("container", "label")
-    e = evidence(search.join(members, "container"))
+    e = materialize(evidence(search.join(members, "container")), "evidence")
     own = ranked_votes(votes(members.join(search.select("container"), "container", "left_semi"), e, search), members)
     belongs = own.where(clear()).join(search, ["container", "label"], "left_semi").select("container", F.col("label").alias("judged"))
     other = labelled.where("source = 'recommended'").select("container")

@@ -116,7 +116,7 @@ def supported_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def degree_bounded_graph(spark: SparkSession, d: str) -> DataFrame:
     s = sessions(spark, d)
-    e = _session_edges(spark, d).select("i", "j", F.round("similarity", R).alias("similarity"))
+    e = materialize(_session_edges(spark, d).select("i", "j", F.round("similarity", R).alias("similarity")), "edges")
     m = P.marginals(s, "container", "member")
     bounds = m.select("member", P.degree_bound(F.round("damped", R)).alias("bound"))
     return G.fill_within_bounds(e, P.top_links(e, 4, [F.desc("similarity"), F.asc("other")]), bounds)

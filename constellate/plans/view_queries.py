@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from constellate.functions import text as X
@@ -13,6 +13,7 @@ from constellate.operators import search as S
 from constellate.operators import selection as C
 from constellate.plans.bindings import ATLAS_EDGES, NODES, atlas_edges, nodes, table
 from constellate.plans.sql import q
+from constellate.plans.text_queries import _PATHS
 
 D = 4  # decimals at which positions are compared
 
@@ -191,6 +192,102 @@ def headline(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d).agg((F.floor(F.count(F.lit(1)) / 1000) * 1000).cast("bigint").alias("at_least"))
 
 
+def label_pages(spark: SparkSession, d: str) -> DataFrame:
+    n = _nodes(spark, d)
+    return R.label_pages(R.member_tags(n), n.select("id", F.coalesce("reach", F.lit(0)).alias("reach")), 20, 8)
+
+
+def label_index(spark: SparkSession, d: str) -> DataFrame:
+    return R.label_index(R.label_sizes(R.member_tags(_nodes(spark, d))), X.letter_of(X.search_form(F.col("tag"))))
+
+
+def label_listing(spark: SparkSession, d: str) -> DataFrame:
+    return R.label_listing(R.label_sizes(R.member_tags(_nodes(spark, d))), "O", by_size=True)
+
+
+def footprint(spark: SparkSession, d: str) -> DataFrame:
+    n = nodes(spark, d).select("id", F.coalesce("subscribers", F.lit(0)).alias("reach"), "color")
+    return R.footprint(R.member_tags(_nodes(spark, d)), n, 20)
+
+
+def page_registry(spark: SparkSession, d: str) -> DataFrame:
+    from constellate.plans.text_queries import slug_paths
+
+    index = slug_paths(spark, d).select(F.lit("letters").alias("family"), F.concat(F.lit("/index/"), F.lower("letter"), F.lit("/")).alias("path")).distinct()
+    artists = slug_paths(spark, d).select(F.lit("artists").alias("family"), "path")
+    labels = R.label_sizes(R.member_tags(_nodes(spark, d))).where("size >= 5").select(
+        F.lit("labels").alias("family"), F.concat(F.lit("/label/"), X.slug(X.search_form(F.col("tag"))), F.lit("/")).alias("path"))
+    return R.page_registry(artists, labels, index)
+
+
+def member_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes with a page of their own: 45 lists or more."""
+    return table(spark, d, "artist_details").groupBy("id").agg(F.max("totalPlaylists").alias("lists")).where("lists >= 45")
+
+
+def label_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Members of a label's panel: thirty, and fifty more."""
+    n = _nodes(spark, d)
+    rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc(F.coalesce("reach", F.lit(0))), "id"))
+    t = R.member_tags(n).join(n.select("id", "reach"), "id").withColumn("rank", rank).where("rank <= 80")
+    return t.select("tag", "id", "rank", F.when(F.col("rank") <= 30, 1).otherwise(2).alias("step"))
+
+
+def picker(spark: SparkSession, d: str) -> DataFrame:
+    """Search as the path picker asks it: six names."""
+    return S.search_members(S.member_index(_nodes(spark, d)), "the", limit=6)
+
+
+def collated(spark: SparkSession, d: str) -> DataFrame:
+    """Labels in order regardless of case and accents, numbers by value."""
+    n = _nodes(spark, d).where("label is not null").select("id", X.collation_key(F.col("label")).alias("key"))
+    return K.global_rank(n, [F.asc("key"), F.asc("id")]).select("id", "rank")
+
+
+def draw_order(spark: SparkSession, d: str) -> DataFrame:
+    return K.global_rank(_nodes(spark, d).select("id", "size"), [F.asc("size"), F.asc("id")]).select("id", "rank")
+
+
+def strength_summary(spark: SparkSession, d: str) -> DataFrame:
+    from constellate.operators.harvest import summary
+
+    return summary(atlas_edges(spark, d), "weight")
+
+
+def view_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links to views, read back."""
+    g = table(spark, d, "genres").select("rank", X.map_link({"genre": F.concat("genre", F.lit(" & more=+")), "view": F.lit("map")}).alias("href"))
+    view = X.view_of(F.col("href"))
+    return g.select("rank", view["genre"].alias("genre"), view["view"].alias("view"), view["path"].alias("path"))
+
+
+def separations(spark: SparkSession, d: str) -> DataFrame:
+    """Links between nodes in words: itself, a neighbour, two steps, none."""
+    return table(spark, d, "nation").select("n_nationkey", X.separation(F.when(F.col("n_nationkey") < 4, F.col("n_nationkey"))).alias("text"))
+
+
+def zoom_scales(spark: SparkSession, d: str) -> DataFrame:
+    from constellate.functions.scalars import zoom_scale
+
+    return table(spark, d, "part").select("p_partkey", F.round(zoom_scale(F.when(F.col("p_size") > 1, (F.col("p_size") - 2) / 4)), 6).alias("scale"))
+
+
+def active_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Precedence of selections over all their combinations."""
+    bits = spark.range(64).withColumnRenamed("id", "combination")
+    on = [F.col("combination").bitwiseAND(F.lit(1 << k)) > 0 for k in range(6)]
+    return bits.select("combination", C.active_selection(*on).alias("shown"))
+
+
+def qualifying_nodes(spark: SparkSession, d: str) -> DataFrame:
+    n = _nodes(spark, d).select("id", "reach", "community")
+    return C.qualifying(n, C.popularity_slice(n, 0, 40), 1).select("id")
+
+
+def fitted_view(spark: SparkSession, d: str) -> DataFrame:
+    return C.fitted(_nodes(spark, d).where("community = 2").select("x", "y"))
+
+
 # ---- layout --------------------------------------------------------------------------------------------------------
 
 
@@ -225,6 +322,10 @@ def normalised_layout(spark: SparkSession, d: str) -> DataFrame:
     return L.normalise(_nodes(spark, d).where("x is not null and y is not null").select("id", "x", "y")).select("id", F.round("x", D).alias("x"), F.round("y", D).alias("y"))
 
 
+def centred_layout(spark: SparkSession, d: str) -> DataFrame:
+    return L.centred(_nodes(spark, d).where("x is not null and y is not null").select("id", "x", "y"))
+
+
 def radius_pairs(spark: SparkSession, d: str) -> DataFrame:
     return L.radius_pairs(_nodes(spark, d), 40.0).select("a", "b", F.round("d", D).alias("d"))
 
@@ -237,7 +338,8 @@ def clear_overlaps(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     search_labels, search_all, search_index, popularity_slice, slice_in_community, strength_filter, slice_and_strength, community_filter, related_labels,
     label_communities, pairings_top10, bridge_members, label_overview, dominant_tags, neighbour_facts, hydrated, bar_scaling, density_grid, bbox_projection,
-    letter_pages, paginated, sitemap, vocabulary, headline, micro_centroids, spring_step, springs, normalised_layout, radius_pairs, clear_overlaps)}
+    letter_pages, label_pages, label_index, label_listing, footprint, page_registry, member_pages, label_panel, picker, collated, draw_order, strength_summary,
+    view_links, separations, zoom_scales, active_selection, qualifying_nodes, fitted_view, centred_layout, paginated, sitemap, vocabulary, headline, micro_centroids, spring_step, springs, normalised_layout, radius_pairs, clear_overlaps)}
 QUERIES |= {name: _search(query) for name, query in SEARCHES.items()}
 
 
@@ -304,6 +406,32 @@ ORACLES = {name: _search_sql(query) for name, query in SEARCHES.items()} | {
     "sitemap": f"""SELECT family, file, count(*) AS urls, CAST(sum(length('  <url><loc>https://atlas.example' || path || '</loc><lastmod>2026-01-01</lastmod></url>') + 1) AS BIGINT) AS bytes FROM (
         SELECT family, path, (row_number() OVER (PARTITION BY family ORDER BY path) - 1) // 200 AS file FROM (SELECT 'artists' AS family, '/artist/' || id || '/' AS path FROM {_N} UNION ALL
           SELECT 'labels', '/label/' || regexp_replace(regexp_replace(trim(lower(strip_accents(tag))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '/' FROM {_SIZES} WHERE size >= 5)) GROUP BY 1, 2""",
+    "label_pages": f"""SELECT tag, page, min(rank) AS start, count(*) AS n, least(count(*), 8) AS listed, arg_min(id, rank) AS first FROM (SELECT *, (rank - 1) // 20 AS page FROM (
+        SELECT tag, id, CAST(row_number() OVER (PARTITION BY tag ORDER BY coalesce(reach, 0) DESC, id) AS INTEGER) AS rank FROM {_TAGS} JOIN {_N} USING (id) WHERE tag IN (SELECT tag FROM {_SIZES} WHERE size >= 5))) GROUP BY 1, 2""",
+    "label_index": f"""SELECT letter, count(*) AS n, string_agg(tag, '|' ORDER BY tag) AS labels FROM (SELECT tag, CASE WHEN regexp_matches(upper(left(trim(lower(strip_accents(tag))), 1)), '^[A-Z]$')
+        THEN upper(left(trim(lower(strip_accents(tag))), 1)) ELSE '#' END AS letter FROM {_SIZES}) GROUP BY 1""",
+    "label_listing": f"SELECT tag, size, row_number() OVER (ORDER BY size DESC, tag) - 1 AS place FROM {_SIZES} WHERE contains(lower(tag), 'o')",
+    "footprint": f"""SELECT tag, color, count(*) AS dots, arg_max(id, rank) AS first FROM (SELECT tag, t.id, color, row_number() OVER (PARTITION BY tag ORDER BY coalesce(subscribers, 0) DESC, t.id) AS rank
+        FROM {_TAGS} t JOIN {NODES} n ON n.id = t.id) WHERE rank <= 20 GROUP BY 1, 2""",
+    "page_registry": f"""SELECT family, path, count(*) AS n FROM (SELECT 'artists' AS family, path FROM {_PATHS} UNION ALL SELECT DISTINCT 'letters', '/index/' || lower(letter) || '/' FROM {_PATHS} UNION ALL
+        SELECT 'labels', '/label/' || regexp_replace(regexp_replace(trim(lower(strip_accents(tag))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '/' FROM {_SIZES} WHERE size >= 5) GROUP BY 1, 2""",
+    "member_pages": 'SELECT id, max("totalPlaylists") AS lists FROM artist_details GROUP BY 1 HAVING max("totalPlaylists") >= 45',
+    "label_panel": f"""SELECT tag, id, rank, CASE WHEN rank <= 30 THEN 1 ELSE 2 END AS step FROM (SELECT tag, id, CAST(row_number() OVER (PARTITION BY tag ORDER BY coalesce(reach, 0) DESC, id) AS INTEGER) AS rank
+        FROM {_TAGS} JOIN {_N} USING (id)) WHERE rank <= 80""",
+    "picker": _search_sql("the", 6),
+    "collated": f"""SELECT id, row_number() OVER (ORDER BY regexp_replace(regexp_replace(lower(strip_accents(label)), '(\\d+)', '{"0" * 20}\\1', 'g'), '0+(\\d{{20}})([^\\d]|$)', '\\1\\2', 'g'), id) - 1 AS rank FROM {_N} WHERE label IS NOT NULL""",
+    "draw_order": f"SELECT id, row_number() OVER (ORDER BY size NULLS FIRST, id) - 1 AS rank FROM {_N}",
+    "strength_summary": f"SELECT count(*) AS n, min(weight) AS least, median(weight) AS middle, max(weight) AS most FROM {ATLAS_EDGES} WHERE weight IS NOT NULL",
+    "view_links": "SELECT rank, genre || ' & more=+' AS genre, 'map' AS view, CAST(NULL AS VARCHAR) AS path FROM genres",
+    "separations": """SELECT n_nationkey, CASE WHEN n_nationkey = 0 THEN 'Same artist' WHEN n_nationkey = 1 THEN '1 degree of separation' WHEN n_nationkey < 4 THEN n_nationkey || ' degrees of separation'
+        ELSE 'No connection found' END AS text FROM nation""",
+    "zoom_scales": """SELECT p_partkey, round(CASE WHEN z IS NULL OR z = 0 THEN 1.0 WHEN z >= 2.2 THEN least(3.5, pow(z / 2.2, 0.45)) ELSE greatest(0.15, pow(z / 2.2, 0.75)) END, 6) AS scale
+        FROM (SELECT p_partkey, CASE WHEN p_size > 1 THEN (p_size - 2) / 4.0 END AS z FROM part)""",
+    "active_selection": """SELECT c AS combination, CASE WHEN c & 1 > 0 AND NOT (c & 4 > 0 AND c & 2 > 0) THEN 'artist' WHEN c & 4 > 0 THEN 'spotlight' WHEN c & 8 > 0 THEN 'slice' WHEN c & 16 > 0 THEN 'community'
+        WHEN c & 32 > 0 THEN 'strength' ELSE 'none' END AS shown FROM (SELECT unnest(range(64)) AS c)""",
+    "qualifying_nodes": f"SELECT id FROM {_RANKED} WHERE rank < greatest(1, floor(0.4 * n + 0.5)) AND id IN (SELECT id FROM {_N} WHERE community = 1)",
+    "fitted_view": f"SELECT count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM {_N} WHERE community = 2 AND x IS NOT NULL AND y IS NOT NULL",
+    "centred_layout": f"SELECT id, round(x - avg(x) OVER (), 2) AS x, round(y - avg(y) OVER (), 2) AS y FROM {_N} WHERE x IS NOT NULL AND y IS NOT NULL",
     "vocabulary": f"SELECT DISTINCT tag FROM {_TAGS}",
     "headline": f"SELECT CAST(count(*) // 1000 * 1000 AS BIGINT) AS at_least FROM {_N}",
     "micro_centroids": f"SELECT id, round(cx, {D}) AS cx, round(cy, {D}) AS cy FROM {_CENTRE}",
