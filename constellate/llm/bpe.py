@@ -110,13 +110,16 @@ class ByteBpe:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(self.strings[i] for i in ids).decode("utf-8", "surrogatepass")
+        """Text of ``ids``.  Bytes that make no character (ids cut in the middle of one) and ids without a string, such as
+        special tokens and null, read as U+FFFD."""
+        return b"".join(self.strings.get(i, b"\xff") for i in ids).decode("utf-8", "replace")
 
 
 def spread(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
     """``df`` in enough partitions for a Python stage: unchanged where the scan gives enough, else spread evenly."""
     want = tasks_per_core * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want // 2 else df.repartition(want)
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()  # of the plan at hand
+    return df if have >= want // 2 else df.repartition(want)
 
 
 def encode(df: DataFrame, key: str, text: str, path: str | None = None, ids: str = "ids") -> DataFrame:

@@ -398,9 +398,9 @@ def canonical_texts(texts: DataFrame, keys: list[str]) -> DataFrame:
     """
     texts = texts.select(*keys, "value").where(F.col("value").isNotNull() & (F.col("value") != ""))
     values = materialize(texts.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "values")
-    made = materialize(canonical_values(values), "canonical")
-    total = int(made.agg(F.sum("n")).first()[0] or 0)
-    return hot_split_join(texts, made, "value", "n", total).select(*keys, "value", "canonical").distinct()
+    made = materialize(canonical_values(values).toDF("value", "__n", "__canonical"), "canonical")
+    total = int(made.agg(F.sum("__n")).first()[0] or 0)
+    return hot_split_join(texts, made, "value", "__n", total).select(*keys, "value", F.col("__canonical").alias("canonical")).distinct()
 
 
 def odd_texts(playlists: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -44,6 +44,12 @@ def test_rows_nulls_empty_texts_and_empty_table(spark):
     assert bpe.encode(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_cut_and_unknown_ids_decode():
+    ids = MODEL.encode("日本 ok")
+    assert MODEL.decode(ids) == "日本 ok" and MODEL.decode(ids[:1]).startswith("\ufffd") and MODEL.decode([]) == ""
+    assert MODEL.decode([ids[-1], -5, None, ids[-1]]) == " ok\ufffd\ufffd ok"
+
+
 def brute(docs, items, n):
     out = set()
     for k, t in docs:

@@ -32,6 +32,14 @@ def test_scores_thresholds_and_pieces():
     assert by.tolist() == [[2, 1], [0, 0], [0, 0]] and n.tolist() == [2, 0, 1]
 
 
+def test_a_sentence_has_every_subject_that_reaches_its_own_threshold():
+    lexicon = S.Lexicon(["art", "law", "sport"], {"brush": (0, 0.9), "judge": (1, 0.8), "goal": (2, 0.8)}, [0.3, 0.3, 0.5])
+    by, n = lexicon.counts([["the judge took a brush goal"] * 4])
+    assert n.tolist() == [4] and by.tolist() == [[4, 4, 0]]
+    seed = S._seed(["art", "law"], [("art", "easel brush")] * 8 + [("art", "easel")] * 40 + [("law", "judge")] * 40)
+    assert seed["brush"][1] > 1.3 * seed["easel"][1]  # as pure, but rarer
+
+
 def corpus(rng):
     nouns = {"law": ["court", "judge", "clause", "appeal"], "sport": ["coach", "goal", "pitch", "team"], "art": ["brush", "canvas", "easel", "paint"]}
     sentence = lambda s: "They spoke about the {} and then about the {}.".format(*rng.sample(nouns[s], 2))
