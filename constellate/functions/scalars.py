@@ -125,21 +125,3 @@ def community_colour_rounded(number: Column, seed: int = 46, angle: float = 137.
     hue = up(F.pmod(n * angle + seed * 83.17, F.lit(360.0)))
     tier = number.cast("int") + seed
     return _hex([up(c * 255.0) for c in _rgb(hue, _pick([s / 100 for s, _ in TIERS], tier), _pick([v / 100 for _, v in TIERS], tier))])
-
-
-def slice_bounds(n: int, low: float, high: float) -> tuple[int, int]:
-    """First rank and the rank after the last (from 0) of a percent slice of ``n`` ranks; at least one rank."""
-    start = math.floor(low / 100 * n + 0.5)
-    return start, max(start + 1, math.floor(high / 100 * n + 0.5))
-
-
-def percentile_pick(column: str, share: float) -> Column:
-    """Whether a row (ranked from 0 by ``column`` within everything) is the one at index floor(share * n), n - 1 at most.
-
-    For use on a table ranked with ``__rank`` and counted with ``__n``.
-    """
-    return F.col("__rank") == F.least(F.floor(F.lit(share) * F.col("__n")).cast("bigint"), F.col("__n") - 1)
-
-
-def over_all(name: str, how=F.max) -> Column:
-    return how(name).over(Window.partitionBy())

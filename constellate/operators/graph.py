@@ -224,48 +224,6 @@ def affinity(edges: DataFrame, membership: DataFrame, i: str = "i", j: str = "j"
 # ---- communities ---------------------------------------------------------------------------------------------------
 
 
-def local_louvain(adjacency: dict, gamma: float = 1.0, passes: int = 20) -> dict:
-    """Communities of one graph held in memory ({node: {other: weight}}, symmetric), nodes visited in sorted order."""
-    members = {v: {v} for v in sorted(adjacency)}
-    graph = {v: dict(adjacency[v]) for v in members}
-    total = sum(sum(n.values()) for n in graph.values()) or 1.0
-    while True:
-        strength = {v: sum(n.values()) for v, n in graph.items()}
-        com = {v: v for v in graph}
-        weight = dict(strength)
-        moved_any = False
-        for _ in range(passes):
-            moved = False
-            for v in sorted(graph):
-                to: dict = defaultdict(float)
-                for o, w in graph[v].items():
-                    if o != v:
-                        to[com[o]] += w
-                here = com[v]
-                weight[here] -= strength[v]
-                gain = lambda c: to.get(c, 0.0) - gamma * weight[c] * strength[v] / total  # noqa: B023, E731
-                best, most = here, gain(here)
-                for c in sorted(to):
-                    if (g := gain(c)) > most + 1e-12:
-                        best, most = c, g
-                weight[best] += strength[v]
-                if best != here:
-                    com[v] = best
-                    moved = moved_any = True
-            if not moved:
-                break
-        if not moved_any:
-            break
-        joined: dict = defaultdict(set)
-        folded: dict = defaultdict(lambda: defaultdict(float))
-        for v, n in graph.items():
-            joined[com[v]] |= members[v]
-            for o, w in n.items():
-                folded[com[v]][com[o]] += w
-        members, graph = dict(joined), {v: dict(n) for v, n in folded.items()}
-    return {x: min(group) for group in members.values() for x in group}
-
-
 def _quality(inside: int, squares: int, total: int, gamma: float) -> float:
     """Modularity from whole numbers, so that every way of summing gives the same."""
     return 2 * inside / total - gamma * squares / (total * total)

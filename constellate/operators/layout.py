@@ -14,7 +14,9 @@ from constellate.session import materialize, release
 def macro_layout(communities: list, affinities: dict, bound: float = 3200.0, seed: int = 42, rounds: int = 400) -> dict:
     """{community: (x, y)}: force-directed places of communities, the farthest at 0.7 of ``bound``.
 
-    Runs on the table of communities (at most a few hundred), not of nodes.  Links pull by the squared affinity.
+    The published method of Fruchterman and Reingold (Graph drawing by force-directed placement, 1991): all push one
+    another off by k * k / d, links pull by the squared affinity times d * d / k, and steps are limited by a falling heat.
+    Runs on the table of communities (at most a few hundred), not of nodes.
     """
     order = sorted(communities)
     n = len(order)

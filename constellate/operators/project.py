@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 from constellate.session import materialize
 
 
-def damping(n: Column) -> Column:
-    """Weight of one member in a container of ``n``: two members' product is 1 / log2(n)."""
-    return 1.0 / F.sqrt(F.log2(F.greatest(F.lit(2.0), n.cast("double"))))
-
-
 def incidence(df: DataFrame, container: str, member: str) -> DataFrame:
     """Distinct (container, member) without nulls."""
     return df.select(F.col(container).alias("container"), F.col(member).alias("member")).where(

@@ -86,35 +86,36 @@ def accept_in_order(rows: DataFrame, links: DataFrame, cap: int | None = 2) -> D
     """(id, accepted): acceptance one by one in the order of ``seq``, decided in parallel.
 
     A row is rejected if it is linked to an accepted earlier one (a copy), or if ``cap`` earlier rows of its ``curator``
-    are accepted already; rejected rows do not count.  ``rows`` is (id, seq, curator), ``links`` (a, b).  In each round a
-    row is decided as soon as its earlier copies are decided and its curator's earlier rows are, or enough are accepted;
-    the rounds end after the longest chain of rows that truly wait for one another.
+    are accepted already; rejected rows do not count.  ``rows`` is (id, seq, curator), ``links`` (a, b); a null curator is
+    one.  Rounds work on the undecided rows alone: copies of accepted rows and rows of curators at their cap go; of each
+    curator the first rows that its cap leaves room for are accepted, unless they wait for an undecided row that they are
+    linked to.  Map tasks send at most ``cap`` rows of a curator, however many it has, and the rounds end after the longest
+    chain of rows that truly wait for one another.
     """
-    r = materialize(rows.select("id", "seq", "curator"), "accept")
-    order = r.select("id", "seq")
+    every = materialize(rows.select("id", "seq", "curator"), "accept")
+    order = every.select("id", "seq")
     e = links.join(order.toDF("a", "sa"), "a").join(order.toDF("b", "sb"), "b").select(
         F.when(F.col("sa") < F.col("sb"), F.col("a")).otherwise(F.col("b")).alias("earlier"),
         F.when(F.col("sa") < F.col("sb"), F.col("b")).otherwise(F.col("a")).alias("id"))
     e = materialize(e.distinct(), "accept")
-    state = materialize(r.withColumn("accepted", F.lit(None).cast("boolean")), "accept")
-    while state.where("accepted is null").limit(1).count():
-        seen = state.select(F.col("id").alias("earlier"), F.col("accepted").alias("was"))
-        dup = e.join(seen, "earlier").groupBy("id").agg(
-            F.coalesce(F.max("was"), F.lit(False)).alias("copy"), F.max(F.col("was").isNull()).alias("waits"))
-        w = Window.partitionBy("curator").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-        step = state.join(dup, "id", "left").withColumn("copy", F.coalesce("copy", F.lit(False))).withColumn("waits", F.coalesce("waits", F.lit(False)))
-        if cap is None:
-            full, free = F.lit(False), F.lit(True)
-        else:
-            taken = F.coalesce(F.sum(F.when(F.col("accepted"), 1).otherwise(0)).over(w), F.lit(0))
-            open_ = F.coalesce(F.sum(F.when(F.col("accepted").isNull(), 1).otherwise(0)).over(w), F.lit(0))
-            full, free = taken >= cap, (open_ + taken) < cap
-            # With undecided rows before it, a row may be accepted only if even all of them together leave room.
-        verdict = (
-            F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.col("copy") | full, F.lit(False)).when(~F.col("waits") & free, F.lit(True))
-        )
-        state = materialize(step.select("id", "seq", "curator", verdict.alias("accepted")), "accept")
-    return state.select("id", "accepted")
+    todo, accepted = every, materialize(every.select("id", "curator").limit(0), "accept")
+    while todo.limit(1).count():
+        used = accepted.groupBy(F.col("curator").alias("__c")).agg(F.count(F.lit(1)).alias("used"))
+        same = F.col("curator").eqNullSafe(F.col("__c"))
+        copies_ = e.join(accepted.select(F.col("id").alias("earlier")), "earlier", "left_semi").select("id").distinct()
+        todo = todo.join(copies_, "id", "left_anti")
+        if cap is not None:
+            todo = todo.join(used.where(F.col("used") >= cap), same, "left_anti")
+        todo = materialize(todo.select("id", "seq", "curator"), "accept")
+        waits = e.join(todo.select(F.col("id").alias("earlier")), "earlier", "left_semi").select("id").distinct()
+        heads = todo
+        if cap is not None:
+            heads = todo.withColumn("rank", F.row_number().over(Window.partitionBy("curator").orderBy("seq"))).where(F.col("rank") <= cap)
+            heads = heads.join(used, same, "left").where(F.col("rank") <= cap - F.coalesce("used", F.lit(0)))
+        new = materialize(heads.join(waits, "id", "left_anti").select("id", "curator"), "accept")
+        accepted = materialize(accepted.unionByName(new), "accept")
+        todo = materialize(todo.join(new.select("id"), "id", "left_anti"), "accept")
+    return every.select("id").join(accepted.select("id", F.lit(True).alias("was")), "id", "left").select("id", F.coalesce("was", F.lit(False)).alias("accepted"))
 
 
 def replay_in_order(rows: Iterator[tuple], links: set, cap: int | None) -> dict:

@@ -109,14 +109,6 @@ def salted_counts(df: DataFrame, keys: Sequence[str], salts: int = 16) -> DataFr
 # ---- on the tables of this project ---------------------------------------------------------------------------------
 
 
-def credits(playlists: DataFrame) -> DataFrame:
-    """(id, artist_id), one row per credited track; rows with a null or empty track list, id or artist_id give none."""
-    return (
-        playlists.select("id", F.explode(F.col("tracks.artist_id")).alias("artist_id"))
-        .where(F.col("artist_id").isNotNull() & (F.col("artist_id") != "") & F.col("id").isNotNull())
-    )
-
-
 def playlists_per_artist(playlists: DataFrame) -> DataFrame:
     """(artist_id, n_playlists, n_credits): distinct playlist ids of every credited artist, and credits over all rows."""
     per_row = playlists.select(

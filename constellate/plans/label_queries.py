@@ -82,15 +82,23 @@ def copy_links(spark: SparkSession, d: str) -> DataFrame:
     return Q.copies(_tracks(spark, d), "id", "videoId", 0.9)[1]
 
 
-def sequential_accept(spark: SparkSession, d: str) -> DataFrame:
+def _accepted(spark: SparkSession, d: str, at: str) -> DataFrame:
     membership, links = Q.copies(_tracks(spark, d), "id", "videoId", 0.9)
-    seq = F.struct("harvested_at", "id")
-    rows = playlists(spark, d).select("id", seq.alias("seq"), F.col("author_id").alias("curator"))
+    rows = playlists(spark, d).select("id", F.struct(at, "id").alias("seq"), F.col("author_id").alias("curator"))
     # A copy is linked to the first of its class, and classes to classes.
     within = membership.where(F.col("id") != F.col("class")).select(F.col("class").alias("a"), F.col("id").alias("b"))
     return Q.accept_in_order(rows, links.select("a", "b").unionByName(within), 2)
 
 
+def sequential_accept(spark: SparkSession, d: str) -> DataFrame:
+    return _accepted(spark, d, "harvested_at")
+
+
+def reload_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Lists that stay when stored ones are loaded again and the guards applied in the order of loading."""
+    return _accepted(spark, d, "loaded_at").where("accepted").select("id")
+
+
 def survivors(spark: SparkSession, d: str) -> DataFrame:
     t = _tracks(spark, d).where("artist_id is not null and artist_id != ''").select("artist_id", "unit").distinct()
     return t.groupBy("artist_id").agg(F.count(F.lit(1)).alias("units")).where("units >= 4")
@@ -329,7 +337,7 @@ def competitors(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    related_anchors, community_titles, frequent_titles, song_votes, credit_by_title, shared_word_match, competitors, system_lists, no_tracks, size_guard, dominant_member_guard, curator_cap, uploader_channels, consensus_members, copy_classes, copy_links, sequential_accept,
+    related_anchors, community_titles, frequent_titles, song_votes, credit_by_title, shared_word_match, competitors, system_lists, no_tracks, size_guard, dominant_member_guard, curator_cap, uploader_channels, consensus_members, copy_classes, copy_links, sequential_accept, reload_replay,
     survivors, provenance, budgeted_expansion, known_ids, credit_keys, credit_resolution, joint_credits, tiered_name_match, shared_names, display_case, merged_entities,
     vocabulary_match, names_of_items, evidence, core_labels, label_votes, label_votes_leave_one_out, judged_labels, seed_label, lift_table, lift_ranking, tag_tiers,
     neighbour_check, anchors, round_robin_anchors)}
@@ -420,6 +428,23 @@ _TITLE_SONG = f"""lower(trim({compat("regexp_split_to_array(title, '(?i)\\s*[\\(
 _TAGS = f'(SELECT DISTINCT id, community, unnest(tags) AS tag FROM (SELECT id, "continentId" AS community, "topSubgenres" AS tags FROM {NODES} WHERE "continentId" IS NOT NULL))'
 _SHOWN = shown_sql("tag")
 
+def _accept_sql(order: str) -> str:
+    """Acceptance row by row in an order: no copies of accepted rows, two of each curator."""
+    return f"""WITH RECURSIVE sets AS (SELECT id, list_sort(list(DISTINCT "videoId")) AS xs FROM {_TR} WHERE "videoId" IS NOT NULL GROUP BY 1),
+        p AS (SELECT id, coalesce(author_id, '?') AS curator, row_number() OVER (ORDER BY {order}, id) AS n FROM {PLAYLISTS}),
+        item AS (SELECT id, unnest(xs) AS v, len(xs) AS n FROM sets),
+        pairs AS (SELECT a.id AS x, b.id AS y FROM item a JOIN item b ON a.v = b.v AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.9 * least(a.n, b.n) - 1e-9),
+        class AS (SELECT id, min(id) OVER (PARTITION BY xs) AS head FROM sets),
+        linked AS (SELECT x, y FROM pairs WHERE x IN (SELECT head FROM class) AND y IN (SELECT head FROM class) UNION SELECT head, id FROM class WHERE head <> id),
+        near AS (SELECT id, list(o) AS others FROM (SELECT x AS id, y AS o FROM linked UNION SELECT y, x FROM linked) GROUP BY 1),
+        row AS (SELECT p.n, p.id, p.curator, coalesce(others, []) AS others FROM p LEFT JOIN near USING (id)),
+        step(n, accepted, curators, ok, id) AS (
+          SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false, '' UNION ALL
+          SELECT n, CASE WHEN ok THEN list_append(accepted, id) ELSE accepted END, CASE WHEN ok THEN list_append(curators, curator) ELSE curators END, ok, id FROM (
+            SELECT r.n, r.id, r.curator, s.accepted, s.curators, NOT list_has_any(r.others, s.accepted) AND len(list_filter(s.curators, lambda c: c = r.curator)) < 2 AS ok FROM step s JOIN row r ON r.n = s.n + 1))
+        SELECT id, ok AS accepted FROM step WHERE n > 0"""
+
+
 ORACLES = {
     "related_anchors": f"""SELECT label, container, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, container) AS rank FROM (
         SELECT label, container, round(votes / size, {R}) AS score FROM {_ranked(_votes(f'(SELECT * FROM {_M} SEMI JOIN {_S} USING (container))', _EV, _S), _SIZE)} SEMI JOIN {_S} USING (container, label) WHERE {_CLEAR})) WHERE rank <= 10""",
@@ -445,19 +470,8 @@ ORACLES = {
           FROM w t JOIN w k USING (name) WHERE starts_with(t.artist_id, 'name_') AND starts_with(k.artist_id, 'yt_'))
         SELECT target, candidate, CAST(shared AS INTEGER) AS shared FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY shared DESC, fans DESC, candidate) AS r FROM c
           WHERE shared >= CASE WHEN len(words) = 0 THEN 0 WHEN contains(name, ' ') THEN 1 ELSE 2 END) WHERE r = 1""",
-    "sequential_accept": f"""WITH RECURSIVE sets AS (SELECT id, list_sort(list(DISTINCT "videoId")) AS xs FROM {_TR} WHERE "videoId" IS NOT NULL GROUP BY 1),
-        p AS (SELECT id, coalesce(author_id, '?') AS curator, row_number() OVER (ORDER BY harvested_at, id) AS n FROM {PLAYLISTS}),
-        item AS (SELECT id, unnest(xs) AS v, len(xs) AS n FROM sets),
-        pairs AS (SELECT a.id AS x, b.id AS y FROM item a JOIN item b ON a.v = b.v AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.9 * least(a.n, b.n) - 1e-9),
-        class AS (SELECT id, min(id) OVER (PARTITION BY xs) AS head FROM sets),
-        linked AS (SELECT x, y FROM pairs WHERE x IN (SELECT head FROM class) AND y IN (SELECT head FROM class) UNION SELECT head, id FROM class WHERE head <> id),
-        near AS (SELECT id, list(o) AS others FROM (SELECT x AS id, y AS o FROM linked UNION SELECT y, x FROM linked) GROUP BY 1),
-        row AS (SELECT p.n, p.id, p.curator, coalesce(others, []) AS others FROM p LEFT JOIN near USING (id)),
-        step(n, accepted, curators, ok, id) AS (
-          SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false, '' UNION ALL
-          SELECT n, CASE WHEN ok THEN list_append(accepted, id) ELSE accepted END, CASE WHEN ok THEN list_append(curators, curator) ELSE curators END, ok, id FROM (
-            SELECT r.n, r.id, r.curator, s.accepted, s.curators, NOT list_has_any(r.others, s.accepted) AND len(list_filter(s.curators, lambda c: c = r.curator)) < 2 AS ok FROM step s JOIN row r ON r.n = s.n + 1))
-        SELECT id, ok AS accepted FROM step WHERE n > 0""",
+    "sequential_accept": _accept_sql("harvested_at"),
+    "reload_replay": f"SELECT id FROM ({_accept_sql('loaded_at')}) WHERE accepted",
     "frequent_titles": f"SELECT artist_id, title, n, rank FROM {_FREQ} WHERE rank <= 5",
     "song_votes": f"""WITH s AS (SELECT name, song FROM (SELECT artist_id AS name, {_TITLE_SONG} AS song, min(rank) AS rank FROM {_FREQ} GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY name ORDER BY rank, song) <= 5),
         v AS (SELECT s.name, o.name AS artist, count(DISTINCT song) AS votes FROM s JOIN {_OFF} o USING (song) GROUP BY 1, 2), b AS (SELECT *, max(votes) OVER (PARTITION BY name) AS best FROM v),

@@ -295,9 +295,20 @@ def _centres(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d).where("x is not null and community is not null").groupBy("community").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
-def _centre_rows(spark: SparkSession, d: str) -> DataFrame:
+def _centre_rows(spark: SparkSession, d: str, centres: DataFrame | None = None) -> DataFrame:
     n = _nodes(spark, d).select("id", "community", F.get("tags", F.lit(0)).alias("tag"))
-    return L.micro_centres(n, _centres(spark, d))
+    return L.micro_centres(n, _centres(spark, d) if centres is None else centres)
+
+
+def _macro_centres(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the communities by their affinities; a table of one row a community, of which there are few."""
+    from constellate.operators.graph import affinity
+
+    m = _nodes(spark, d).where("community is not null").select(F.col("id").alias("node"), "community")
+    pulls = {(r["a"], r["b"]): r["affinity"] for r in affinity(atlas_edges(spark, d), m, "source", "target").collect()}
+    most = max(pulls.values(), default=1.0)
+    places = L.macro_layout([r[0] for r in table(spark, d, "continents").select("id").collect()], {k: v / most for k, v in pulls.items()})
+    return spark.createDataFrame([(c, x, y) for c, (x, y) in places.items()], "community int, x double, y double")
 
 
 def micro_centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -314,7 +325,10 @@ def spring_step(spark: SparkSession, d: str) -> DataFrame:
 
 
 def springs(spark: SparkSession, d: str) -> DataFrame:
-    start = L.jitter(_centre_rows(spark, d)).join(_state(spark, d).drop("x", "y"), "id")
+    """Nodes from jittered places around the tags of their communities, which the macro layout has placed, to rest."""
+    aims = _centre_rows(spark, d, _macro_centres(spark, d))
+    n = _nodes(spark, d).select("id", "community")
+    start = L.jitter(aims).join(aims, "id").join(n, "id").withColumn("vx", F.lit(0.0)).withColumn("vy", F.lit(0.0))
     return L.springs(start.select("id", "x", "y", "vx", "vy", "cx", "cy", "community"), atlas_edges(spark, d), 300).select("id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 

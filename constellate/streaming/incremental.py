@@ -19,16 +19,22 @@ def running_cap(stream: DataFrame, key: str, order: str, cap: int = 2) -> DataFr
 
     def step(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable").head(max(0, cap - used))
+        rows = None
+        for f in frames:  # never more than one frame and the rows that may still pass
+            rows = (f if rows is None else pd.concat([rows, f])).sort_values(order, kind="stable").head(max(0, cap - used))
         state.update((used + len(rows),))
         yield rows
 
     return stream.groupBy(key).applyInPandasWithState(step, schema, "used long", "append", GroupStateTimeout.NoTimeout)
 
 
-def unseen(stream: DataFrame, keys: list[str], rejected: DataFrame | None = None) -> DataFrame:
-    """First row of each key over the whole stream, without keys of a table of rejected ones."""
-    s = stream.dropDuplicates(keys)
+def unseen(stream: DataFrame, keys: list[str], rejected: DataFrame | None = None, at: str | None = None, late: str = "7 days") -> DataFrame:
+    """First row of each key over the whole stream, without keys of a table of rejected ones.
+
+    The state grows with the distinct keys, for ever.  With an event time ``at`` a key is remembered for ``late`` only, which
+    bounds the state, and rows that come later than that are left out.
+    """
+    s = stream.dropDuplicates(keys) if at is None else stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
     return s if rejected is None else s.join(rejected.select(*keys), keys, "left_anti")
 
 

@@ -101,12 +101,6 @@ def test_communities_of_two_cliques(spark):
         assert {got[v] for v in range(6)} == {0} and {got[v] for v in range(10, 16)} == {10}
 
 
-def test_a_path_of_seventy_hops(spark):
-    e = frame(spark, [(k, k + 1, 0.5) for k in range(70)], "source int, target int, weight double")
-    rows = G.strongest_shortest_path(e, 0, 70).collect()
-    assert [(r.hop, r.node) for r in rows] == [(k, k) for k in range(71)] and math.isclose(rows[-1].score, 70 * math.log(0.5))
-
-
 def cliques(sizes, inner=1.0):
     at, out = 0, []
     for n in sizes:
