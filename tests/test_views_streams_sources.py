@@ -50,7 +50,8 @@ def test_macro_layout_is_bounded_and_repeats():
 
 
 def test_html_rows_and_json(spark, tmp_path):
-    html = "<table><tr><td>1</td><td><a href='x'>R&amp;B </a></td></tr><tr><td>no</td></tr><tr><td class=r>2</td> <a>Pop</a></tr></table>"
+    row = '<tr><td class=r>%d</td> <td><a href="play">no</a><a class="x" href="everynoise1d-%d.html">%s</a></td></tr>'
+    html = "<table>" + row % (1, 1, "R&amp;B ") + "<tr><td>no</td></tr>" + row % (2, 2, "Pop") + '<tr><td>3</td><td><a href="other">none</a></td></tr></table>'
     pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page int, html string")
     assert [(r.page, r.rank, r.name) for r in tables.html_rows(pages, "html", ["page"]).orderBy("rank").collect()] == [(1, 1, "r&b"), (1, 2, "pop")]
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
