@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from constellate.session import materialize
-
 
 def incidence(df: DataFrame, container: str, member: str) -> DataFrame:
     """Distinct (container, member) without nulls."""
@@ -19,11 +17,6 @@ def incidence(df: DataFrame, container: str, member: str) -> DataFrame:
         F.col("container").isNotNull() & F.col("member").isNotNull()).distinct()
 
 
-def _sized(df: DataFrame, container: str, member: str) -> DataFrame:
-    """The distinct incidences, written once, as all that follows reads them more than once."""
-    return materialize(incidence(df, container, member), "incidence")
-
-
 def _pairs(inc: DataFrame, block: int = 512) -> DataFrame:
     """(i, j, n): members i < j of one container, with the container's size; one row per container and pair."""
     sets = inc.groupBy("container").agg(F.count(F.lit(1)).alias("n"))
@@ -62,12 +55,12 @@ def project(df: DataFrame, container: str, member: str, block: int = 512) -> Dat
 
     Repeated rows count once, nulls not at all; an empty input gives an empty result.
     """
-    return _projected(_sized(df, container, member), block)
+    return _projected(incidence(df, container, member), block)
 
 
 def shared_units(df: DataFrame, unit: str, member: str, block: int = 512) -> DataFrame:
     """(i, j, units): independent units in which both members occur, in the same container or not."""
-    return _pairs(_sized(df, unit, member), block).groupBy("i", "j").agg(F.count(F.lit(1)).alias("units"))
+    return _pairs(incidence(df, unit, member), block).groupBy("i", "j").agg(F.count(F.lit(1)).alias("units"))
 
 
 def _diagonal(inc: DataFrame) -> DataFrame:
@@ -80,7 +73,7 @@ def _diagonal(inc: DataFrame) -> DataFrame:
 
 def marginals(df: DataFrame, container: str, member: str) -> DataFrame:
     """(member, damped, raw): the diagonal of the projection."""
-    return _diagonal(_sized(df, container, member))
+    return _diagonal(incidence(df, container, member))
 
 
 def degree_bound(damped: Column) -> Column:
@@ -96,8 +89,8 @@ def similar_members(
     A pair is kept if its similarity reaches ``cutoff`` and, where either member is in ``support`` containers or more,
     they share at least two.  The percentages are the shared share of each member's containers, to one decimal.
     """
-    inc = _sized(df, container, member)
-    m = materialize(_diagonal(inc), "marginals")  # a known size: small ones are broadcast to both sides of a pair
+    inc = incidence(df, container, member)
+    m = _diagonal(inc)
     p = _projected(inc, block)
     left = m.select(F.col("member").alias("i"), F.col("damped").alias("d_i"), F.col("raw").alias("r_i"))
     right = m.select(F.col("member").alias("j"), F.col("damped").alias("d_j"), F.col("raw").alias("r_j"))
