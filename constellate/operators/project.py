@@ -1,15 +1,25 @@
 """Bipartite projection: members that share containers, with damped weights, and the sparse graph made of them.
 
-Containers become one sorted array each and emit their pairs inside code generation, so that a container's rows are
-shuffled once; containers above ``block`` members are cut into hashed chunks whose pairs of chunks are joined as blocks
-of their own.  All three counts of a pair (damped, raw and, on demand, independent units) come from one aggregation.
+Members are numbered in their order and cut into chunks.  A container's members in two chunks make one row of two short
+arrays, sent to the block of these two chunks; a block counts its pairs in a dense table and hands out each pair once, with
+all its counts (damped, raw, independent units).  So no pair is ever shuffled or written before its counts are complete
+and tested: disk follows the containers' rows, each sent once for every other chunk that its container has, not the pairs.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from constellate.operators.ranking import global_rank
+from constellate.session import materialize, release
+
 
 def incidence(df: DataFrame, container: str, member: str) -> DataFrame:
     """Distinct (container, member) without nulls."""
@@ -17,50 +27,175 @@ def incidence(df: DataFrame, container: str, member: str) -> DataFrame:
         F.col("container").isNotNull() & F.col("member").isNotNull()).distinct()
 
 
-def _pairs(inc: DataFrame, block: int = 512) -> DataFrame:
-    """(i, j, n): members i < j of one container, with the container's size; one row per container and pair."""
-    sets = inc.groupBy("container").agg(F.count(F.lit(1)).alias("n"))
-    huge = sets.where(F.col("n") > block)
-    small = (
-        inc.join(huge.select("container"), "container", "left_anti").groupBy("container")
-        .agg(F.array_sort(F.collect_list("member")).alias("ms")).where(F.size("ms") > 1)
-        .select("ms", F.size("ms").alias("n"))
-    )
-    after = lambda ms: F.slice(ms, F.col("pos") + 2, F.size(ms))
-    ordinary = (
-        small.select("n", "ms", F.posexplode("ms").alias("pos", "i")).select("n", "i", F.explode(after("ms")).alias("j"))
-    )
-    # Chunks of a huge container as arrays: all pairs within each, and each two of them once as a block of their own.
-    chunks = (
-        inc.join(huge, "container").withColumn("k", F.ceil(F.col("n") / block).cast("int"))
-        .withColumn("c", F.pmod(F.xxhash64("member"), F.col("k")).cast("int"))
-        .groupBy("container", "n", "k", "c").agg(F.array_sort(F.collect_list("member")).alias("ms"))
-    )
-    within = chunks.select("n", "ms", F.posexplode("ms").alias("pos", "i")).select("n", "i", F.explode(after("ms")).alias("j"))
-    sent = chunks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("c != o")
-    first = sent.where("c < o").select("container", "n", F.col("c").alias("a"), F.col("o").alias("b"), "ms")
-    second = sent.where("c > o").select("container", F.col("o").alias("a"), F.col("c").alias("b"), F.col("ms").alias("others"))
-    blocks = first.join(second, ["container", "a", "b"]).select("n", "others", F.explode("ms").alias("x")).select("n", "x", F.explode("others").alias("y")).select(
-        "n", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
-    return ordinary.unionByName(within.select("n", "i", "j").withColumn("n", F.col("n").cast("int"))).unionByName(blocks.withColumn("n", F.col("n").cast("int")))
-
-
-def _projected(inc: DataFrame, block: int) -> DataFrame:
-    return _pairs(inc, block).groupBy("i", "j").agg(
-        F.sum(1.0 / F.log2(F.greatest(F.lit(2.0), F.col("n").cast("double")))).alias("damped"), F.count(F.lit(1)).alias("raw"))
-
-
-def project(df: DataFrame, container: str, member: str, block: int = 512) -> DataFrame:
+#: Members of a chunk at most: a block's tables take 12 bytes for each pair of members of two chunks.
+BLOCK = 2048
+
+
+@dataclass
+class _Chunks:
+    """``members`` (member, c, k, d, r): chunk, place in it and marginals in the first layer; ``rows`` (layer, container, n,
+    c, ks) for each layer: a container, its size and the places of its members in one chunk.  All are written once."""
+
+    members: DataFrame
+    rows: list[DataFrame]
+    count: int
+
+
+def _chunked(layers: Sequence[DataFrame], block: int) -> _Chunks:
+    """``layers`` are distinct (container, member)."""
+    layers = [materialize(x, "incidence") for x in layers]
+    every = layers[0].select("member")
+    for x in layers[1:]:
+        every = every.unionByName(x.select("member"))
+    ranked = global_rank(every.distinct(), [F.asc("member")])
+    total = ranked.count()
+    # Small tables are cut finer, so that there are some blocks to share out.
+    size = max(1, min(block, 32_767, max(64, math.ceil(total / 6))))
+    placed = materialize(ranked.select("member", F.floor(F.col("rank") / size).cast("int").alias("c"), (F.col("rank") % size).cast("smallint").alias("k")), "members")
+
+    def rows(inc: DataFrame, layer: int) -> DataFrame:
+        inc = inc.join(placed, "member").select("container", "c", "k").repartition("container")
+        return inc.groupBy("container", "c").agg(F.array_sort(F.collect_list("k")).alias("ks")).select(
+            F.lit(layer).alias("layer"), "container", F.sum(F.size("ks")).over(Window.partitionBy("container")).alias("n"), "c", "ks")
+
+    parts = [materialize(rows(x, n), "chunks") for n, x in enumerate(layers)]
+    for x in layers:
+        release(x)
+    weight = 1.0 / F.log2(F.greatest(F.lit(2.0), F.col("n").cast("double")))
+    own = parts[0].select("c", weight.alias("w"), F.explode("ks").alias("k")).groupBy("c", "k").agg(F.sum("w").alias("d"), F.count(F.lit(1)).alias("r"))
+    zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    members = materialize(placed.join(own, ["c", "k"], "left").select("member", "c", "k", zero("d", 0.0), zero("r", 0)), "members")
+    return _Chunks(members, parts, -(-total // size))
+
+
+def _add(raw: np.ndarray, damped: np.ndarray | None, ka: pa.ListArray, kb: pa.ListArray, weights: np.ndarray, width: int) -> None:
+    """Count all pairs of the two arrays of each row in the tables of a block."""
+    oa, ob = ka.offsets.to_numpy(), kb.offsets.to_numpy()
+    va, vb = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (ka, kb))
+    na, nb = np.diff(oa), np.diff(ob)
+    pairs = na.astype(np.int64) * nb
+    for r in np.flatnonzero(pairs > 1000):  # places of one row are distinct, and so are their cells
+        cells = (va[oa[r]:oa[r + 1], None] * width + vb[None, ob[r]:ob[r + 1]]).ravel()
+        raw[cells] += 1
+        if damped is not None:
+            damped[cells] += weights[r]
+    few = np.flatnonzero(pairs <= 1000)
+    for part in np.array_split(few, max(1, int(pairs[few].sum()) // 1_000_000)):
+        if not len(part):
+            continue
+        left = np.repeat(part, na[part])  # the row of each left member
+        at = np.arange(len(left)) - np.repeat(np.cumsum(na[part]) - na[part], na[part]) + np.repeat(oa[part], na[part])
+        times = nb[left]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        cells = np.repeat(va[at] * width, times) + vb[np.repeat(ob[left], times) + within]
+        np.add.at(raw, cells, 1)
+        if damped is not None:
+            np.add.at(damped, cells, np.repeat(weights[left], times))
+
+
+@dataclass
+class _Side:
+    """The members of a chunk, by place: names, marginals, and whether they are among the asked ones."""
+
+    member: pa.Array
+    d: np.ndarray
+    r: np.ndarray
+    ok: np.ndarray
+
+
+#: Makes the result of pairs (places i and j in two sides, damped, raw, counts in the second layer).
+_Emit = Callable[[_Side, _Side, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray | None], pa.RecordBatch]
+
+
+def _counted(chunks: _Chunks, emit: _Emit, schema: str, damp: bool = True, second: bool = False, asked: DataFrame | None = None) -> DataFrame:
+    """What ``emit`` makes of the pairs of all blocks; ``second`` counts the second layer, too, ``asked`` (member) sets ``ok``."""
+
+    def paired(rows: DataFrame) -> DataFrame:
+        x = rows.select("layer", "container", F.col("n").cast("bigint").alias("n"), F.col("c").alias("a"), F.col("ks").alias("ka"))
+        y = rows.select("container", F.col("c").alias("b"), F.col("ks").alias("kb"))
+        return x.join(y, "container").where("a < b or (a = b and size(ka) > 1)").select("a", "b", "layer", "n", "ka", "kb")
+
+    pairs = paired(chunks.rows[0])
+    m = chunks.members
+    m = m.withColumn("ok", F.lit(True)) if asked is None else m.join(asked.select("member").distinct().withColumn("ok", F.lit(True)), "member", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    one = m.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("k", "member", "d", "r", "ok"))).alias("s")).select("c", F.struct(*[F.col(f"s.{v}").alias(v) for v in ("member", "d", "r", "ok")]).alias("s"))
+    one = materialize(one, "sides")
+    heads = pairs.select("a", "b").distinct().join(one.toDF("a", "sa"), "a").join(one.toDF("b", "sb"), "b")
+    if second:
+        pairs = pairs.unionByName(paired(chunks.rows[1]))
+    kind = F.lit(None)
+    sent = heads.select("a", "b", F.lit(-1).alias("layer"), kind.cast("bigint").alias("n"), kind.cast("array<smallint>").alias("ka"), kind.cast("array<smallint>").alias("kb"), "sa", "sb").unionByName(
+        pairs.select("*", kind.cast(one.schema["s"].dataType).alias("sa"), kind.cast(one.schema["s"].dataType).alias("sb")))
+    blocks = chunks.count * (chunks.count + 1) // 2
+    tasks = max(1, min(blocks, 8 * chunks.members.sparkSession.sparkContext.defaultParallelism))
+
+    def side(column: pa.StructArray, row: int) -> _Side:
+        v = [column.field(k)[row].values for k in range(4)]
+        return _Side(v[0], *[x.to_numpy(zero_copy_only=False) for x in v[1:]])
+
+    def finish(a: int, b: int, left: _Side, right: _Side, tables: list) -> Iterator[pa.RecordBatch]:
+        width = len(right.r)
+        (raw, damped), units = tables[0], tables[1][0]
+        for top in range(0, len(left.r), max(1, 300_000 // width)):  # some rows of the table at a time
+            lo, hi = top * width, min(len(left.r), top + max(1, 300_000 // width)) * width
+            cells = np.flatnonzero(raw[lo:hi]) + lo
+            i, j = cells // width, cells % width
+            if a == b:
+                i, j, cells = i[i < j], j[i < j], cells[i < j]
+            if len(cells):
+                yield emit(left, right, i, j, None if damped is None else damped[cells], raw[cells], None if units is None else units[cells])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        for batch in batches:
+            a, b, layer = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            cuts = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (layer[1:] != layer[:-1]) | (layer[1:] < 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(a)]):
+                if lo == hi:
+                    continue
+                if layer[lo] < 0:
+                    if at is not None:
+                        yield from finish(*at)
+                    left, right = side(batch.column(6), lo), side(batch.column(7), lo)
+                    cells = len(left.r) * len(right.r)
+                    first = (np.zeros(cells, np.int32), np.zeros(cells) if damp else None)
+                    at = (a[lo], b[lo], left, right, [first, (np.zeros(cells, np.int32) if second else None, None)])
+                elif at is not None and at[:2] == (a[lo], b[lo]):  # a block of the second layer alone has no pairs to count for
+                    w = 1.0 / np.log2(np.maximum(2.0, batch.column(3).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(float)))
+                    _add(*at[4][layer[lo]], batch.column(4).slice(lo, hi - lo), batch.column(5).slice(lo, hi - lo), w, len(at[3].r))
+        if at is not None:
+            yield from finish(*at)
+
+    return sent.repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "layer").mapInArrow(run, schema)
+
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["member"].dataType.simpleString()
+
+
+def project(df: DataFrame, container: str, member: str, block: int = BLOCK) -> DataFrame:
     """(i, j, damped, raw), i < j: damped and raw number of containers that two members share.
 
     Repeated rows count once, nulls not at all; an empty input gives an empty result.
     """
-    return _projected(incidence(df, container, member), block)
+    chunks = _chunked([incidence(df, container, member)], block)
+
+    def emit(left, right, i, j, damped, raw, units) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([left.member.take(pa.array(i)), right.member.take(pa.array(j)), pa.array(damped), pa.array(raw.astype(np.int64))], names=["i", "j", "damped", "raw"])
+
+    kind = _kind(chunks.members)
+    return _counted(chunks, emit, f"i {kind}, j {kind}, damped double, raw bigint")
 
 
-def shared_units(df: DataFrame, unit: str, member: str, block: int = 512) -> DataFrame:
+def shared_units(df: DataFrame, unit: str, member: str, block: int = BLOCK) -> DataFrame:
     """(i, j, units): independent units in which both members occur, in the same container or not."""
-    return _pairs(incidence(df, unit, member), block).groupBy("i", "j").agg(F.count(F.lit(1)).alias("units"))
+    chunks = _chunked([incidence(df, unit, member)], block)
+
+    def emit(left, right, i, j, damped, raw, units) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([left.member.take(pa.array(i)), right.member.take(pa.array(j)), pa.array(raw.astype(np.int64))], names=["i", "j", "units"])
+
+    kind = _kind(chunks.members)
+    return _counted(chunks, emit, f"i {kind}, j {kind}, units bigint", damp=False)
 
 
 def _diagonal(inc: DataFrame) -> DataFrame:
@@ -81,27 +216,54 @@ def degree_bound(damped: Column) -> Column:
     return F.least(F.lit(24), F.greatest(F.lit(4), F.floor(4 * F.sqrt(F.greatest(F.lit(1.0), damped))))).cast("bigint")
 
 
+def _similar(chunks: _Chunks, cutoff: float, support: int, asked: DataFrame | None = None) -> DataFrame:
+    def emit(left, right, i, j, damped, raw, units) -> pa.RecordBatch:
+        keep, sim = _kept(left, right, i, j, damped, raw, cutoff, support)
+        i, j = i[keep], j[keep]
+        return pa.RecordBatch.from_arrays(
+            [left.member.take(pa.array(i)), right.member.take(pa.array(j)), pa.array(sim[keep]), pa.array(raw[keep].astype(np.int64)), pa.array(left.r[i]), pa.array(right.r[j])],
+            names=["i", "j", "similarity", "raw", "r_i", "r_j"])
+
+    kind = _kind(chunks.members)
+    return _counted(chunks, emit, f"i {kind}, j {kind}, similarity double, raw bigint, r_i bigint, r_j bigint", asked=asked).select(
+        "i", "j", "similarity", "raw", F.round(100.0 * F.col("raw") / F.col("r_i"), 1).alias("source_percent"),
+        F.round(100.0 * F.col("raw") / F.col("r_j"), 1).alias("target_percent"))
+
+
+def _kept(left: _Side, right: _Side, i: np.ndarray, j: np.ndarray, damped: np.ndarray, raw: np.ndarray, cutoff: float, support: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs are similar and no fluke, with both ends asked for; and all similarities."""
+    sim = damped / np.sqrt(left.d[i] * right.d[j])
+    return (((left.r[i] < support) & (right.r[j] < support)) | (raw >= 2)) & (sim >= cutoff) & left.ok[i] & right.ok[j], sim
+
+
 def similar_members(
-    df: DataFrame, container: str, member: str, cutoff: float = 0.08, support: int = 30, block: int = 512
+    df: DataFrame, container: str, member: str, cutoff: float = 0.08, support: int = 30, block: int = BLOCK
 ) -> DataFrame:
     """(i, j, similarity, raw, source_percent, target_percent): cosine of damped counts, where it is no fluke.
 
     A pair is kept if its similarity reaches ``cutoff`` and, where either member is in ``support`` containers or more,
     they share at least two.  The percentages are the shared share of each member's containers, to one decimal.
     """
-    inc = incidence(df, container, member)
-    m = _diagonal(inc)
-    p = _projected(inc, block)
-    left = m.select(F.col("member").alias("i"), F.col("damped").alias("d_i"), F.col("raw").alias("r_i"))
-    right = m.select(F.col("member").alias("j"), F.col("damped").alias("d_j"), F.col("raw").alias("r_j"))
-    sim = F.col("damped") / F.sqrt(F.col("d_i") * F.col("d_j"))
-    return (
-        p.join(left, "i").join(right, "j")
-        .where(((F.col("r_i") < support) & (F.col("r_j") < support)) | (F.col("raw") >= 2))
-        .withColumn("similarity", sim).where(F.col("similarity") >= cutoff)
-        .select("i", "j", "similarity", "raw", F.round(100.0 * F.col("raw") / F.col("r_i"), 1).alias("source_percent"),
-                F.round(100.0 * F.col("raw") / F.col("r_j"), 1).alias("target_percent"))
-    )
+    return _similar(_chunked([incidence(df, container, member)], block), cutoff, support)
+
+
+def supported_members(
+    df: DataFrame, container: str, member: str, unit: str, least: int = 2, cutoff: float = 0.08, support: int = 30, block: int = BLOCK
+) -> DataFrame:
+    """:func:`similar_members` whose ends both have an edge backed by ``least`` independent units; columns alike.
+
+    The pairs are counted twice, once to find the backed members and once between these, so that neither the edges nor
+    their units have to be written and joined.
+    """
+    chunks = _chunked([incidence(df, container, member), incidence(df, unit, member)], block)
+
+    def emit(left, right, i, j, damped, raw, units) -> pa.RecordBatch:
+        keep = _kept(left, right, i, j, damped, raw, cutoff, support)[0] & (units >= least)
+        ends = [side.member.take(pa.array(np.unique(at[keep]))) for side, at in ((left, i), (right, j))]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ends)], names=["member"])
+
+    backed = _counted(chunks, emit, f"member {_kind(chunks.members)}", second=True).distinct()
+    return _similar(chunks, cutoff, support, materialize(backed, "backed"))
 
 
 def overlap(source_percent: Column, target_percent: Column) -> Column:
