@@ -32,3 +32,9 @@ def test_projection_counts_pairs_in_blocks(spark, rows):
     got = P.project(rows[1], "c", "m", block=32)
     assert not pairs_moved(got)
     assert {(r.i, r.j): r.raw for r in got.collect()} == counts(rows[0], 0)
+
+
+def test_shared_units_are_counted_in_blocks(spark, rows):
+    got = P.shared_units(rows[1], "u", "m", block=32)
+    assert not pairs_moved(got)
+    assert {(r.i, r.j): r.units for r in got.collect()} == counts(rows[0], 2)
