@@ -38,3 +38,12 @@ def test_shared_units_are_counted_in_blocks(spark, rows):
     got = P.shared_units(rows[1], "u", "m", block=32)
     assert not pairs_moved(got)
     assert {(r.i, r.j): r.units for r in got.collect()} == counts(rows[0], 2)
+
+
+def test_similar_members_are_tested_within_blocks(spark, rows):
+    got = P.similar_members(rows[1], "c", "m", cutoff=0.3, block=32)
+    assert not pairs_moved(got)
+    raw, own = counts(rows[0], 0), Counter(m for _, m in {r[:2] for r in rows[0]})
+    found = got.collect()
+    assert 0 < len(found) < len(raw)
+    assert all(r.raw == raw[r.i, r.j] and r.similarity >= 0.3 and r.source_percent == round(100.0 * r.raw / own[r.i] + 1e-9, 1) for r in found)
