@@ -107,8 +107,7 @@ def strongest_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def supported_nodes(spark: SparkSession, d: str) -> DataFrame:
-    e = _session_edges(spark, d).select("i", "j", "raw")
-    return P.supported_edges(e, P.shared_units(sessions(spark, d), "unit", "member"), 2).select("i", "j", "raw")
+    return P.supported_members(sessions(spark, d), "container", "member", "unit", 2).select("i", "j", "raw")
 
 
 # ---- graph ---------------------------------------------------------------------------------------------------------

@@ -47,3 +47,13 @@ def test_similar_members_are_tested_within_blocks(spark, rows):
     found = got.collect()
     assert 0 < len(found) < len(raw)
     assert all(r.raw == raw[r.i, r.j] and r.similarity >= 0.3 and r.source_percent == round(100.0 * r.raw / own[r.i] + 1e-9, 1) for r in found)
+
+
+def test_supported_members_equal_edges_joined_to_units(spark, rows):
+    rare = spark.createDataFrame([("x1", "y1", "u9"), ("x1", "y2", "u9")], rows[1].schema)
+    df = rows[1].unionByName(rare)
+    got = P.supported_members(df, "c", "m", "u", 4, cutoff=0.25, block=32)
+    assert not pairs_moved(got)
+    want = P.supported_edges(P.similar_members(df, "c", "m", cutoff=0.25), P.shared_units(df, "u", "m"), 4)
+    pairs = sorted((r.i, r.j, r.raw) for r in got.collect())
+    assert pairs == sorted((r.i, r.j, r.raw) for r in want.collect()) and pairs and ("y1", "y2", 1) not in pairs
