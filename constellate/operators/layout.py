@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from constellate.operators.ranking import global_rank
 from constellate.session import materialize, release
 
 
@@ -84,10 +86,53 @@ def spring_step(state: DataFrame, edges: DataFrame, share: float = 0.0) -> DataF
     return s.select("id", (F.col("x") + F.col("vx")).alias("x"), (F.col("y") + F.col("vy")).alias("y"), "vx", "vy", "cx", "cy", "community")
 
 
-def springs(state: DataFrame, edges: DataFrame, steps: int = 30) -> DataFrame:
-    """``steps`` steps, each a join and an aggregation.  A step reads its state three times, so every state is written
-    out, and the one before it deleted."""
+#: Graphs of at most so many links and nodes take the spring steps in one task, in about 100 bytes each.
+IN_ONE = 4_000_000
+
+
+def _springs_in_one(state: DataFrame, e: DataFrame, steps: int) -> DataFrame:
+    """The steps of :func:`spring_step`, on numbers of nodes and in one task, so that nothing is written between them."""
+    ranked = materialize(global_rank(state, [F.asc("id")], "n"), "springs")
+    at = lambda end: ranked.select(F.col("id").alias(end), F.col("n").alias(end[0]), F.col("community").alias(f"{end}_community"))
+    share = F.when(F.col("source_community") == F.col("target_community"), 1.0).otherwise(0.5)
+    links = e.where("weight is not null").join(at("source"), "source").join(at("target"), "target").select("s", "t", (0.04 * F.col("weight") * share).alias("w"))
+    places = ("x", "y", "vx", "vy", "cx", "cy")
+
+    def run(links: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("n")
+        x, y, vx, vy, cx, cy = (nodes[c].to_numpy(float) for c in places)
+        links = links.sort_values(["s", "t"])
+        s, t, w = links["s"].to_numpy(np.int64), links["t"].to_numpy(np.int64), links["w"].to_numpy(float)
+
+        def pulled(z: np.ndarray) -> np.ndarray:
+            f = np.nan_to_num(w * (z[t] - z[s]))  # a link to a node without a place does not pull
+            return np.bincount(s, f, len(z)) - np.bincount(t, f, len(z))
+
+        for k in range(steps):
+            heat = 1.0 - k / steps * 0.75
+            fx, fy = pulled(x), pulled(y)
+            vx = (vx + 0.05 * (fx + 0.035 * (cx - x))) * 0.85 * heat
+            vy = (vy + 0.05 * (fy + 0.035 * (cy - y))) * 0.85 * heat
+            length = np.sqrt(vx * vx + vy * vy) + 1e-4
+            scale = np.minimum(length, 28.0 * heat) / length
+            vx, vy = vx * scale, vy * scale
+            x, y = x + vx, y + vy
+        return pd.DataFrame({"n": nodes["n"].to_numpy(), "x": x, "y": y, "vx": vx, "vy": vy})
+
+    one = F.lit(1).alias("one")
+    moved = links.select(one, "s", "t", "w").groupBy("one").cogroup(ranked.select(one, "n", *places).groupBy("one")).applyInPandas(
+        run, "n bigint, x double, y double, vx double, vy double")
+    return materialize(moved.join(ranked.select("n", "id", "cx", "cy", "community"), "n").select("id", "x", "y", "vx", "vy", "cx", "cy", "community"), "springs")
+
+
+def springs(state: DataFrame, edges: DataFrame, steps: int = 30, small: int = IN_ONE) -> DataFrame:
+    """``steps`` steps.  Graphs of at most ``small`` links and nodes take them in one task.  In larger ones each is a join and an
+    aggregation, which reads its state three times, so every state is written out, and the one before it deleted."""
     e = materialize(edges.select("source", "target", "weight"), "springs")
+    if e.count() <= small:
+        state = materialize(state, "springs")
+        if state.count() <= small:
+            return _springs_in_one(state, e, steps)
     for k in range(steps):
         moved = materialize(spring_step(state, e, k / steps), "springs")
         if k:

@@ -9,6 +9,7 @@ import pytest
 from constellate.operators import graph as G
 from constellate.operators import layout as L
 from constellate.plans import label_queries, view_queries
+from constellate.session import materialize
 
 DATA = Path("/root/testdata/sf0.001")
 needs_data = pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
@@ -108,6 +109,21 @@ def test_springs_read_no_state_that_was_deleted(spark):
     assert [r.id for r in few.orderBy("id").collect()] == [1, 2]
 
 
+def test_springs_of_a_small_graph_write_nothing_between_steps(spark, monkeypatch):
+    rng = random.Random(8)
+    state = spark.createDataFrame(
+        [(f"n{k}", rng.random() * 99, rng.random() * 99, 0.0, 0.0, rng.random() * 9, rng.random() * 9, rng.choice([1, 2, None])) for k in range(30)] + [("lone", 5.0, 5.0, 0.0, 0.0, 0.0, None, 1)],
+        "id string, x double, y double, vx double, vy double, cx double, cy double, community int")
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", rng.choice([rng.random(), None])) for a in range(30) for b in range(a) if rng.random() < 0.2] + [("lone", "n1", 0.5), ("n1", "gone", 0.5)], "source string, target string, weight double")
+    written = []
+    monkeypatch.setattr(L, "materialize", lambda df, *a: written.append(1) or materialize(df, *a))
+    one = {r.id: (r.x, r.y) for r in L.springs(state, edges, 12).collect()}
+    assert len(written) < 12
+    spread = {r.id: (r.x, r.y) for r in L.springs(state, edges, 12, small=0).collect()}
+    assert one.keys() == spread.keys() and one["lone"][1] is None
+    assert all(a == b or abs(a - b) < 1e-6 for k in one for a, b in zip(one[k], spread[k]))
+
+
 def test_five_songs_are_counted_after_titles_are_folded(spark, monkeypatch):
     rows = [("name_x", "X", None, f"Sun (Live {k})") for k in range(6) for _ in range(2)] + [("name_x", "X", None, "Rain")]
     rows += [("yt_a", "Ann", "UC1", "Sun"), ("yt_a", "Ann", "UC1", "Rain"), ("yt_b", "Bob", "UC2", "Sun")]
