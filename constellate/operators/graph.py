@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from constellate.operators.project import both_sides
 from constellate.operators.ranking import global_rank
-from constellate.session import materialize
+from constellate.session import materialize, release
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, i: str = "i", j: str = "j") -> DataFrame:
@@ -183,20 +183,29 @@ def fill_within_bounds(candidates: DataFrame, protected: DataFrame, bounds: Data
     """
     bounds = materialize(bounds.select("member", "bound"), "fill")  # read in every round
     taken = materialize(protected.select("i", "j").distinct(), "fill")
-    left = materialize(candidates.select("i", "j", "similarity").join(taken, ["i", "j"], "left_anti"), "fill")
+    most = int(bounds.agg(F.max("bound")).first()[0] or 0)
+    few = F.broadcast if bounds.count() <= 500_000 else lambda df: df
+    left, own = candidates.select("i", "j", "similarity"), None
     while True:
         degree = both_sides(taken).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-        room = bounds.select(F.col("member").alias("node"), "bound").join(degree, "node", "left").select(
-            "node", (F.col("bound") - F.coalesce("d", F.lit(0))).alias("room")).where("room > 0")
-        open_ = left.join(room.toDF("i", "room_i"), "i").join(room.toDF("j", "room_j"), "j")
-        # A pair's rank at a node counts all pairs there, in which it may stand first or second.
-        both = both_sides(open_.select("i", "j", "similarity")).withColumn("a", F.least("node", "other")).withColumn("b", F.greatest("node", "other"))
-        rank = both.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("similarity"), "a", "b")))
+        room = materialize(bounds.select(F.col("member").alias("node"), "bound").join(degree, "node", "left").select(
+            "node", (F.col("bound") - F.coalesce("d", F.lit(0))).alias("room")).where("room > 0"), "fill")
+        left = materialize(left.join(few(room.select(F.col("node").alias("i"))), "i").join(few(room.select(F.col("node").alias("j"))), "j").select("i", "j", "similarity"), "fill")
+        if own is not None:
+            release(own)
+        own = left
+        # A pair's rank at a node counts all pairs there, in which it may stand first or second.  Room and pairs taken make up
+        # the bound, so the first pairs up to the greatest bound hold all that may rank within the room; this fixed number
+        # also cuts what is sent before it is sent.
+        both = both_sides(left).withColumn("a", F.least("node", "other")).withColumn("b", F.greatest("node", "other"))
+        window = Window.partitionBy("node").orderBy(F.desc("similarity"), "a", "b")
+        first = both.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= most).drop("rank")
+        free = first.join(taken.toDF("a", "b"), ["a", "b"], "left_anti")
+        rank = free.withColumn("rank", F.row_number().over(window))
         ok = rank.join(room, "node").where("rank <= room").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
         accepted = materialize(ok.select(F.col("a").alias("i"), F.col("b").alias("j")), "fill")
         if not accepted.limit(1).count():
             return taken
-        left = materialize(open_.select("i", "j", "similarity").join(accepted, ["i", "j"], "left_anti"), "fill")
         taken = materialize(taken.unionByName(accepted), "fill")
 
 
