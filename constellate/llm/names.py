@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -101,6 +103,8 @@ def distance(a: str, b: str, most: int) -> int:
     """Edits (transpositions of neighbours are one) between two words, or ``most + 1`` where there are more."""
     if a == b:
         return 0
+    if abs(len(a) - len(b)) > most:
+        return most + 1
     while a and b and a[-1] == b[-1]:
         a, b = a[:-1], b[:-1]
     i = 0
@@ -109,8 +113,6 @@ def distance(a: str, b: str, most: int) -> int:
     a, b = a[i:], b[i:]
     if not a or not b:
         return min(most + 1, len(a) + len(b))
-    if abs(len(a) - len(b)) > most:
-        return most + 1
     two, one = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -188,6 +190,8 @@ def name_cost(a: Name, b: Name, telling: frozenset[str], edits: int = 2) -> floa
             for way, c in steps:
                 if (best is None or c < best) and c < after.get(way, float("inf")):
                     after[way] = c
+        if not after:
+            return best
         ways = after
     for (used, _, spelt), cost in ways.items():
         rest = [w for i, w in enumerate(a.words) if not used >> i & 1]
@@ -200,77 +204,180 @@ def name_cost(a: Name, b: Name, telling: frozenset[str], edits: int = 2) -> floa
 # ---- trie join -----------------------------------------------------------------------------------------------------
 
 
-def build_trie(words: Iterator[str]) -> dict:
-    root: dict = {}
-    for w in words:
-        node = root
-        for ch in w:
-            node = node.setdefault(ch, {})
-        node[""] = w
-    return root
-
-
-def neighbours(trie: dict, q: str, most: int) -> set[str]:
-    """Words of ``trie`` within ``most`` edits of ``q`` that have at most half of them in the first half of ``q``."""
-    n, half, early = len(q), len(q) // 2, most // 2
-    out: set[str] = set()
-    seen: dict[tuple[int, int], int] = {}
-    stack = [(trie, 0, 0)]
-    while stack:
-        node, i, e = stack.pop()
-        while True:
-            at = (id(node), i)
-            if seen.get(at, most + 1) <= e:
-                break
-            seen[at] = e
-            room = e < (early if i < half else most)
-            if i == n:
-                if "" in node:
-                    out.add(node[""])
-                if room:
-                    stack += [(nxt, i, e + 1) for ch, nxt in node.items() if ch]
-                break
-            c = q[i]
-            if room:
-                stack.append((node, i + 1, e + 1))
-                for ch, nxt in node.items():
-                    if ch:
-                        stack.append((nxt, i, e + 1))
+def _coded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points, letters as bits and the last two letters of words of one length."""
+    length = len(words[0])
+    codes = np.array(words, f"U{length}").view(np.uint32).reshape(len(words), length)
+    letters = np.zeros(len(words), np.uint64)
+    for k in range(length):
+        letters |= np.uint64(1) << (codes[:, k] % 64).astype(np.uint64)
+    return codes, letters, codes[:, -1].astype(np.uint64) << np.uint64(32) | codes[:, max(0, length - 2)]
+
+
+def _close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Whether the words of each row, given by their code points, are within ``most`` edits (as in :func:`distance`)."""
+    rows, n, m, far = len(a), a.shape[1], b.shape[1], most + 1
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    none = np.full(rows, far, np.int8)
+    # A row of the table, along the diagonals that the edits can reach.
+    two, one = [], [none if o < 0 else np.full(rows, o, np.int8) for o in range(-most, most + 1)]
+    for i in range(1, n + 1):
+        row: list[np.ndarray] = []
+        for o in range(2 * most + 1):
+            j = i + o - most
+            if not 0 < j <= m:
+                row.append(none if j else np.full(rows, min(i, far), np.int8))
+                continue
+            d = one[o] + (a[i - 1] != b[j - 1])
+            if o < 2 * most:
+                d = np.minimum(d, one[o + 1] + 1)
+            if o:
+                d = np.minimum(d, row[-1] + 1)
+            if i > 1 and j > 1:
+                d = np.where((a[i - 1] == b[j - 2]) & (a[i - 2] == b[j - 1]), np.minimum(d, two[o] + 1), d)
+            row.append(np.minimum(d, far).astype(np.int8))
+        two, one = one, row
+    return one[m - n + most] <= most
+
+
+class Trie:
+    """Words of one length in order; a node [from, to, nodes below] is a range of them, opened when it is first met."""
+
+    def __init__(self, words: list[str], few: int = 16) -> None:
+        self.words = sorted(words)
+        self.length = len(self.words[0])
+        self.codes, self.letters, self.last = _coded(self.words)
+        self.few = few
+        self.root: list = [0, len(self.words), None]
+
+    def _below(self, node: list, depth: int) -> dict[str, list]:
+        if node[2] is None:
+            lo, hi, _ = node
+            col = self.codes[lo:hi, depth]
+            cuts = [0, *(np.flatnonzero(col[1:] != col[:-1]) + 1).tolist(), hi - lo]
+            node[2] = {chr(col[a]): [lo + a, lo + b, None] for a, b in zip(cuts, cuts[1:])}
+        return node[2]
+
+    def _ranges(self, q: str, most: int) -> list[tuple[int, int, bool]]:
+        """Ranges of words, or of those that end like ``q``, with all within ``most`` edits of which at most half are in its first half.
+
+        The automaton walks the first half.  Where one edit is left for five letters or more, it spares the first two of
+        them or the last two: the former are walked, the latter make a range of words that end alike.
+        """
+        n, half, early, few, shift = len(q), len(q) // 2, most // 2, self.few, self.length - len(q)
+        out: list[tuple[int, int, bool]] = []
+        seen: dict[tuple[int, int], int] = {}
+        stack = [(self.root, 0, 0, 0)]
+        while stack:
+            node, d, i, e = stack.pop()
+            while e - most <= shift + i - d <= most - e:  # what is left in the words and in q differs in length by no more than the edits left
+                lo, hi, below = node
+                if hi - lo <= few or i >= half and (n - i < 5 or most - e > 1):
+                    out.append((lo, hi, False))
+                    break
+                if i >= half:
+                    out.append((lo, hi, True))
+                    if e < most and (nxt := (below or self._below(node, d)).get(q[i])):
+                        if nxt[1] - nxt[0] > few:
+                            nxt = self._below(nxt, d + 1).get(q[i + 1])
+                        if nxt:
+                            out.append((nxt[0], nxt[1], False))
+                    break
+                at = (id(node), i)
+                if seen.get(at, most + 1) <= e:
+                    break
+                seen[at] = e
+                below = below or self._below(node, d)
+                c = q[i]
+                if e < early:
+                    stack.append((node, d, i + 1, e + 1))
+                    for ch, nxt in below.items():
+                        stack.append((nxt, d + 1, i, e + 1))
                         if ch != c:
-                            stack.append((nxt, i + 1, e + 1))
-            if i + 1 < n and q[i + 1] != c and e < (early if i + 1 < half else most):  # across the middle it is a late edit
-                if (nxt := node.get(q[i + 1])) and (nxt := nxt.get(c)):
-                    stack.append((nxt, i + 2, e + 1))
-            node = node.get(c)
-            if node is None:
-                break
-            i += 1
-    return out
-
-
-def trie_join(index: DataFrame, probes: DataFrame, shard_words: int = 20_000, shard_probes: int = 4_000) -> DataFrame:
-    """(probe, word) of all words of ``index`` within ``most`` edits of a probe of the same ``kind``.
-
-    ``index`` has columns kind, word, most (0, 1 or 2 edits allowed against the word); ``probes`` has kind, probe.  No
-    nulls, both distinct.  Exact: two edits leave the first letter or the last untouched, with at most one edit in the
-    half on that side, or else they touch the first and the last letter and leave the middle whole.  Tries are sharded by
-    that letter and direction; shards of more than ``shard_words`` words are split by hash and probed in parts, and so
-    are the probes of a letter where they are more than ``shard_probes``.
-    """
-    spark = index.sparkSession
+                            stack.append((nxt, d + 1, i + 1, e + 1))
+                if i + 1 < n and q[i + 1] != c and e < (early if i + 1 < half else most) and (nxt := below.get(q[i + 1])):  # across the middle it is a late edit
+                    if nxt[1] - nxt[0] <= few:
+                        out.append((nxt[0], nxt[1], False))
+                    elif nxt := self._below(nxt, d + 1).get(c):
+                        stack.append((nxt, d + 2, i + 2, e + 1))
+                node = below.get(c)
+                if node is None:
+                    break
+                d, i = d + 1, i + 1
+        return out
+
+    def near(self, probes: list[str], most: int, chunk: int = 200_000) -> Iterator[tuple[str, str]]:
+        """(probe, word) within ``most`` edits, all with at most half of them in the first half; the probes are of one length."""
+        codes, letters, last = _coded(probes)
+
+        def settle(held: list[tuple[int, int, int, bool]]) -> Iterator[tuple[str, str]]:
+            at, lo, hi, ends = np.array(held, np.int64).T
+            times = hi - lo
+            w = np.arange(times.sum()) + np.repeat(lo - np.cumsum(times) + times, times)
+            keep = np.flatnonzero((self.last[w] == np.repeat(last[at], times)) | np.repeat(ends == 0, times))
+            p, w = at[np.repeat(np.arange(len(at)), times)[keep]], w[keep]
+            a, b = letters[p], self.letters[w]
+            keep = (np.bitwise_count(a & ~b) <= most) & (np.bitwise_count(b & ~a) <= most)
+            p, w = np.divmod(np.unique(p[keep] * len(self.words) + w[keep]), len(self.words))
+            keep = _close(codes[p], self.codes[w], most)
+            yield from ((probes[x], self.words[y]) for x, y in zip(p[keep].tolist(), w[keep].tolist()))
+
+        held, n = [], 0
+        for k, q in enumerate(probes):
+            for lo, hi, ends in self._ranges(q, most):
+                held.append((k, lo, hi, ends))
+                n += hi - lo
+            if n > chunk:
+                yield from settle(held)
+                held, n = [], 0
+        if held:
+            yield from settle(held)
+
+
+def near_pairs(words: Iterable[str], probes: Iterable[str], most: int) -> Iterator[tuple[str, str]]:
+    """(probe, word) within ``most`` edits, all with at most half of them in the first half of the probe; a trie for each length of words."""
+    known, asked = defaultdict(list), defaultdict(list)
+    for group, strings in ((known, words), (asked, probes)):
+        for x in strings:
+            group[len(x)].append(x)
+    for length, ws in known.items():
+        trie = Trie(ws)
+        for n in range(length - most, length + most + 1):
+            if n in asked:
+                yield from trie.near(asked[n], most)
+
+
+def _shards(index: DataFrame, probes: DataFrame, shard_words: int, shard_probes: int) -> DataFrame:
+    """(kind, way, letter, wp, pp, word, most, probe): the words and the probes of every part of every shard of :func:`trie_join`."""
     ends = lambda c: F.explode(F.array(
         F.struct(F.lit("f").alias("way"), F.substring(c, 1, 1).alias("letter")),
         F.struct(F.lit("r").alias("way"), F.substring(c, -1, 1).alias("letter")))).alias("end")
     words = index.where(F.length("word") > 0).select("kind", "word", "most", ends("word")).select("kind", "word", "most", "end.way", "end.letter")
     asked = probes.where(F.length("probe") > 0).select("kind", "probe", ends("probe")).select("kind", "probe", "end.way", "end.letter")
     shard = ["kind", "way", "letter"]
-    sizes = words.groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) / shard_words).cast("int").alias("word_parts")).join(
-        asked.groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) / shard_probes).cast("int").alias("probe_parts")), shard)
+    sizes = words.groupBy(*shard).agg(F.count(F.lit(1)).alias("words")).join(asked.groupBy(*shard).agg(F.count(F.lit(1)).alias("probes")), shard).select(
+        *shard, F.ceil(F.col("words") / shard_words).cast("int").alias("word_parts"),
+        F.ceil(F.col("probes") / F.greatest(F.lit(shard_probes), F.least("words", F.lit(shard_words)) / 2)).cast("int").alias("probe_parts"))
     parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     words = words.join(sizes, shard).withColumn("wp", F.pmod(F.xxhash64("word"), F.col("word_parts")).cast("int")).withColumn("pp", parts("probe_parts"))
     asked = asked.join(sizes, shard).withColumn("pp", F.pmod(F.xxhash64("probe"), F.col("probe_parts")).cast("int")).withColumn("wp", parts("word_parts"))
-    both = words.select(*shard, "wp", "pp", "word", "most", F.lit(None).cast("string").alias("probe")).unionByName(
+    return words.select(*shard, "wp", "pp", "word", "most", F.lit(None).cast("string").alias("probe")).unionByName(
         asked.select(*shard, "wp", "pp", F.lit(None).cast("string").alias("word"), F.lit(None).cast("int").alias("most"), "probe"))
+
+
+def trie_join(index: DataFrame, probes: DataFrame, shard_words: int = 200_000, shard_probes: int = 4_000) -> DataFrame:
+    """(probe, word) of all words of ``index`` within ``most`` edits of a probe of the same ``kind``.
+
+    ``index`` has columns kind, word, most (0, 1 or 2 edits allowed against the word); ``probes`` has kind, probe.  No
+    nulls, both distinct.  Exact: two edits leave the first letter or the last untouched, with at most one edit in the
+    half on that side, or else they touch the first and the last letter and leave the middle whole.  Tries are sharded by
+    that letter and direction; shards of more than ``shard_words`` words are split by hash and probed in parts.  The probes
+    of a letter are split, too, where they are more than ``shard_probes``, but a part has half as many probes as there are
+    words, so that the copies of the words never outgrow the probes.
+    """
+    spark = index.sparkSession
+    shard = ["kind", "way", "letter"]
+    both = _shards(index, probes, shard_words, shard_probes)
     # Work does not follow bytes here: keep the shards apart rather than let small partitions be joined.
     both = both.repartition(4 * spark.sparkContext.defaultParallelism, *shard, "wp", "pp")
 
@@ -278,12 +385,10 @@ def trie_join(index: DataFrame, probes: DataFrame, shard_words: int = 20_000, sh
         known = pdf[pdf["word"].notna()]
         asked = pdf["probe"].dropna().tolist()
         back = pdf["way"].iloc[0] == "r"
-        tries = [(int(m), build_trie(w[::-1] if back else w for w in g)) for m, g in known.groupby("most")["word"]]
-        pairs = []
-        for q in asked:
-            for most, trie in tries:
-                pairs += [(q, w) for w in neighbours(trie, q[::-1] if back else q, most)]
-        return pd.DataFrame({"probe": [p[0] for p in pairs], "word": [p[1][::-1] if back else p[1] for p in pairs]}, dtype=object)
+        turn = (lambda x: x[::-1]) if back else (lambda x: x)
+        asked = [turn(q) for q in asked]
+        pairs = [p for m, g in known.groupby("most")["word"] for p in near_pairs(map(turn, g), asked, int(m))]
+        return pd.DataFrame({"probe": [turn(p[0]) for p in pairs], "word": [turn(p[1]) for p in pairs]}, dtype=object)
 
     grouped = both.groupBy(*shard, "wp", "pp").applyInPandas(
         lambda key, pdf: search(pdf).assign(kind=key[0])[["kind", "probe", "word"]], "kind string, probe string, word string")

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from constellate.llm import names as N
 
@@ -115,3 +116,38 @@ def test_found(spark):
     same = {"name_theodore totekumodo", "name_Ｔheodore Totekumodo"}
     assert got == {("dz_1", "dz_2")} | {("dz_1", x) for x in spelt} | {("dz_2", x) for x in spelt | same}
     assert N.same_artists(playlists.limit(0), nodes.limit(0)).count() == 0
+
+
+def test_tries_find_what_distance_finds():
+    rng = random.Random(8)
+    word = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
+    for letters in ("ab", "abc", "abcdefghij"):
+        words, probes = ({word(letters, 13) for _ in range(400)} for _ in range(2))
+        for most in (0, 1, 2):
+            near = {(q, w) for q in probes for w in words if N.distance(q, w, most) <= most}
+            back = {(q[::-1], w[::-1]) for q, w in N.near_pairs([w[::-1] for w in words], [q[::-1] for q in probes], most)}
+            got = set(N.near_pairs(words, probes, most))
+            assert got <= near and back <= near and (most > 1 or got | back == near)
+            assert all((q, w) in got for q, w in near if q[: len(q) // 2 + 1] == w[: len(q) // 2 + 1])
+
+
+def test_search_of_a_word_grows_slower_than_the_words():
+    rng = random.Random(9)
+    syllable = lambda: rng.choice("frktndblgmps") + rng.choice("aeiou")
+    words = sorted({"la" + "".join(syllable() for _ in range(4)) for _ in range(60_000)})
+    probes = rng.sample(words, 200)
+    visited = []
+    for some in (words[::20], words):
+        trie = N.Trie(some)
+        held = [hi - lo for q in probes for lo, hi, _ in trie._ranges(q, 2)]
+        visited.append(len(held))
+    assert visited[1] < 4 * visited[0]
+
+
+def test_words_of_a_large_shard_are_not_copied_for_every_few_probes(spark):
+    words = [f"l{x:06d}" for x in range(4000)]
+    index = spark.createDataFrame([("k", w, 1) for w in words], "kind string, word string, most int")
+    probes = spark.createDataFrame([("k", w) for w in words], "kind string, probe string")
+    sent = N._shards(index, probes, shard_words=100_000, shard_probes=100).groupBy("way").agg(F.count("word").alias("words"), F.count("probe").alias("probes"))
+    assert all(r.probes == 4000 and r.words <= 2 * r.probes for r in sent.collect())
+    assert {(r.probe, r.word) for r in N.trie_join(index, probes, shard_probes=100).collect()} >= {(w, w) for w in words}
