@@ -1,9 +1,10 @@
 """Bipartite projection: members that share containers, with damped weights, and the sparse graph made of them.
 
-Members are numbered in their order and cut into chunks.  A container's members in two chunks make one row of two short
-arrays, sent to the block of these two chunks; a block counts its pairs in a dense table and hands out each pair once, with
-all its counts (damped, raw, independent units).  So no pair is ever shuffled or written before its counts are complete
-and tested: disk follows the containers' rows, each sent once for every other chunk that its container has, not the pairs.
+Members are numbered in their order and cut into chunks, the chunks into groups.  A container's members in one chunk make
+one row with a short array, sent to every pair of groups that has the chunk's; there each block of two chunks counts its
+pairs in a dense table and hands out each pair once, with all its counts (damped, raw, independent units).  So no pair is
+ever shuffled or written before its counts are complete and tested: disk follows the containers' rows, each sent once for
+every group, not the pairs, nor the chunks that a container has.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ def incidence(df: DataFrame, container: str, member: str) -> DataFrame:
 
 #: Members of a chunk at most: a block's tables take 12 bytes for each pair of members of two chunks.
 BLOCK = 2048
+#: Incidences of a group of chunks, about: a task holds those of two groups.
+GROUP = 2_000_000
 
 
 @dataclass
 class _Chunks:
-    """``members`` (member, c, k, d, r): chunk, place in it and marginals in the first layer; ``rows`` (layer, container, n,
-    c, ks) for each layer: a container, its size and the places of its members in one chunk.  All are written once."""
+    """``members`` (member, c, k, d, r): chunk, place in it and marginals in the first layer; ``rows`` (layer, at, n, c,
+    ks) for each layer: the number of a container, its size and the places of its members in one chunk.  All are written once."""
 
     members: DataFrame
     rows: list[DataFrame]
@@ -55,8 +58,9 @@ def _chunked(layers: Sequence[DataFrame], block: int) -> _Chunks:
 
     def rows(inc: DataFrame, layer: int) -> DataFrame:
         inc = inc.join(placed, "member").select("container", "c", "k").repartition("container")
-        return inc.groupBy("container", "c").agg(F.array_sort(F.collect_list("k")).alias("ks")).select(
-            F.lit(layer).alias("layer"), "container", F.sum(F.size("ks")).over(Window.partitionBy("container")).alias("n"), "c", "ks")
+        each = Window.partitionBy("container")
+        return inc.groupBy("container", "c").agg(F.array_sort(F.collect_list("k")).alias("ks")).withColumn("at", F.monotonically_increasing_id()).select(
+            F.lit(layer).alias("layer"), F.min("at").over(each).alias("at"), F.sum(F.size("ks")).over(each).alias("n"), "c", "ks")
 
     parts = [materialize(rows(x, n), "chunks") for n, x in enumerate(layers)]
     for x in layers:
@@ -93,6 +97,43 @@ def _add(raw: np.ndarray, damped: np.ndarray | None, ka: pa.ListArray, kb: pa.Li
             np.add.at(damped, cells, np.repeat(weights[left], times))
 
 
+@dataclass
+class _Held:
+    """The rows of a chunk in one layer, by the numbers of their containers."""
+
+    at: np.ndarray
+    weights: np.ndarray
+    ks: pa.ListArray
+
+    def matrix(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """1 where a container (row) has a member (column)."""
+        ks = self.ks.take(pa.array(rows))
+        out = np.zeros((len(rows), width), np.float32)
+        out[np.repeat(np.arange(len(rows)), np.diff(ks.offsets.to_numpy())), ks.flatten().to_numpy(zero_copy_only=False)] = 1
+        return out
+
+
+def _tables(a: _Held, b: _Held, wide: int, width: int, damp: bool) -> tuple[np.ndarray, np.ndarray | None] | None:
+    """Raw and damped counts of a block; containers that have many of its members are counted by products of matrices."""
+    x, y = (np.arange(len(a.at)),) * 2 if a is b else np.intersect1d(a.at, b.at, assume_unique=True, return_indices=True)[1:]
+    if not len(x):
+        return None
+    raw, damped = np.zeros(wide * width, np.int32), np.zeros(wide * width) if damp else None
+    sizes = [np.diff(h.ks.offsets.to_numpy()).astype(np.int64) for h in (a, b)]
+    many = sizes[0][x] * sizes[1][y] > wide * width // 50
+    for rows in np.array_split(np.flatnonzero(many), max(1, -(-int(many.sum()) // 512))):
+        if not len(rows):
+            continue
+        left, right = a.matrix(x[rows], wide), b.matrix(y[rows], width)
+        raw += (left.T @ right).ravel().astype(np.int32)
+        if damped is not None:
+            damped += ((left * a.weights[x[rows], None]).T @ right.astype(np.float64)).ravel()
+    if not many.all():
+        x, y = x[~many], y[~many]
+        _add(raw, damped, a.ks.take(pa.array(x)), b.ks.take(pa.array(y)), a.weights[x], width)
+    return raw, damped
+
+
 @dataclass
 class _Side:
     """The members of a chunk, by place: names, marginals, and whether they are among the asked ones."""
@@ -110,32 +151,29 @@ _Emit = Callable[[_Side, _Side, np.ndarray, np.ndarray, np.ndarray | None, np.nd
 def _counted(chunks: _Chunks, emit: _Emit, schema: str, damp: bool = True, second: bool = False, asked: DataFrame | None = None) -> DataFrame:
     """What ``emit`` makes of the pairs of all blocks; ``second`` counts the second layer, too, ``asked`` (member) sets ``ok``."""
 
-    def paired(rows: DataFrame) -> DataFrame:
-        x = rows.select("layer", "container", F.col("n").cast("bigint").alias("n"), F.col("c").alias("a"), F.col("ks").alias("ka"))
-        y = rows.select("container", F.col("c").alias("b"), F.col("ks").alias("kb"))
-        return x.join(y, "container").where("a < b or (a = b and size(ka) > 1)").select("a", "b", "layer", "n", "ka", "kb")
-
-    pairs = paired(chunks.rows[0])
     m = chunks.members
     m = m.withColumn("ok", F.lit(True)) if asked is None else m.join(asked.select("member").distinct().withColumn("ok", F.lit(True)), "member", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     one = m.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("k", "member", "d", "r", "ok"))).alias("s")).select("c", F.struct(*[F.col(f"s.{v}").alias(v) for v in ("member", "d", "r", "ok")]).alias("s"))
     one = materialize(one, "sides")
-    heads = pairs.select("a", "b").distinct().join(one.toDF("a", "sa"), "a").join(one.toDF("b", "sb"), "b")
-    if second:
-        pairs = pairs.unionByName(paired(chunks.rows[1]))
-    kind = F.lit(None)
-    sent = heads.select("a", "b", F.lit(-1).alias("layer"), kind.cast("bigint").alias("n"), kind.cast("array<smallint>").alias("ka"), kind.cast("array<smallint>").alias("kb"), "sa", "sb").unionByName(
-        pairs.select("*", kind.cast(one.schema["s"].dataType).alias("sa"), kind.cast(one.schema["s"].dataType).alias("sb")))
-    blocks = chunks.count * (chunks.count + 1) // 2
-    tasks = max(1, min(blocks, 8 * chunks.members.sparkSession.sparkContext.defaultParallelism))
+    rows = chunks.rows[0].unionByName(chunks.rows[1]) if second else chunks.rows[0]
+    total = rows.agg(F.sum(F.size("ks"))).first()[0] or 0
+    # As many pairs of groups as tasks are wanted, or more if a group would be too large.
+    wanted = math.ceil((math.sqrt(64 * chunks.members.sparkSession.sparkContext.defaultParallelism + 1) - 1) / 2)
+    per = max(1, chunks.count // max(wanted, -(-total // GROUP)))  # chunks of a group
+    groups = max(1, -(-chunks.count // per))
+    own, other = F.floor(F.col("c") / per).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    pair = F.struct(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    sent = one.select(F.lit(-1).alias("layer"), F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("n"), "c", F.lit(None).cast("array<smallint>").alias("ks"), "s").unionByName(
+        rows.select("layer", "at", F.col("n").cast("bigint").alias("n"), "c", "ks", F.lit(None).cast(one.schema["s"].dataType).alias("s")))
+    sent = sent.select("*", own.alias("own"), other.alias("other")).withColumn("pair", pair).select("pair.a", "pair.b", "c", "layer", "at", "n", "ks", "s")
+    tasks = groups * (groups + 1) // 2
 
     def side(column: pa.StructArray, row: int) -> _Side:
         v = [column.field(k)[row].values for k in range(4)]
         return _Side(v[0], *[x.to_numpy(zero_copy_only=False) for x in v[1:]])
 
-    def finish(a: int, b: int, left: _Side, right: _Side, tables: list) -> Iterator[pa.RecordBatch]:
+    def finish(a: int, b: int, left: _Side, right: _Side, raw: np.ndarray, damped: np.ndarray | None, units: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         width = len(right.r)
-        (raw, damped), units = tables[0], tables[1][0]
         for top in range(0, len(left.r), max(1, 300_000 // width)):  # some rows of the table at a time
             lo, hi = top * width, min(len(left.r), top + max(1, 300_000 // width)) * width
             cells = np.flatnonzero(raw[lo:hi]) + lo
@@ -145,28 +183,49 @@ def _counted(chunks: _Chunks, emit: _Emit, schema: str, damp: bool = True, secon
             if len(cells):
                 yield emit(left, right, i, j, None if damped is None else damped[cells], raw[cells], None if units is None else units[cells])
 
+    def counted(a: int, b: int, sides: dict[int, _Side], parts: dict[tuple[int, int], list]) -> Iterator[pa.RecordBatch]:
+        """All blocks of the groups ``a`` and ``b``."""
+        held = {}
+        for key, batches in parts.items():
+            at, n, ks = (pa.concat_arrays(x) for x in zip(*batches))
+            held[key] = _Held(at.to_numpy(), 1.0 / np.log2(np.maximum(2.0, n.to_numpy().astype(float))), ks)
+        for x in sorted(sides):
+            for y in sorted(sides):
+                if x > y or x // per != a or y // per != b or (x, 0) not in held or (y, 0) not in held:
+                    continue
+                shape = len(sides[x].r), len(sides[y].r)
+                tables = _tables(held[x, 0], held[y, 0], *shape, damp)
+                if tables is None:
+                    continue
+                units = None
+                if second:
+                    got = _tables(held[x, 1], held[y, 1], *shape, False) if (x, 1) in held and (y, 1) in held else None
+                    units = np.zeros(shape[0] * shape[1], np.int32) if got is None else got[0]
+                yield from finish(x, y, sides[x], sides[y], *tables, units)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: tuple | None = None
+        at: tuple[int, int] | None = None
+        sides: dict[int, _Side] = {}
+        parts: dict[tuple[int, int], list] = {}
         for batch in batches:
-            a, b, layer = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            cuts = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (layer[1:] != layer[:-1]) | (layer[1:] < 0)) + 1
+            a, b, c, layer = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            cuts = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]) | (layer[1:] != layer[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(a)]):
                 if lo == hi:
                     continue
-                if layer[lo] < 0:
+                if at != (a[lo], b[lo]):
                     if at is not None:
-                        yield from finish(*at)
-                    left, right = side(batch.column(6), lo), side(batch.column(7), lo)
-                    cells = len(left.r) * len(right.r)
-                    first = (np.zeros(cells, np.int32), np.zeros(cells) if damp else None)
-                    at = (a[lo], b[lo], left, right, [first, (np.zeros(cells, np.int32) if second else None, None)])
-                elif at is not None and at[:2] == (a[lo], b[lo]):  # a block of the second layer alone has no pairs to count for
-                    w = 1.0 / np.log2(np.maximum(2.0, batch.column(3).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(float)))
-                    _add(*at[4][layer[lo]], batch.column(4).slice(lo, hi - lo), batch.column(5).slice(lo, hi - lo), w, len(at[3].r))
+                        yield from counted(*at, sides, parts)
+                    at, sides, parts = (a[lo], b[lo]), {}, {}
+                if layer[lo] < 0:
+                    sides[c[lo]] = side(batch.column(7), lo)
+                else:
+                    parts.setdefault((c[lo], layer[lo]), []).append([pa.concat_arrays([batch.column(k).slice(lo, hi - lo)]) for k in (4, 5, 6)])
         if at is not None:
-            yield from finish(*at)
+            yield from counted(*at, sides, parts)
 
-    return sent.repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "layer").mapInArrow(run, schema)
+    number = F.expr("cast(b * (b + 1) / 2 as int) + a")
+    return sent.repartitionById(tasks, number).sortWithinPartitions("a", "b", "c", "layer", "at").mapInArrow(run, schema)
 
 
 def _kind(df: DataFrame) -> str:

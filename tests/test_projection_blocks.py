@@ -2,7 +2,10 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from constellate.operators import project as P
 
@@ -57,3 +60,34 @@ def test_supported_members_equal_edges_joined_to_units(spark, rows):
     want = P.supported_edges(P.similar_members(df, "c", "m", cutoff=0.25), P.shared_units(df, "u", "m"), 4)
     pairs = sorted((r.i, r.j, r.raw) for r in got.collect())
     assert pairs == sorted((r.i, r.j, r.raw) for r in want.collect()) and pairs and ("y1", "y2", 1) not in pairs
+
+
+@pytest.fixture
+def sent(monkeypatch):
+    """Numbers of rows that blocks are sent."""
+    counts, before = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda df, *rest: counts.append(df.count()) or before(df, *rest))
+    return counts
+
+
+@pytest.fixture(scope="module")
+def large(spark):
+    """10 containers with all of 400 members."""
+    return spark.range(4000).selectExpr("id % 10 as c", "id div 10 as m")
+
+
+def test_similar_members_are_sent_once_a_group(sent, large):
+    P.similar_members(large, "c", "m", block=8)
+    assert 0 < sent[0] <= 9 * 50 * (10 + 1)  # 9 groups of the 50 chunks
+
+
+@pytest.mark.parametrize("density", [0.01, 0.5])
+def test_counts_of_few_and_of_many_members(density):
+    rng = np.random.default_rng(5)
+    a, b = rng.random((40, 60)) < density, rng.random((40, 50)) < density
+    a[:5], b[:5] = True, True
+    weights = rng.random(40)
+    held = [P._Held(np.arange(40), weights, pa.array([np.flatnonzero(r).astype(np.int16) for r in x], pa.list_(pa.int16()))) for x in (a, b)]
+    raw, damped = P._tables(*held, 60, 50, True)
+    assert (raw.reshape(60, 50) == a.T.astype(int) @ b.astype(int)).all()
+    assert np.allclose(damped.reshape(60, 50), (a * weights[:, None]).T @ b)
