@@ -81,6 +81,11 @@ def test_similar_members_are_sent_once_a_group(sent, large):
     assert 0 < sent[0] <= 9 * 50 * (10 + 1)  # 9 groups of the 50 chunks
 
 
+def test_shared_units_are_sent_once_a_group(sent, large):
+    P.shared_units(large, "c", "m", block=8)
+    assert 0 < sent[0] <= 9 * 50 * (10 + 1)
+
+
 @pytest.mark.parametrize("density", [0.01, 0.5])
 def test_counts_of_few_and_of_many_members(density):
     rng = np.random.default_rng(5)
