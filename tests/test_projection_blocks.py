@@ -96,3 +96,13 @@ def test_counts_of_few_and_of_many_members(density):
     raw, damped = P._tables(*held, 60, 50, True)
     assert (raw.reshape(60, 50) == a.T.astype(int) @ b.astype(int)).all()
     assert np.allclose(damped.reshape(60, 50), (a * weights[:, None]).T @ b)
+
+
+def test_blocks_of_groups_of_several_chunks_count_all_pairs(spark):
+    rng = random.Random(6)
+    data = {(f"c{c}", m, f"u{c % 7}") for c in range(40) for m in rng.sample(range(300), rng.choice([2, 20, 250]))}
+    df = spark.createDataFrame(sorted(data), "c string, m int, u string")
+    assert {(r.i, r.j): r.raw for r in P.project(df, "c", "m", block=5).collect()} == counts(data, 0)
+    assert {(r.i, r.j): r.units for r in P.shared_units(df, "u", "m", block=5).collect()} == counts(data, 2)
+    pairs = [sorted((r.i, r.j, r.raw, round(r.similarity, 9)) for r in P.supported_members(df, "c", "m", "u", 6, cutoff=0.6, block=b).collect()) for b in (5, 2048)]
+    assert pairs[0] == pairs[1] and 0 < len(pairs[0]) < 44_850
