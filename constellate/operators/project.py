@@ -42,6 +42,12 @@ class _Chunks:
     members: DataFrame
     rows: list[DataFrame]
     count: int
+    size: int
+
+
+def _size(total: int, block: int) -> int:
+    """Members of a chunk; small tables are cut finer, so that there are some blocks to share out."""
+    return max(1, min(block, 32_767, max(64, math.ceil(total / 6))))
 
 
 def _chunked(layers: Sequence[DataFrame], block: int) -> _Chunks:
@@ -52,8 +58,7 @@ def _chunked(layers: Sequence[DataFrame], block: int) -> _Chunks:
         every = every.unionByName(x.select("member"))
     ranked = global_rank(every.distinct(), [F.asc("member")])
     total = ranked.count()
-    # Small tables are cut finer, so that there are some blocks to share out.
-    size = max(1, min(block, 32_767, max(64, math.ceil(total / 6))))
+    size = _size(total, block)
     placed = materialize(ranked.select("member", F.floor(F.col("rank") / size).cast("int").alias("c"), (F.col("rank") % size).cast("smallint").alias("k")), "members")
 
     def rows(inc: DataFrame, layer: int) -> DataFrame:
@@ -69,10 +74,10 @@ def _chunked(layers: Sequence[DataFrame], block: int) -> _Chunks:
     own = parts[0].select("c", weight.alias("w"), F.explode("ks").alias("k")).groupBy("c", "k").agg(F.sum("w").alias("d"), F.count(F.lit(1)).alias("r"))
     zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
     members = materialize(placed.join(own, ["c", "k"], "left").select("member", "c", "k", zero("d", 0.0), zero("r", 0)), "members")
-    return _Chunks(members, parts, -(-total // size))
+    return _Chunks(members, parts, -(-total // size), size)
 
 
-def _add(raw: np.ndarray, damped: np.ndarray | None, ka: pa.ListArray, kb: pa.ListArray, weights: np.ndarray, width: int) -> None:
+def _add(raw: np.ndarray | None, damped: np.ndarray | None, ka: pa.ListArray, kb: pa.ListArray, weights: np.ndarray, width: int) -> None:
     """Count all pairs of the two arrays of each row in the tables of a block."""
     oa, ob = ka.offsets.to_numpy(), kb.offsets.to_numpy()
     va, vb = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (ka, kb))
@@ -80,7 +85,8 @@ def _add(raw: np.ndarray, damped: np.ndarray | None, ka: pa.ListArray, kb: pa.Li
     pairs = na.astype(np.int64) * nb
     for r in np.flatnonzero(pairs > 1000):  # places of one row are distinct, and so are their cells
         cells = (va[oa[r]:oa[r + 1], None] * width + vb[None, ob[r]:ob[r + 1]]).ravel()
-        raw[cells] += 1
+        if raw is not None:
+            raw[cells] += 1
         if damped is not None:
             damped[cells] += weights[r]
     few = np.flatnonzero(pairs <= 1000)
@@ -92,7 +98,8 @@ def _add(raw: np.ndarray, damped: np.ndarray | None, ka: pa.ListArray, kb: pa.Li
         times = nb[left]
         within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         cells = np.repeat(va[at] * width, times) + vb[np.repeat(ob[left], times) + within]
-        np.add.at(raw, cells, 1)
+        if raw is not None:
+            np.add.at(raw, cells, 1)
         if damped is not None:
             np.add.at(damped, cells, np.repeat(weights[left], times))
 
@@ -113,19 +120,20 @@ class _Held:
         return out
 
 
-def _tables(a: _Held, b: _Held, wide: int, width: int, damp: bool) -> tuple[np.ndarray, np.ndarray | None] | None:
-    """Raw and damped counts of a block; containers that have many of its members are counted by products of matrices."""
+def _tables(a: _Held, b: _Held, wide: int, width: int, damp: bool, count: bool = True) -> tuple[np.ndarray | None, np.ndarray | None] | None:
+    """Raw (``count``) and damped counts of a block; containers that have many of its members are counted by products of matrices."""
     x, y = (np.arange(len(a.at)),) * 2 if a is b else np.intersect1d(a.at, b.at, assume_unique=True, return_indices=True)[1:]
     if not len(x):
         return None
-    raw, damped = np.zeros(wide * width, np.int32), np.zeros(wide * width) if damp else None
+    raw, damped = np.zeros(wide * width, np.int32) if count else None, np.zeros(wide * width) if damp else None
     sizes = [np.diff(h.ks.offsets.to_numpy()).astype(np.int64) for h in (a, b)]
-    many = sizes[0][x] * sizes[1][y] > wide * width // 50
+    many = sizes[0][x] * sizes[1][y] > wide * width // (50 if count else 300)  # without raw counts it takes one product
     for rows in np.array_split(np.flatnonzero(many), max(1, -(-int(many.sum()) // 512))):
         if not len(rows):
             continue
         left, right = a.matrix(x[rows], wide), b.matrix(y[rows], width)
-        raw += (left.T @ right).ravel().astype(np.int32)
+        if raw is not None:
+            raw += (left.T @ right).ravel().astype(np.int32)
         if damped is not None:
             damped += ((left * a.weights[x[rows], None]).T @ right.astype(np.float64)).ravel()
     if not many.all():
@@ -136,26 +144,25 @@ def _tables(a: _Held, b: _Held, wide: int, width: int, damp: bool) -> tuple[np.n
 
 @dataclass
 class _Side:
-    """The members of a chunk, by place: names, marginals, and whether they are among the asked ones."""
+    """The members of a chunk, by place: names, marginals, and whether they are among the asked ones, or what else is sent."""
 
     member: pa.Array
     d: np.ndarray
     r: np.ndarray
-    ok: np.ndarray
+    ok: np.ndarray | pa.ListArray
 
 
 #: Makes the result of pairs (places i and j in two sides, damped, raw, counts in the second layer).
 _Emit = Callable[[_Side, _Side, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray | None], pa.RecordBatch]
 
 
-def _counted(chunks: _Chunks, emit: _Emit, schema: str, damp: bool = True, second: bool = False, asked: DataFrame | None = None) -> DataFrame:
-    """What ``emit`` makes of the pairs of all blocks; ``second`` counts the second layer, too, ``asked`` (member) sets ``ok``."""
+#: Two chunks of a task, the members of both, and the rows of all its chunks by chunk and layer.
+_Block = tuple[int, int, _Side, _Side, dict[tuple[int, int], _Held]]
 
-    m = chunks.members
-    m = m.withColumn("ok", F.lit(True)) if asked is None else m.join(asked.select("member").distinct().withColumn("ok", F.lit(True)), "member", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    one = m.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("k", "member", "d", "r", "ok"))).alias("s")).select("c", F.struct(*[F.col(f"s.{v}").alias(v) for v in ("member", "d", "r", "ok")]).alias("s"))
-    one = materialize(one, "sides")
-    rows = chunks.rows[0].unionByName(chunks.rows[1]) if second else chunks.rows[0]
+
+def _in_blocks(chunks: _Chunks, sides: DataFrame, rows: DataFrame, each: Callable[[bool, Iterator[_Block]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``each`` makes of the blocks of a task, which are those of two groups of chunks (it is told whether of one and
+    the same); ``sides`` is (c, s)."""
     total = rows.agg(F.sum(F.size("ks"))).first()[0] or 0
     # As many pairs of groups as tasks are wanted, or more if a group would be too large.
     wanted = math.ceil((math.sqrt(64 * chunks.members.sparkSession.sparkContext.defaultParallelism + 1) - 1) / 2)
@@ -163,27 +170,16 @@ def _counted(chunks: _Chunks, emit: _Emit, schema: str, damp: bool = True, secon
     groups = max(1, -(-chunks.count // per))
     own, other = F.floor(F.col("c") / per).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     pair = F.struct(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    sent = one.select(F.lit(-1).alias("layer"), F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("n"), "c", F.lit(None).cast("array<smallint>").alias("ks"), "s").unionByName(
-        rows.select("layer", "at", F.col("n").cast("bigint").alias("n"), "c", "ks", F.lit(None).cast(one.schema["s"].dataType).alias("s")))
+    sent = sides.select(F.lit(-1).alias("layer"), F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("n"), "c", F.lit(None).cast("array<smallint>").alias("ks"), "s").unionByName(
+        rows.select("layer", "at", F.col("n").cast("bigint").alias("n"), "c", "ks", F.lit(None).cast(sides.schema["s"].dataType).alias("s")))
     sent = sent.select("*", own.alias("own"), other.alias("other")).withColumn("pair", pair).select("pair.a", "pair.b", "c", "layer", "at", "n", "ks", "s")
     tasks = groups * (groups + 1) // 2
 
     def side(column: pa.StructArray, row: int) -> _Side:
         v = [column.field(k)[row].values for k in range(4)]
-        return _Side(v[0], *[x.to_numpy(zero_copy_only=False) for x in v[1:]])
-
-    def finish(a: int, b: int, left: _Side, right: _Side, raw: np.ndarray, damped: np.ndarray | None, units: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        width = len(right.r)
-        for top in range(0, len(left.r), max(1, 300_000 // width)):  # some rows of the table at a time
-            lo, hi = top * width, min(len(left.r), top + max(1, 300_000 // width)) * width
-            cells = np.flatnonzero(raw[lo:hi]) + lo
-            i, j = cells // width, cells % width
-            if a == b:
-                i, j, cells = i[i < j], j[i < j], cells[i < j]
-            if len(cells):
-                yield emit(left, right, i, j, None if damped is None else damped[cells], raw[cells], None if units is None else units[cells])
+        return _Side(v[0], *[x if isinstance(x, pa.ListArray) else x.to_numpy(zero_copy_only=False) for x in v[1:]])
 
-    def counted(a: int, b: int, sides: dict[int, _Side], parts: dict[tuple[int, int], list]) -> Iterator[pa.RecordBatch]:
+    def blocks(a: int, b: int, sides: dict[int, _Side], parts: dict[tuple[int, int], list]) -> Iterator[_Block]:
         """All blocks of the groups ``a`` and ``b``."""
         held = {}
         for key, batches in parts.items():
@@ -193,15 +189,7 @@ def _counted(chunks: _Chunks, emit: _Emit, schema: str, damp: bool = True, secon
             for y in sorted(sides):
                 if x > y or x // per != a or y // per != b or (x, 0) not in held or (y, 0) not in held:
                     continue
-                shape = len(sides[x].r), len(sides[y].r)
-                tables = _tables(held[x, 0], held[y, 0], *shape, damp)
-                if tables is None:
-                    continue
-                units = None
-                if second:
-                    got = _tables(held[x, 1], held[y, 1], *shape, False) if (x, 1) in held and (y, 1) in held else None
-                    units = np.zeros(shape[0] * shape[1], np.int32) if got is None else got[0]
-                yield from finish(x, y, sides[x], sides[y], *tables, units)
+                yield x, y, sides[x], sides[y], held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple[int, int] | None = None
@@ -215,19 +203,58 @@ def _counted(chunks: _Chunks, emit: _Emit, schema: str, damp: bool = True, secon
                     continue
                 if at != (a[lo], b[lo]):
                     if at is not None:
-                        yield from counted(*at, sides, parts)
+                        yield from each(at[0] == at[1], blocks(*at, sides, parts))
                     at, sides, parts = (a[lo], b[lo]), {}, {}
                 if layer[lo] < 0:
                     sides[c[lo]] = side(batch.column(7), lo)
                 else:
                     parts.setdefault((c[lo], layer[lo]), []).append([pa.concat_arrays([batch.column(k).slice(lo, hi - lo)]) for k in (4, 5, 6)])
         if at is not None:
-            yield from counted(*at, sides, parts)
+            yield from each(at[0] == at[1], blocks(*at, sides, parts))
 
     number = F.expr("cast(b * (b + 1) / 2 as int) + a")
     return sent.repartitionById(tasks, number).sortWithinPartitions("a", "b", "c", "layer", "at").mapInArrow(run, schema)
 
 
+def _sides(members: DataFrame, last: str) -> DataFrame:
+    """(c, s) of members (member, c, k, d, r) and a column ``last``: one row for each chunk, arrays in the order of the places."""
+    fields = ("member", "d", "r", last)
+    one = members.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("k", *fields))).alias("s"))
+    return materialize(one.select("c", F.struct(*[F.col(f"s.{v}").alias(v) for v in fields]).alias("s")), "sides")
+
+
+def _counted(chunks: _Chunks, emit: _Emit, schema: str, damp: bool = True, second: bool = False, asked: DataFrame | None = None) -> DataFrame:
+    """What ``emit`` makes of the pairs of all blocks; ``second`` counts the second layer, too, ``asked`` (member) sets ``ok``."""
+
+    m = chunks.members
+    m = m.withColumn("ok", F.lit(True)) if asked is None else m.join(asked.select("member").distinct().withColumn("ok", F.lit(True)), "member", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+
+    def finish(a: int, b: int, left: _Side, right: _Side, raw: np.ndarray, damped: np.ndarray | None, units: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        width = len(right.r)
+        for top in range(0, len(left.r), max(1, 300_000 // width)):  # some rows of the table at a time
+            lo, hi = top * width, min(len(left.r), top + max(1, 300_000 // width)) * width
+            cells = np.flatnonzero(raw[lo:hi]) + lo
+            i, j = cells // width, cells % width
+            if a == b:
+                i, j, cells = i[i < j], j[i < j], cells[i < j]
+            if len(cells):
+                yield emit(left, right, i, j, None if damped is None else damped[cells], raw[cells], None if units is None else units[cells])
+
+    def each(same: bool, blocks: Iterator[_Block]) -> Iterator[pa.RecordBatch]:
+        for x, y, left, right, held in blocks:
+            shape = len(left.r), len(right.r)
+            tables = _tables(held[x, 0], held[y, 0], *shape, damp)
+            if tables is None:
+                continue
+            units = None
+            if second:
+                got = _tables(held[x, 1], held[y, 1], *shape, False) if (x, 1) in held and (y, 1) in held else None
+                units = np.zeros(shape[0] * shape[1], np.int32) if got is None else got[0]
+            yield from finish(x, y, left, right, *tables, units)
+
+    return _in_blocks(chunks, _sides(m, "ok"), chunks.rows[0].unionByName(chunks.rows[1]) if second else chunks.rows[0], each, schema)
+
+
 def _kind(df: DataFrame) -> str:
     return df.schema["member"].dataType.simpleString()
 

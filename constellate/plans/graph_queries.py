@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from constellate.operators import graph as G
 from constellate.operators import project as P
+from constellate.operators.fill import bounded_links
 from constellate.session import materialize
 from constellate.plans.bindings import ATLAS_EDGES, BASKETS, NODES, SESSIONS, atlas_edges, baskets, nodes, sessions
 
@@ -114,11 +115,7 @@ def supported_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def degree_bounded_graph(spark: SparkSession, d: str) -> DataFrame:
-    s = sessions(spark, d)
-    e = materialize(_session_edges(spark, d).select("i", "j", F.round("similarity", R).alias("similarity")), "edges")
-    m = P.marginals(s, "container", "member")
-    bounds = m.select("member", P.degree_bound(F.round("damped", R)).alias("bound"))
-    return G.fill_within_bounds(e, P.top_links(e, 4, [F.desc("similarity"), F.asc("other")]), bounds)
+    return bounded_links(sessions(spark, d), "container", "member", lambda damped: P.degree_bound(F.round(damped, R)), 4, R)
 
 
 _STRONG = "weight >= 0.25 AND NOT \"isBridge\""
