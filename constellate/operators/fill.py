@@ -56,6 +56,8 @@ def _strongest(chunks: _Chunks, members: DataFrame, most: int, top: int, cutoff:
     ``members`` is (member, c, k, d, r, taken): numbers for members, ``taken`` those with which it has a link already.
     """
 
+    cutoff = max(cutoff, np.finfo(float).tiny)  # pairs that share nothing are none
+
     def each(same: bool, blocks: Iterator[_Block]) -> Iterator[pa.RecordBatch]:
         limit = most if same else max(top, most // 3)
         found = [np.zeros(0, np.int32) for _ in range(3)]
@@ -238,26 +240,21 @@ def bounded_links(
     degree = both_sides(kept).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     room = names.select(F.col("number").alias("node"), bound(F.col("d")).alias("bound")).join(degree, "node", "left").select(
         "node", (F.col("bound") - F.coalesce("n", F.lit(0))).alias("room")).where("room > 0")
-    taken = [kept]
+    taken, first = kept, True
     while True:
-        got = materialize(_filled(found, materialize(room, "room"), total, top if len(taken) == 1 else 0), "fill")
+        got = materialize(_filled(found, materialize(room, "room"), total, top if first else 0), "fill")
         release(found)
-        new, open_ = got.where("j >= 0").select("i", "j"), got.where("j < 0").select(F.col("i").alias("node"), F.col("j"), "rank")
-        count, some = open_.count(), len(taken) == 1 or new.limit(1).count()
-        taken.append(new)
+        new, open_ = got.where("j >= 0").select("i", "j"), got.where("j < 0").select(F.col("i").alias("node"), "j", "rank")
+        count, some = open_.count(), first or new.limit(1).count()
+        last, taken = taken, materialize(taken.unionByName(new), "fill")
+        release(last)
         if count < 2 or not some:  # the first pair of all is always decided, so there is none left
             break
-        last, chunks = chunks, _narrowed(chunks, open_.select("node", "rank"), count, block)
-        release(last.rows[0])
-        beside = taken[0]
-        for t in taken[1:]:
-            beside = beside.unionByName(t)
-        ends = open_.select("node")
-        beside = both_sides(beside).join(ends, "node", "left_semi").join(ends.toDF("other"), "other", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list("other")).alias("taken"))
+        wider, chunks = chunks, _narrowed(chunks, open_.select("node", "rank"), count, block)
+        release(wider.rows[0])
+        ends, first = open_.select("node"), False
+        beside = both_sides(taken).join(ends, "node", "left_semi").join(ends.toDF("other"), "other", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list("other")).alias("taken"))
         found = strongest(chunks.members.join(beside.toDF("member", "taken"), "member", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>"))))
         room = open_.select("node", (-F.col("j")).alias("room"))
-    links = taken[0]
-    for t in taken[1:]:
-        links = links.unionByName(t)
     left, right = names.select(F.col("number").alias("a"), F.col("member").alias("i")), names.select(F.col("number").alias("b"), F.col("member").alias("j"))
-    return links.toDF("a", "b").join(left, "a").join(right, "b").select("i", "j")
+    return taken.toDF("a", "b").join(left, "a").join(right, "b").select("i", "j")
